@@ -44,3 +44,12 @@ def hidden(df: DataFrame, *names: str) -> list[str]:
         out.append(name)
         taken.add(name.lower())
     return out
+
+
+#: Rows of a few numbers each up to which a side is sent to all executors.
+BROADCAST_ROWS = 1_000_000
+
+
+def if_small(df: DataFrame, rows: int | None = None, most: int = BROADCAST_ROWS) -> DataFrame:
+    """Marks a narrow, already materialised side for broadcasting if it has at most ``most`` rows; else the join is left to shuffle."""
+    return F.broadcast(df) if (df.count() if rows is None else rows) <= most else df

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, mixing, packing, rules, sharding
+from . import chat, fingerprints, jaccard, knn, langid, mixing, packing, rules, secrets, sharding
 from .common import table
 
 QUERIES = {
@@ -11,6 +11,11 @@ QUERIES = {
     "op3_packing": lambda spark, d: packing.pack_documents(table(spark, d, "documents")),
     "op4_sharding": lambda spark, d: sharding.shard_documents(table(spark, d, "documents")),
     "op5_quality_rules": lambda spark, d: rules.kept_ids(table(spark, d, "documents")),
+    "op6_ngram_jaccard_join": lambda spark, d: jaccard.near_duplicates(table(spark, d, "documents")),
+    "op7_secret_scans": lambda spark, d: secrets.find_secrets(table(spark, d, "documents")),
+    "op8_document_fingerprints": lambda spark, d: fingerprints.fingerprint(table(spark, d, "documents")),
+    "op9_quality_classifier": lambda spark, d: knn.kept_scores(table(spark, d, "documents"), table(spark, d, "labels")),
+    "op10_language_id": lambda spark, d: langid.identify_languages(table(spark, d, "documents")),
 }
 ORACLE_SQL = {
     "op1_chat_formatting": chat.SQL,

@@ -8,6 +8,7 @@ worker flat whatever the length of single documents.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -16,6 +17,8 @@ import pyarrow.compute as pc
 
 #: Bytes of text handled by one round of numpy passes.
 BLOCK_BYTES = 1 << 20
+#: Rows of one round, for what is kept per row.
+BLOCK_ROWS = 1024
 
 _U64 = np.uint64
 _BASE = _U64(0x9E3779B97F4A7C15 | 1)
@@ -70,15 +73,15 @@ def buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
-def blocks(batch: pa.RecordBatch, text: str = "text", most: int = BLOCK_BYTES) -> Iterator[pa.RecordBatch]:
-    """Cuts a batch so that each part holds about ``most`` bytes of text; a longer row is a part of its own."""
+def blocks(batch: pa.RecordBatch, text: str = "text", most: int = BLOCK_BYTES, rows: int = BLOCK_ROWS) -> Iterator[pa.RecordBatch]:
+    """Cuts a batch so that each part holds about ``most`` bytes of text and ``rows`` rows at most; a longer row is a part of its own."""
     if batch.num_rows == 0:
         return
     _, offsets = buffers(batch.column(batch.schema.get_field_index(text)))
     start = 0
     while start < batch.num_rows:
         stop = int(np.searchsorted(offsets, offsets[start] + most, side="right")) - 1
-        stop = min(batch.num_rows, max(stop, start + 1))
+        stop = min(batch.num_rows, start + rows, max(stop, start + 1))
         yield batch.slice(start, stop - start)
         start = stop
 
@@ -151,3 +154,12 @@ def distinct(h: np.ndarray, row: np.ndarray, rows: int) -> tuple[np.ndarray, np.
         keep[1:] = (h[1:] != h[:-1]) | (row[1:] != row[:-1])
         h, row = h[keep], row[keep]
     return h, np.concatenate([[0], np.cumsum(np.bincount(row, minlength=rows))])
+
+
+def squeeze(a: np.ndarray) -> bytes:
+    """The array's bytes, compressed."""
+    return zlib.compress(a.tobytes(), 1)
+
+
+def spread(blob: bytes, dtype) -> np.ndarray:
+    return np.frombuffer(zlib.decompress(blob), dtype)

@@ -11,17 +11,21 @@ from pyspark.sql import functions as F
 SPACE = r" \t\n\r"
 
 
-def reliable(df: DataFrame) -> DataFrame:
-    """Cuts lineage with a checkpoint in the cluster's shared folder.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that all executors share: what the session names in ``spark.checkpoint.dir``.
 
-    The folder is what the session names in ``spark.checkpoint.dir``; only
-    where nothing is named, as in tests, a temporary one is made.
+    Only where nothing is named, as in tests, a temporary one is made.
     """
-    spark = df.sparkSession
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         named = spark.conf.get("spark.checkpoint.dir", None)
         sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="docloom-checkpoint-"))
+    return sc.getCheckpointDir()
+
+
+def reliable(df: DataFrame) -> DataFrame:
+    """Cuts lineage with a checkpoint in the shared folder."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
+
 from . import chat, fingerprints, jaccard, knn, langid, mixing, packing, rules, secrets, sharding
 from .common import table
 
@@ -16,6 +18,7 @@ QUERIES = {
     "op8_document_fingerprints": lambda spark, d: fingerprints.fingerprint(table(spark, d, "documents")),
     "op9_quality_classifier": lambda spark, d: knn.kept_scores(table(spark, d, "documents"), table(spark, d, "labels")),
     "op10_language_id": lambda spark, d: langid.identify_languages(table(spark, d, "documents")),
+    "pipeline": corpus_pipeline.run,
 }
 ORACLE_SQL = {
     "op1_chat_formatting": chat.SQL,

@@ -1,0 +1,27 @@
+"""Schemas of documents, units, hits, trees and graphs."""
+
+from __future__ import annotations
+
+from pyspark.sql import types as T
+
+DOCUMENT_INFO = "source string, source_type string, file_type string, file_name string, file_size bigint, file_extension string, md5 string, content_length bigint, mime_type string, created_at timestamp, reader_name string"
+PAGE = "page_number int, content string, span struct<start: int, end: int>"
+DOCUMENTS = f"doc_id string, doc_type string, content string, pages array<struct<{PAGE.replace('page_number int', 'page_number: int').replace('content string', 'content: string').replace('span struct', 'span: struct')}>>, metadata struct<{', '.join(': '.join(f.split(' ')) for f in DOCUMENT_INFO.split(', '))}>"
+UNITS = (
+    "unit_id string, doc_id string, seq int, unit_type string, content string, embedding_content string, prev_unit_id string, next_unit_id string, caption string, "
+    "table_data struct<columns: array<string>, rows: array<array<string>>>, embedding array<float>, relations map<string, array<string>>, "
+    "views array<struct<level: string, content: string, token_count: int, byte_size: int, compression_ratio: double>>, "
+    "context_path string, page_numbers array<int>, span struct<start: int, end: int>, keywords array<string>, score double, source string"
+)
+HITS = "query_id string, retriever_idx int, pos int, unit_id string, score double"
+TREE_NODES = "doc_id string, node_id string, parent_id string, ord int, level int, title string, text string, summary string, line_start int, line_end int"
+GRAPH_NODES = "label string, id string, props map<string, string>"
+GRAPH_EDGES = "src_label string, src string, dst_label string, dst string, rel_type string, props map<string, string>"
+
+UNIT_TYPES = ("text", "table", "image")
+VIEW_LEVELS = ("low", "medium", "high", "full")
+RELATIONS = ("references", "referenced_by", "parent", "children", "related_to", "caption_of", "visual_context", "similar_to", "footnote")
+
+
+def struct(ddl: str) -> T.StructType:
+    return T.StructType.fromDDL(ddl)

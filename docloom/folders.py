@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def scratch(spark: SparkSession, name: str) -> str:
@@ -14,3 +14,9 @@ def scratch(spark: SparkSession, name: str) -> str:
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="docloom-"))
     return f"{sc.getCheckpointDir()}/{name}-{uuid.uuid4().hex}"
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """The rows checkpointed in that folder, so that loops don't grow plans and lost executors don't matter."""
+    scratch(df.sparkSession, "")
+    return df.checkpoint(eager=True)

@@ -5,6 +5,7 @@ from __future__ import annotations
 import html
 import re
 import unicodedata
+from collections.abc import Callable
 
 import pandas as pd
 import xxhash
@@ -34,10 +35,18 @@ def content_hash(text: Column) -> Column:
     return F.md5(text)
 
 
-@F.pandas_udf("string")
-def xxh64_hex(text: pd.Series) -> pd.Series:
+def by_value(function: Callable, kind: str = "string") -> Callable[[str | Column], Column]:
+    """A column function, in Arrow batches, from one of a value; null gives null.  Made when called, so that modules load without a session."""
+
+    def run(values: pd.Series) -> pd.Series:
+        return values.map(lambda v: None if v is None else function(v))
+
+    return lambda column: F.pandas_udf(run, kind)(column)
+
+
+def xxh64_hex(text: str | Column) -> Column:
     """Hexadecimal xxHash64 with seed 0, for ids that other tools made that way."""
-    return text.map(lambda t: None if t is None else xxhash.xxh64(t.encode()).hexdigest())
+    return by_value(lambda t: xxhash.xxh64(t.encode()).hexdigest())(text)
 
 
 def plain_text(text: str) -> str:
@@ -48,9 +57,8 @@ def plain_text(text: str) -> str:
     return re.sub(r"\s+", " ", text).strip()
 
 
-@F.pandas_udf("string")
-def normalize_text(text: pd.Series) -> pd.Series:
-    return text.map(lambda t: None if t is None else plain_text(t))
+def normalize_text(text: str | Column) -> Column:
+    return by_value(plain_text)(text)
 
 
 def clean_page(text: Column) -> Column:

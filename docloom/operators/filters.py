@@ -61,70 +61,79 @@ def _literal(field: Field, value) -> tuple[Column, Column]:
     return column, F.lit(value)
 
 
-def _equals(field: Field, value) -> Column:
+def _sure(c: Column, strict: bool) -> Column:
+    """Null made false where it matters: in a filter's positive parts a bare comparison can be pushed into the scan."""
+    return F.coalesce(c, F.lit(False)) if strict else c
+
+
+def _equals(field: Field, value, strict: bool) -> Column:
     column, kind = field
     if value is None:
         return column.isNull()
     if isinstance(kind, T.ArrayType):
-        return F.coalesce(F.array_contains(column, F.lit(value).cast(kind.elementType)), F.lit(False))
+        return _sure(F.array_contains(column, F.lit(value).cast(kind.elementType)), strict)
     a, b = _literal(field, value)
-    return F.coalesce(a == b, F.lit(False))
+    return _sure(a == b, strict)
 
 
-def _one(field: Field, op: str, value) -> Column:
+def _one(field: Field, op: str, value, strict: bool) -> Column:
     if op == "$eq":
-        return _equals(field, value)
+        return _equals(field, value, strict)
     if op == "$ne":
-        return ~_equals(field, value)
+        return ~_equals(field, value, True)
     if op in ("$in", "$nin"):
         values = list(value) if isinstance(value, (list, tuple, set, frozenset)) else [value]
-        found = reduce(lambda a, b: a | b, [_equals(field, v) for v in values], F.lit(False))
+        found = reduce(lambda a, b: a | b, [_equals(field, v, strict or op == "$nin") for v in values], F.lit(False))
         return found if op == "$in" else ~found
     if op in ("$gt", "$gte", "$lt", "$lte"):
         a, b = _literal(field, value)
-        test = {"$gt": a > b, "$gte": a >= b, "$lt": a < b, "$lte": a <= b}[op]
-        return F.coalesce(test, F.lit(False))
+        return _sure({"$gt": a > b, "$gte": a >= b, "$lt": a < b, "$lte": a <= b}[op], strict)
     if op == "$not":
-        return ~_field(field, value)
+        return ~_field(field, value, True)
     raise InvalidInput(f"unknown operator {op!r}")
 
 
-def _field(field: Field, condition) -> Column:
+def _field(field: Field, condition, strict: bool) -> Column:
     if isinstance(condition, Mapping):
-        return reduce(lambda a, b: a & b, [_one(field, op, v) for op, v in condition.items()], F.lit(True))
-    return _equals(field, condition)
-
+        return reduce(lambda a, b: a & b, [_one(field, op, v, strict) for op, v in condition.items()], F.lit(True))
+    return _equals(field, condition, strict)
 
-def compile_filter(df: DataFrame, condition: Mapping | str | Column | None) -> Column:
-    """A boolean column, never null.
 
-    Keys are ANDed, as are the operators of one field: $eq $ne $gt $gte $lt
-    $lte $in $nin $not, and $and $or $not $nor over conditions.  A missing field
-    is unequal to everything but None; comparisons between kinds are false;
-    empty $in and $or are false, empty $nin and $and true; on an array a value
-    means that it is contained.  Text is taken as a SQL expression.  Unknown
-    operators and fields raise.
-    """
+def _compile(df: DataFrame, condition: Mapping | str | Column | None, strict: bool) -> Column:
     if condition is None:
         return F.lit(True)
     if isinstance(condition, Column):
-        return F.coalesce(condition, F.lit(False))
+        return _sure(condition, strict)
     if isinstance(condition, str):
-        return F.coalesce(F.expr(condition), F.lit(False))
+        return _sure(F.expr(condition), strict)
     parts = []
     for key, value in condition.items():
         if key in ("$and", "$or", "$nor"):
-            each = [compile_filter(df, c) for c in value]
+            each = [_compile(df, c, strict or key == "$nor") for c in value]
             joined = reduce((lambda a, b: a & b) if key == "$and" else (lambda a, b: a | b), each, F.lit(key == "$and"))
             parts.append(~joined if key == "$nor" else joined)
         elif key == "$not":
-            parts.append(~compile_filter(df, value))
+            parts.append(~_compile(df, value, True))
         elif key.startswith("$"):
             raise InvalidInput(f"unknown operator {key!r}")
         else:
-            parts.append(_field(resolve(df, key), value))
+            parts.append(_field(resolve(df, key), value, strict))
     return reduce(lambda a, b: a & b, parts, F.lit(True))
 
 
+def compile_filter(df: DataFrame, condition: Mapping | str | Column | None) -> Column:
+    """A boolean column, never null.
+
+    Keys are ANDed, as are the operators of one field: $eq $ne $gt $gte $lt
+    $lte $in $nin $not, and $and $or $not $nor over conditions.  A missing field
+    is unequal to everything but None; comparisons between kinds are false;
+    empty $in and $or are false, empty $nin and $and true; on an array a value
+    means that it is contained.  Text is taken as a SQL expression.  Unknown
+    operators and fields raise.
+    """
+    return _compile(df, condition, True)
+
+
 def where(df: DataFrame, condition: Mapping | str | Column | None) -> DataFrame:
-    return df if condition is None else df.where(compile_filter(df, condition))
+    """The rows for which the filter is true; its positive comparisons can be pushed into the scan."""
+    return df if condition is None else df.where(_compile(df, condition, False))

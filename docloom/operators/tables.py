@@ -7,11 +7,10 @@ from collections.abc import Sequence
 from html import escape
 from html.parser import HTMLParser
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import HTML_TABLE, PIPE_TABLE
+from ..functions.text import HTML_TABLE, PIPE_TABLE, by_value
 
 TABLE = "struct<source_format: string, columns: array<string>, rows: array<array<string>>, is_complex: boolean, start: int, end: int>"
 
@@ -175,9 +174,9 @@ def parse_text(text: str) -> list[dict]:
     return out
 
 
-@F.pandas_udf(f"array<{TABLE}>")
-def parse_tables(text: pd.Series) -> pd.Series:
-    return text.map(lambda t: [] if t is None else parse_text(t))
+def parse_tables(text: str | Column) -> Column:
+    """array of TABLE structs; null for a null text."""
+    return by_value(parse_text, f"array<{TABLE}>")(text)
 
 
 def table_units(units: DataFrame) -> DataFrame:

@@ -65,12 +65,13 @@ def summaries(nodes: DataFrame, summarise: Callable[[Column], Column] | None = N
     """Adds ``summary``, from the leaves up: a short text is its own; a parent's is its text and a line for each child.
 
     ``summarise`` is called on long texts; offline it cuts to ``head``
-    characters.  There are six levels at most, so six joins.
+    characters.  There are six levels at most, so six joins, each checkpointed.
     """
+    from ..folders import cut
     from ..functions.text import word_count
 
     brief = summarise or (lambda c: F.when(F.length(c) > head, F.concat(F.substring(c, 1, head), F.lit("..."))).otherwise(c))
-    out = nodes.withColumn("summary", F.lit(None).cast("string"))
+    out = cut(nodes.withColumn("summary", F.lit(None).cast("string")))
     for level in range(6, 0, -1):
         lines = F.array_sort(F.collect_list(F.struct("ord", F.concat(F.lit("- "), F.col("title"), F.lit(": "), F.substring("summary", 1, head)).alias("line"))))
         kids = out.where("parent_id IS NOT NULL AND summary IS NOT NULL").groupBy("doc_id", F.col("parent_id").alias("node_id")).agg(F.array_join(F.transform(lines, lambda x: x["line"]), "\n").alias("_kids"))
@@ -78,7 +79,7 @@ def summaries(nodes: DataFrame, summarise: Callable[[Column], Column] | None = N
         own = F.when(word_count(F.col("text")) < small, F.col("text")).otherwise(brief(F.col("text")))
         both = F.concat_ws("\n", F.col("text"), F.col("_kids"))
         made = F.when(F.col("_kids").isNull(), own).when(word_count(both) > large, brief(both)).otherwise(both)
-        out = joined.withColumn("summary", F.when(F.col("level") == level, made).otherwise(F.col("summary"))).drop("_kids")
+        out = cut(joined.withColumn("summary", F.when(F.col("level") == level, made).otherwise(F.col("summary"))).drop("_kids"))
     return out
 
 

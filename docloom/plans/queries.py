@@ -471,10 +471,7 @@ def table_enrichment(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def table_page_merge(spark: SparkSession, d: str) -> DataFrame:
-    @F.pandas_udf("string")
-    def merged(pages_of):
-        return pages_of.map(lambda p: tables.merge_pages(list(p)))
-
+    merged = tx.by_value(lambda p: tables.merge_pages(list(p)))
     html = nation_tables(spark, d).select("doc_id", tables.pipe_to_html(F.get(tables.pipe_tables(F.col("text")), F.lit(0))).alias("html"))
     return html.select("doc_id", merged(F.array("html", "html")).alias("html"))
 
@@ -697,5 +694,9 @@ def normalized_hash(spark: SparkSession, d: str) -> DataFrame:
 def stream_ingest(spark: SparkSession, d: str) -> DataFrame:
     path = f"{d}/events.parquet"
     target = collection.Collection.local(spark, scratch(spark, "events"), "event_id")
-    stream_upsert(spark, path, spark.read.parquet(path).schema, target, scratch(spark, "stream"), lambda b: b.select("event_id", "event_type", "value")).awaitTermination()
+    file = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder = file.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(file).isDirectory()
+    landing, names = (path, None) if folder else (d, "events.parquet")
+    keep = lambda b: b.select("event_id", "event_type", "value")
+    stream_upsert(spark, landing, spark.read.parquet(path).schema, target, scratch(spark, "stream"), keep, names=names).awaitTermination()
     return target.rows

@@ -6,13 +6,12 @@ import re
 from collections.abc import Callable
 from html.parser import HTMLParser
 
-import pandas as pd
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..errors import MissingResource
-from ..functions.text import PIPE_TABLE  # noqa: F401
+from ..functions.text import by_value
 from ..operators import trees
 from ..workers import importable
 
@@ -78,14 +77,13 @@ def html_to_markdown(html: str) -> str:
     return "\n".join(x for x in lines if x and not re.fullmatch(r"#{1,6}|-", x))
 
 
-@F.pandas_udf("string")
-def html_text(html: pd.Series) -> pd.Series:
-    return html.map(lambda h: None if h is None else html_to_markdown(h))
+def html_text(html: str | Column) -> Column:
+    return by_value(html_to_markdown)(html)
 
 
-@F.pandas_udf("string")
-def file_hash(content: pd.Series) -> pd.Series:
-    return content.map(lambda b: None if b is None else xxhash.xxh64(bytes(b)).hexdigest())
+def file_hash(content: str | Column) -> Column:
+    """Hexadecimal xxHash64 of a file's bytes."""
+    return by_value(lambda b: xxhash.xxh64(bytes(b)).hexdigest())(content)
 
 
 Reader = Callable[[SparkSession, str], DataFrame]

@@ -11,13 +11,16 @@ from pyspark.sql.types import StructType
 from ..operators.collection import Collection, keep_last
 
 
-def stream_upsert(spark: SparkSession, landing: str, schema: StructType, target: Collection, checkpoint: str, prepare: Callable[[DataFrame], DataFrame] = lambda df: df, order=None, files_per_batch: int | None = None) -> StreamingQuery:
+def stream_upsert(spark: SparkSession, landing: str, schema: StructType, target: Collection, checkpoint: str, prepare: Callable[[DataFrame], DataFrame] = lambda df: df, order=None, files_per_batch: int | None = None, names: str | None = None) -> StreamingQuery:
     """Reads Parquet files as they land, prepares each micro-batch and upserts it; runs until what is there now is done.
 
     A batch is upserted whole by key, so one that is run again after a failure
     leaves the same rows.  Of equal keys in a batch the first in ``order`` counts.
+    ``names`` is a pattern that file names must match.
     """
     source = spark.readStream.schema(schema)
+    if names:
+        source = source.option("pathGlobFilter", names)
     if files_per_batch:
         source = source.option("maxFilesPerTrigger", files_per_batch)
 

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import hidden, n_words, reliable
+from .common import hidden, if_small, n_words, reliable
 
 #: Shares asked of each source, relative; sources not named get OTHER.
 TARGETS: dict[str, float] = {"src0": 2.0}
@@ -94,8 +94,8 @@ def mix_sources(docs: DataFrame, targets: Mapping[str, float] = TARGETS, other:
 
     Texts are never shuffled: a narrow pass finds each source's cut, and a
     document is compared with the cut where it is read.  The plan has one row
-    per source and is joined without a hint, so that it is broadcast only if
-    its measured size allows.
+    per source and is broadcast if their number allows, so that no task has to
+    take a frequent source whole.
 
     Defined cases: a null source is a source of its own; a null doc_id ranks
     before all others of its key; rows equal in doc_id and key are drawn or left
@@ -106,7 +106,7 @@ def mix_sources(docs: DataFrame, targets: Mapping[str, float] = TARGETS, other:
     plan = mixing_plan(docs, targets, other, total_tokens, seed)
     src, key, bucket = hidden(docs, "mix_src", "mix_key", "mix_bucket")
     p = {c: f"{src}_{c}" for c in ("src", "epochs", "bucket", "cut_key", "cut_id")}
-    plan = plan.select(*(F.col(c).alias(n) for c, n in p.items()))
+    plan = if_small(reliable(plan.select(*(F.col(c).alias(n) for c, n in p.items()))))
     rows = docs.withColumns({src: source_key(F.col("source")), key: sampling_key(F.col("doc_id"), quality_weight(F.col("text")), seed)})
     rows = rows.withColumn(bucket, F.floor(F.log(key) * FINENESS))
     ident = F.coalesce(F.col("doc_id"), F.lit(-(1 << 63)))

@@ -134,7 +134,7 @@ def shingles(raw: np.ndarray, offsets: np.ndarray, n: int) -> tuple[np.ndarray,
     with np.errstate(over="ignore"):
         salt = [mix64(np.array([17 + k], _U64))[0] | _U64(1) for k in range(n)]
         h = np.zeros(len(w), _U64)
-        for k in range(n):
+        for k in range(min(n, len(w))):
             h[: len(w) - k] += w[k:] * salt[k]
         last = at[row + 1] - np.arange(len(w))
         keep = last >= n

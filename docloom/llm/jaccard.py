@@ -36,9 +36,9 @@ CHUNK = 1 << 14
 #: Documents of a region, in order of size, to which one is compared in the first round; what a larger region has beyond is joined in the second.
 NEAR = 16
 #: Bytes of postings in a partition of regions.
-REGION_BYTES = 48 << 20
+REGION_BYTES = 32 << 20
 #: Bytes of postings kept by a task before they are sent on.
-FLUSH_BYTES = 64 << 20
+FLUSH_BYTES = 16 << 20
 
 _U = np.uint64
 
@@ -134,13 +134,14 @@ def postings(docs: DataFrame, classes: np.ndarray, n: int, t: float, parts: int)
             size += 22 * int(keep.sum())
             if size > FLUSH_BYTES:
                 yield from flush(held)
-                held, size = [], 0
+                size = 0
         yield from flush(held)
 
     def flush(held: list[tuple[np.ndarray, ...]]) -> Iterator[pa.RecordBatch]:
         if not held:
             return
         token, ids, count, place = (np.concatenate(c) for c in zip(*held, strict=True))
+        held.clear()
         token = textvec.mix64(token)
         where = (token % _U(parts)).astype(np.int64)
         order = np.argsort(where, kind="stable")
@@ -171,8 +172,14 @@ def unpack(blob: bytes) -> tuple[np.ndarray, ...]:
     return token, sets[of], size[of], place
 
 
-def near_pairs(token: np.ndarray, ids: np.ndarray, size: np.ndarray, place: np.ndarray, t: float, near: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(a, b, rest): pairs with a < b of the regions' members at most ``near`` apart in order of size that sizes and places allow; rest: the postings of the regions with more members."""
+def near_pairs(token: np.ndarray, ids: np.ndarray, size: np.ndarray, place: np.ndarray, t: float, near: int) -> tuple[np.ndarray, ...]:
+    """(a, b, smaller size, larger size, common, ok, rest) of the regions in a part.
+
+    Pairs a < b are members of a region at most ``near`` apart in order of size
+    whose sizes allow t.  ``common`` counts their regions of at most near + 1
+    members, in which every pair is seen; ``ok`` says whether the places of some
+    common n-gram allow t.  ``rest`` are the postings of the larger regions.
+    """
     order = np.lexsort((ids, size, token))
     token, ids, size, place = token[order], ids[order], size[order].astype(np.int64), place[order].astype(np.int64)
     keep = np.ones(len(token), bool)
@@ -181,7 +188,7 @@ def near_pairs(token: np.ndarray, ids: np.ndarray, size: np.ndarray, place: np.n
     start = np.concatenate([[True], token[1:] != token[:-1]]) if len(token) else np.zeros(0, bool)
     region = np.cumsum(start) - 1
     members = np.bincount(region)[region] if len(token) else np.zeros(0, np.int64)
-    a, b = [], []
+    found: list[tuple[np.ndarray, ...]] = []
     left = np.flatnonzero(members > 1)
     for k in range(1, near + 1):
         left = left[left + k < len(token)]
@@ -189,17 +196,22 @@ def near_pairs(token: np.ndarray, ids: np.ndarray, size: np.ndarray, place: np.n
         if not len(left):
             break
         x, y = left, left + k  # y is the larger
-        need = overlap_needed(size[x], size[y], t)
-        ok = (size[x] >= t * size[y] - 1e-9) & (1 + np.minimum(size[x] - place[x] - 1, size[y] - place[y] - 1) >= need)
-        a.append(np.minimum(ids[x[ok]], ids[y[ok]]))
-        b.append(np.maximum(ids[x[ok]], ids[y[ok]]))
-    a, b = (np.concatenate(v) if v else np.zeros(0, _U) for v in (a, b))
-    pair = np.unique(np.stack([a, b], axis=1), axis=0) if len(a) else np.zeros((0, 2), _U)
-    return pair[:, 0], pair[:, 1], order[members > near + 1]
+        fit = size[x] >= t * size[y] - 1e-9
+        x, y = x[fit], y[fit]
+        ok = 1 + np.minimum(size[x] - place[x] - 1, size[y] - place[y] - 1) >= overlap_needed(size[x], size[y], t)
+        found.append((np.minimum(ids[x], ids[y]), np.maximum(ids[x], ids[y]), size[x], size[y], (members[x] <= near + 1).astype(np.int64), ok))
+    kinds = (_U, _U, np.int64, np.int64, np.int64, bool)
+    a, b, lo, hi, common, ok = (np.concatenate(c) for c in zip(*found, strict=True)) if found else (np.zeros(0, k) for k in kinds)
+    by = np.lexsort((b, a))
+    a, b, lo, hi, common, ok = (v[by] for v in (a, b, lo, hi, common, ok))
+    first = np.flatnonzero(np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])])) if len(a) else np.zeros(0, np.int64)
+    if len(first):
+        common, ok = np.add.reduceat(common, first), np.logical_or.reduceat(ok, first)
+    return a[first], b[first], lo[first], hi[first], common, ok, order[members > near + 1]
 
 
 def candidates(blobs: DataFrame, t: float, parts: int, near: int) -> DataFrame:
-    """Two kinds of rows: pairs (a, b) with no region; and members (a, size, place) of each region with more than near + 1."""
+    """Two kinds of rows: pairs (a, b, lo, hi, common, ok) as near_pairs has them; and, with a region, the members (a, lo: size, hi: place) of each large one."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         by_part: dict[int, list[tuple[np.ndarray, ...]]] = {}
@@ -208,44 +220,59 @@ def candidates(blobs: DataFrame, t: float, parts: int, near: int) -> DataFrame:
                 by_part.setdefault(p, []).append(unpack(blob.as_py()))
         for p in list(by_part):
             token, ids, size, place = (np.concatenate(c) for c in zip(*by_part.pop(p), strict=True))
-            a, b, rest = near_pairs(token, ids, size, place, t, near)
-            none = pa.nulls(len(a), pa.int64())
-            yield pa.RecordBatch.from_arrays([none, pa.array(a.view(np.int64)), pa.array(b.view(np.int64)), none, none], NAMES)
+            a, b, lo, hi, common, ok, rest = near_pairs(token, ids, size, place, t, near)
+            yield pa.RecordBatch.from_arrays([pa.nulls(len(a), pa.int64()), *(pa.array(v) for v in (a.view(np.int64), b.view(np.int64), lo, hi, common, ok))], NAMES)
             region = token[rest].astype(np.int64) * parts + p
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(region), pa.array(ids[rest].view(np.int64)), pa.nulls(len(rest), pa.int64()), pa.array(size[rest].astype(np.int64)), pa.array(place[rest].astype(np.int64))], NAMES
-            )
-
-    NAMES = ["region", "a", "b", "size", "place"]
-    return map_arrow(blobs.repartition(parts, "part"), run, "region bigint, a bigint, b bigint, size bigint, place bigint")
+            columns = [pa.array(v) for v in (region, ids[rest].view(np.int64), size[rest].astype(np.int64), place[rest].astype(np.int64))]
+            yield pa.RecordBatch.from_arrays([*columns[:2], pa.nulls(len(rest), pa.int64()), *columns[2:], pa.nulls(len(rest), pa.int64()), pa.nulls(len(rest), pa.bool_())], NAMES)
 
+    NAMES = ["region", "a", "b", "lo", "hi", "common", "ok"]
+    return map_arrow(blobs.repartition(parts, "part"), run, "region bigint, a bigint, b bigint, lo bigint, hi bigint, common bigint, ok boolean")
 
-def sets_of(docs: DataFrame, keys: DataFrame, n: int) -> DataFrame:
-    """(set_id, grams) of the documents whose text has one of the keys, one row per set."""
-    wanted = docs.select("text", F.xxhash64("text").alias("key")).join(if_small(keys), "key", "left_semi").select("text")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[int] = set()
-        for part, h, row in text_blocks(batches, n):
-            ids = set_ids(h, row, part.num_rows)
-            grams, at = textvec.distinct(h, row, part.num_rows)
-            new = [i for i, s in enumerate(ids.tolist()) if s and s not in seen and not seen.add(s)]
-            blobs = [grams[at[i] : at[i + 1]].tobytes() for i in new]
-            yield pa.RecordBatch.from_arrays([pa.array(ids[new].view(np.int64)), pa.array(blobs, pa.binary())], ["set_id", "grams"])
+def promising(pairs: DataFrame, members: DataFrame, t: float) -> DataFrame:
+    """(a, b) of the pairs that may have the overlap needed.
 
-    return map_arrow(wanted, run, "set_id bigint, grams binary")
+    It is at most: the n-grams that the two have in common among the first ones
+    of each, which are those counted and, in large regions, as many as either
+    has there; and the n-grams after the first ones of one of them.
+    """
+    large = members.groupBy("a").agg(F.count("*").alias("large"))
+    p = pairs.join(large, "a", "left").join(large.select(F.col("a").alias("b"), F.col("large").alias("large_b")), "b", "left")
+    most = F.col("common") + F.least(F.coalesce("large", F.lit(0)), F.coalesce("large_b", F.lit(0))) + F.ceil(t * F.col("hi") - 1e-9) - 1
+    return p.where(most >= F.ceil(t / (1 + t) * (F.col("lo") + F.col("hi")) - 1e-9)).select("a", "b")
 
 
-def similar(pairs: DataFrame, sets: DataFrame, t: float) -> DataFrame:
+def similar(pairs: DataFrame, docs: DataFrame, known: DataFrame, n: int, t: float) -> DataFrame:
     """(a, b) of the pairs whose exact Jaccard similarity is at least t.
 
-    A pair travels with b's set to a's, which stays with the first of its
-    partition's rows; so no set is sent more than once for a pair.
+    One document stands for each set.  It is read again, and its set is sent
+    once to its own place, where it is a pair's first, and once for each pair
+    in which it is the second, to the first's place: nothing else is shuffled.
     """
-    others = pairs.join(sets, pairs["b"] == sets["set_id"]).select("a", "b", "grams")
-    own = sets.join(pairs.select("a").distinct(), F.col("set_id") == F.col("a"), "left_semi").select(F.col("set_id").alias("a"), F.lit(None).cast("bigint").alias("b"), "grams")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    to = pairs.groupBy(F.col("b").alias("set_id")).agg(F.collect_list("a").alias("to"))
+    own = pairs.select(F.col("a").alias("set_id")).distinct().withColumn("own", F.lit(True))
+    one = known.groupBy("set_id").agg(F.min(F.struct("doc_id", "key")).alias("d"))
+    sends = one.join(to.join(own, "set_id", "full_outer"), "set_id")
+    sends = reliable(sends.select(F.col("d.doc_id").alias("send_id"), F.col("d.key").alias("send_key"), "set_id", F.coalesce("own", F.lit(False)).alias("own"), F.coalesce("to", F.array().cast("array<bigint>")).alias("to")))
+    rows = docs.select("text", F.col("doc_id"), F.xxhash64("text").alias("key"))
+    rows = rows.join(if_small(sends, most=300_000), F.col("doc_id").eqNullSafe(F.col("send_id")) & (F.col("key") == F.col("send_key"))).select("text", "set_id", "own", "to")
+
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, h, row in text_blocks(batches, n):
+            grams, at = textvec.distinct(h, row, part.num_rows)
+            a, b, sets, held = [], [], [], 0
+            for i, (me, mine, others) in enumerate(zip(*(part.column(c).to_pylist() for c in (1, 2, 3)), strict=True)):
+                blob = grams[at[i] : at[i + 1]].tobytes()
+                for x, y in ([(me, None)] if mine else []) + [(o, me) for o in others]:
+                    a.append(x), b.append(y), sets.append(blob)
+                    held += len(blob)
+                    if held > 4 * textvec.BLOCK_BYTES:
+                        yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(sets, pa.binary())], ["a", "b", "grams"])
+                        a, b, sets, held = [], [], [], 0
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(sets, pa.binary())], ["a", "b", "grams"])
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, mine = None, np.zeros(0, _U)
         for batch in batches:
             out = ([], [])
@@ -260,22 +287,28 @@ def similar(pairs: DataFrame, sets: DataFrame, t: float) -> DataFrame:
                         out[1].append(b)
             yield pa.RecordBatch.from_arrays([pa.array(v, pa.int64()) for v in out], ["a", "b"])
 
-    rows = own.unionByName(others).repartition("a").sortWithinPartitions("a", F.col("b").asc_nulls_first())
-    return map_arrow(rows, run, "a bigint, b bigint")
+    sent = map_arrow(rows, send, "a bigint, b bigint, grams binary")
+    return map_arrow(sent.repartition("a").sortWithinPartitions("a", F.col("b").asc_nulls_first()), compare, "a bigint, b bigint")
 
 
 def components(edges: DataFrame) -> DataFrame:
     """(set_id, label) of every vertex: the smallest set id of its connected component.
 
-    In each round a vertex joins its smallest neighbour, if that is smaller, and
-    edges are drawn again between what is left; only vertices without a smaller
-    neighbour remain, so that rounds are few.  Each is cut with a checkpoint.
+    In each round a vertex joins its smallest neighbour, if that is smaller, or
+    whom that one joined, three steps further at most; edges are drawn again
+    between what is left.  Only vertices without a smaller neighbour remain, and
+    runs of falling ids shrink to a quarter, so that rounds are few.  Each is
+    cut with a checkpoint.
     """
     edges = reliable(edges.select("a", "b").where("a != b").distinct())
     labels = reliable(edges.select(F.col("a").alias("set_id")).union(edges.select("b")).distinct().withColumn("label", F.col("set_id")))
     while not edges.isEmpty():
         both = edges.union(edges.select("b", "a"))
         to = reliable(both.groupBy("a").agg(F.min("b").alias("m")).where("m < a"))
+        for _ in range(2):
+            further = to.select(F.col("a").alias("m"), F.col("m").alias("far"))
+            to = to.join(further, "m", "left").select("a", F.coalesce("far", "m").alias("m"))
+        to = reliable(to)
         labels = reliable(labels.join(to, labels["label"] == to["a"], "left").select("set_id", F.coalesce("m", "label").alias("label")))
         edges = edges.join(to, "a", "left").select(F.coalesce("m", "a").alias("a"), "b")
         edges = edges.join(to.select(F.col("a").alias("b"), F.col("m").alias("mb")), "b", "left").select("a", F.coalesce("mb", "b").alias("b"))
@@ -283,17 +316,22 @@ def components(edges: DataFrame) -> DataFrame:
     return labels
 
 
-def remaining_pairs(members: DataFrame, labels: DataFrame, t: float) -> DataFrame:
-    """Pairs of large regions that the first round left: those of different components, as sizes and places allow."""
+def remaining_pairs(members: DataFrame, labels: DataFrame, counted: DataFrame, t: float) -> DataFrame:
+    """Pairs of large regions that the first round left, with what it counted of them: those of different components, as sizes and places allow."""
     m = members.join(labels.withColumnRenamed("set_id", "a"), "a", "left").withColumn("label", F.coalesce("label", "a"))
-    open_ = m.groupBy("region").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("region")
+    open_ = m.groupBy("region").agg(F.min("label").alias("least"), F.max("label").alias("most")).where("least < most").select("region")
     m = m.join(open_, "region", "left_semi")
     x, y = m.alias("x"), m.alias("y")
     need = F.ceil(t / (1 + t) * (F.col("x.size") + F.col("y.size")) - 1e-9)
     room = 1 + F.least(F.col("x.size") - F.col("x.place") - 1, F.col("y.size") - F.col("y.place") - 1)
     first = (F.col("x.size") < F.col("y.size")) | ((F.col("x.size") == F.col("y.size")) & (F.col("x.a") < F.col("y.a")))
     on = (F.col("x.region") == F.col("y.region")) & (F.col("x.label") != F.col("y.label")) & first & (F.col("x.size") >= t * F.col("y.size") - 1e-9) & (room >= need)
-    return x.join(y, on).select(F.least("x.a", "y.a").alias("a"), F.greatest("x.a", "y.a").alias("b")).distinct()
+    # Ids are compared as they were packed, as numbers without a sign.
+    sign = F.lit(-(1 << 63))
+    flip = F.col("x.a").bitwiseXOR(sign) > F.col("y.a").bitwiseXOR(sign)
+    pairs = x.join(y, on).select(F.when(flip, F.col("y.a")).otherwise(F.col("x.a")).alias("a"), F.when(flip, F.col("x.a")).otherwise(F.col("y.a")).alias("b"), F.col("x.size").alias("lo"), F.col("y.size").alias("hi")).distinct()
+    known = counted.select("a", "b", "common", "ok")
+    return pairs.join(known, ["a", "b"], "left").where("NOT coalesce(ok, false)").select("a", "b", "lo", "hi", F.coalesce("common", F.lit(0)).alias("common"))
 
 
 def grouped(docs: DataFrame, t: float = THRESHOLD, n: int = SHINGLE, near: int = NEAR) -> DataFrame:
@@ -307,18 +345,16 @@ def grouped(docs: DataFrame, t: float = THRESHOLD, n: int = SHINGLE, near: int =
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     parts = max(24, math.ceil(size / 6 * (1 - t) * 10 / REGION_BYTES))
     found = reliable(candidates(postings(docs, classes, n, t, parts), t, parts, near))
-    pairs = reliable(found.where("region IS NULL").select("a", "b").distinct())
-    members = found.where("region IS NOT NULL").select("region", "a", "size", "place")
+    pairs = found.where("region IS NULL").groupBy("a", "b").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.sum("common").alias("common"), F.max("ok").alias("ok"))
+    pairs = reliable(pairs)
+    members = found.where("region IS NOT NULL").select("region", "a", F.col("lo").alias("size"), F.col("hi").alias("place"))
 
     def verified(pairs: DataFrame) -> DataFrame:
-        ids = pairs.select(F.col("a").alias("set_id")).union(pairs.select("b")).distinct()
-        keys = reliable(known.join(ids, "set_id", "left_semi").groupBy("set_id").agg(F.min("key").alias("key")).select("key").distinct())
-        sets = reliable(sets_of(docs, keys, n).dropDuplicates(["set_id"]))
-        return reliable(similar(pairs, sets, t))
+        return reliable(similar(reliable(promising(pairs, members, t)), docs, known, n, t))
 
-    edges = verified(pairs)
+    edges = verified(pairs.where("ok"))
     labels = components(edges)
-    more = reliable(remaining_pairs(members, labels, t).join(pairs, ["a", "b"], "left_anti"))
+    more = reliable(remaining_pairs(members, labels, pairs, t))
     if not more.isEmpty():
         labels = components(edges.union(verified(more)))
     return known.join(labels, "set_id", "left").select("doc_id", "key", "set_id", F.coalesce("label", "set_id").alias("label"))
@@ -336,8 +372,8 @@ def near_duplicates(docs: DataFrame, t: float = THRESHOLD, n: int = SHINGLE) ->
     How: documents with the same bag of n-grams are one set from the start.
     Each set is sent to the regions of its first n-grams (see above), as packed
     columns.  A region's members are compared in order of size, each with the
-    next NEAR; sizes and places in the order rule out most pairs, exact
-    similarities decide on the rest.  Pairs found join into components; regions
+    next NEAR; sizes, places in the order and the number of common first n-grams
+    rule out most pairs, exact similarities decide on the rest.  Pairs found join into components; regions
     with more members that don't lie in one component yet are joined again, all
     pairs between components.  Pairs inside a component change nothing, so
     groups of thousands of copies cost in proportion to their size.

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import SPACE, hidden, reliable
+from .common import SPACE, hidden, if_small, reliable
 
 FEATURES = ("upper", "symbol", "repeat", "same_line")
 #: Width of a sketch's bins.
@@ -79,8 +79,8 @@ def filter_quality(docs: DataFrame, reach: float = REACH, shrink: float = SHRINK
     """The documents within the limits of their language and source, with all their columns.
 
     Limits come from every document, by one aggregation of narrow rows, and are
-    joined back, one row per group, without a hint.  A document goes if any
-    feature lies over its limit.
+    joined back, one row per group, broadcast if their number allows.  A document
+    goes if any feature lies over its limit.
 
     Defined cases: null languages and sources are groups of their own; a null or
     empty text has bin 0 for all features and stays; repeated rows count each
@@ -93,7 +93,7 @@ def filter_quality(docs: DataFrame, reach: float = REACH, shrink: float = SHRINK
     binned = with_bins(docs, prefix)
     keys = [prefix + "lang", prefix + "source"]
     lim = limits(reliable(binned.select(*keys, *(prefix + k for k in FEATURES))), prefix, reach, shrink)
-    lim = lim.withColumnsRenamed({k: k + "_l" for k in keys})
+    lim = if_small(reliable(lim.withColumnsRenamed({k: k + "_l" for k in keys})))
     ok = F.lit(True)
     for k in FEATURES:
         ok = ok & (F.col(prefix + k) <= F.col(f"{prefix}{k}_limit"))

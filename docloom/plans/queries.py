@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..folders import scratch
 from ..functions import text as tx
-from ..operators import collection, documents, enrich, filters, fulltext, fusion, graph, pages, post, search, split, tables, trees
+from ..operators import collection, documents, enrich, filters, fulltext, fusion, graph, pages, post, retrieve, search, split, tables, trees
 from ..providers import embed
 from ..sources import readers
 from ..streaming.ingest import stream_upsert
@@ -248,6 +248,16 @@ def lod_exclusion(spark: SparkSession, d: str) -> DataFrame:
     return fusion.without_lod(docs, F.when(F.col("n_chars") > 4000, "lod")).select("doc_id")
 
 
+@query()
+def retrieve_fused(spark: SparkSession, d: str) -> DataFrame:
+    units = embed(table(spark, d, "documents").select(F.col("doc_id").alias("unit_id"), F.col("text").alias("content"), "lang"))
+    text = retrieve.FullTextRetriever(fulltext.FullTextIndex(units))
+    vector = retrieve.VectorRetriever(collection.Collection.in_memory(units))
+    queries = _items(spark, d)
+    hits = retrieve.FusionRetriever([vector, text], "reciprocal_rank").retrieve(queries, 10)
+    return retrieve.Reranker(head=["lang"]).rerank(hits, queries, units, 5)
+
+
 # Post-processing
 
 

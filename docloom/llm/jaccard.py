@@ -36,7 +36,7 @@ CHUNK = 1 << 14
 #: Documents of a region, in order of size, to which one is compared in the first round; what a larger region has beyond is joined in the second.
 NEAR = 16
 #: Bytes of postings in a partition of regions.
-REGION_BYTES = 32 << 20
+REGION_BYTES = 16 << 20
 #: Bytes of postings kept by a task before they are sent on.
 FLUSH_BYTES = 16 << 20
 

@@ -102,7 +102,12 @@ def train(texts: list[str], langs: list[str], dim: int = DIM, epochs: int = EPOC
     rng = np.random.default_rng(seed)
     order = rng.permutation(len(texts))
     held, kept = order[: len(order) // 5], order[len(order) // 5 :]
-    both = lambda at: features(pa.array([texts[i] for i in at] + snippets([texts[i] for i in at], seed)))[0]
+
+    def both(at: np.ndarray) -> np.ndarray:
+        rows = [texts[i] for i in at]
+        batch = pa.RecordBatch.from_arrays([pa.array(rows + snippets(rows, seed), pa.string())], ["text"])
+        return np.concatenate([np.zeros((0, BUCKETS), np.float32), *(features(part.column(0))[0] for part in textvec.blocks(batch, rows=256))])
+
     x, yx = both(kept), np.concatenate([y[kept], y[kept]])
     emb = rng.normal(0, 1 / dim, (BUCKETS, dim)).astype(np.float32)
     w = rng.normal(0, 1, (dim, len(names))).astype(np.float32)
@@ -140,10 +145,13 @@ def train(texts: list[str], langs: list[str], dim: int = DIM, epochs: int = EPOC
 
 
 def training_sample(docs: DataFrame, per_language: int = PER_LANGUAGE) -> tuple[list[str], list[str]]:
-    """At most ``per_language`` texts of each language, those with the smallest hashes of id and text."""
+    """At most ``per_language`` texts of each language, those with the smallest hashes of id and text; repeated rows count each."""
     known = docs.where("lang IS NOT NULL AND length(text) > 0").select(F.col("lang").cast("string").alias("lang"), "text", F.xxhash64("doc_id", "text").alias("h"))
-    ranked = known.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy("h", "text")))
-    rows = ranked.where(F.col("rank") <= per_language).select("lang", "h", "text").toPandas().sort_values(["lang", "h", "text"])
+    # Only languages and hashes are shuffled and ranked; the texts are picked by them where they are read.
+    ranked = known.select("lang", "h").withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy("h")))
+    chosen = ranked.where(F.col("rank") <= per_language).select("lang", "h").distinct()
+    rows = known.join(F.broadcast(chosen), ["lang", "h"]).select("lang", "h", "text").toPandas()
+    rows = rows.sort_values(["lang", "h", "text"]).groupby("lang").head(per_language)
     return rows["text"].tolist(), rows["lang"].tolist()
 
 

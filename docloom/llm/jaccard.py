@@ -294,21 +294,21 @@ def similar(pairs: DataFrame, docs: DataFrame, known: DataFrame, n: int, t: floa
 def components(edges: DataFrame) -> DataFrame:
     """(set_id, label) of every vertex: the smallest set id of its connected component.
 
-    In each round a vertex joins its smallest neighbour, if that is smaller, or
-    whom that one joined, three steps further at most; edges are drawn again
-    between what is left.  Only vertices without a smaller neighbour remain, and
-    runs of falling ids shrink to a quarter, so that rounds are few.  Each is
-    cut with a checkpoint.
+    In each round a vertex joins its smallest neighbour, if that is smaller, and
+    follows whom that one joined to the end, by doubling steps; edges are drawn
+    again between what is left.  Only vertices without a smaller neighbour
+    remain, so that rounds are few.  Each step is cut with a checkpoint.
     """
     edges = reliable(edges.select("a", "b").where("a != b").distinct())
     labels = reliable(edges.select(F.col("a").alias("set_id")).union(edges.select("b")).distinct().withColumn("label", F.col("set_id")))
     while not edges.isEmpty():
         both = edges.union(edges.select("b", "a"))
         to = reliable(both.groupBy("a").agg(F.min("b").alias("m")).where("m < a"))
-        for _ in range(2):
-            further = to.select(F.col("a").alias("m"), F.col("m").alias("far"))
-            to = to.join(further, "m", "left").select("a", F.coalesce("far", "m").alias("m"))
-        to = reliable(to)
+        while True:  # twice as far each time, until all have arrived
+            hops = to.join(to.select(F.col("a").alias("m"), F.col("m").alias("far")), "m", "left")
+            if hops.where("far IS NOT NULL").isEmpty():
+                break
+            to = reliable(hops.select("a", F.coalesce("far", "m").alias("m")))
         labels = reliable(labels.join(to, labels["label"] == to["a"], "left").select("set_id", F.coalesce("m", "label").alias("label")))
         edges = edges.join(to, "a", "left").select(F.coalesce("m", "a").alias("a"), "b")
         edges = edges.join(to.select(F.col("a").alias("b"), F.col("m").alias("mb")), "b", "left").select("a", F.coalesce("mb", "b").alias("b"))

@@ -54,7 +54,12 @@ def parse_address(uri: str) -> Address:
 
 
 class HashedWords:
-    """The offline embedder: words hashed with signs into a vector of length 1; equal texts have equal vectors."""
+    """The offline embedder: words hashed with signs into a vector of length 1; equal texts have equal vectors.
+
+    ``most_tokens`` is a provider's limit of input, of which None is none: whole texts are embedded.
+    """
+
+    most_tokens: int | None = None
 
     def __init__(self, address: Address):
         self.dimension = int(address.params.get("dim", 64))
@@ -95,10 +100,17 @@ def batches(tokens: list[int], most_tokens: int = 200_000, most: int = 2048) ->
     return out
 
 
-def embed(units: DataFrame, uri: str = "offline/words", text: str = "content", most_tokens: int = 8000) -> DataFrame:
+def within_limit(model, texts: list[str]) -> list[str]:
+    """The texts cut to the model's ``most_tokens`` words separated by blanks; whole if it has none."""
+    most = getattr(model, "most_tokens", None)
+    return texts if most is None else [" ".join(t.split(" ")[:most]) for t in texts]
+
+
+def embed(units: DataFrame, uri: str = "offline/words", text: str = "content") -> DataFrame:
     """Adds ``embedding``; each distinct text is embedded once, by a provider made once a worker, and joined back.
 
-    ``embedding_content``, where there is one, is embedded instead of the text.
+    ``embedding_content``, where there is one, is embedded instead of the text.  Only for a
+    provider with ``most_tokens`` are texts cut, to so many words separated by blanks.
     """
     importable(units.sparkSession)
     source = F.coalesce(F.nullif("embedding_content", F.lit("")), F.col(text)) if "embedding_content" in units.columns else F.col(text)
@@ -108,7 +120,7 @@ def embed(units: DataFrame, uri: str = "offline/words", text: str = "content", m
     def run(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         model = provider(uri)
         for s in parts:
-            cut = [" ".join(t.split(" ")[:most_tokens]) for t in s]
+            cut = within_limit(model, list(s))
             out = [v for b in batches([math.ceil(len(t) / 4) for t in cut]) for v in model.embed([cut[i] for i in b])]
             yield pd.Series(out, index=s.index)
 

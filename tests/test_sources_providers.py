@@ -54,6 +54,24 @@ def test_embedding(spark):
     assert got[1] == got[2] and len(got[1]) == 8 and abs(sum(x * x for x in got[1]) - 1) < 1e-6
 
 
+class FirstWords(providers.HashedWords):
+    most_tokens = 3
+
+
+def test_long_texts_are_embedded_whole(spark):
+    head = " ".join(f"w{i}" for i in range(8000))
+    df = spark.createDataFrame([(1, head), (2, head + " and" + " more" * 500)], "id long, content string")
+    got = {r.id: r.embedding for r in providers.embed(df).collect()}
+    whole = providers.provider("offline/words").embed([r.content for r in df.orderBy("id").collect()])
+    assert got[1] == whole[0].tolist() and got[2] == whole[1].tolist() and got[1] != got[2]
+
+
+def test_only_providers_with_a_limit_have_texts_cut():
+    address = providers.parse_address("offline/words")
+    assert providers.within_limit(FirstWords(address), ["a b c d", "a b"]) == ["a b c", "a b"]
+    assert providers.within_limit(providers.HashedWords(address), ["a " * 9000]) == ["a " * 9000]
+
+
 def test_requests_are_bounded():
     assert providers.batches([5, 5, 5, 20, 1], 10, 2) == [[0, 1], [2], [3], [4]]
 

@@ -47,6 +47,15 @@ def test_rules(spark):
     assert {r.doc_id for r in rules.kept_ids(df).collect()} == set(range(300))
 
 
+def test_a_faulty_quarter_is_rejected(spark):
+    rows = [(i, "plain words of a usual kind. " * 5, "en", "a", 0) for i in range(700)]
+    for kind in ("SHOUTING ALL THE TIME " * 9, "again " * 80):
+        bad = [(1000 + i, kind, "en", "a", 0) for i in range(300)]
+        df = spark.createDataFrame(rows + bad, "doc_id bigint, text string, lang string, source string, n_chars bigint")
+        assert {r.doc_id for r in rules.filter_quality(df).collect()} == set(range(700))
+        assert {r.doc_id for r in rules.kept_ids(df).collect()} == set(range(700))
+
+
 def test_rule_cases(spark):
     kept = rules.filter_quality(odd(spark))
     assert kept.columns == odd(spark).columns

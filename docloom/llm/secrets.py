@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Iterator
 
@@ -20,8 +21,11 @@ NOVEL_BYTES = 14
 NOVEL_RATIO = 0.4
 #: Characters of surrounding text on each side.
 AROUND = 200
-#: Identifiers taken from the corpus, the most frequent ones.
-IDENTIFIERS = 2000
+#: Identifiers are words that at least so many documents have, and such a share of all, by which their number is bounded at any size of corpus.
+LEAST_DOCUMENTS = 3
+LEAST_SHARE = 1e-5
+#: Min-hashes by which copies of a document are told from other documents.
+COPY_KEYS = 4
 MASK = "[secret]"
 CODE = " ".join(
     """if else for while return import from class def function const let var public private static void string int true false none null new this self
@@ -46,11 +50,25 @@ def sensitive(text: Column) -> Column:
     return found
 
 
-def corpus_identifiers(docs: DataFrame, most: int = IDENTIFIERS) -> list[str]:
-    """The most frequent words of all texts with a keyword: 3 to 15 letters and underscores, no digit, so that no secret gets in."""
-    words = docs.where(sensitive(F.col("text"))).select(F.explode(F.regexp_extract_all("text", F.lit("[A-Za-z_]{3,}"), 0)).alias("w")).where("length(w) <= 15")
-    rows = words.groupBy("w").agg(F.count("*").alias("n")).where("n > 1").orderBy(F.desc("n"), "w").limit(most).collect()  # bounded by ``most``
-    return [r["w"] for r in rows]
+def corpus_identifiers(docs: DataFrame, least: int = LEAST_DOCUMENTS, share: float = LEAST_SHARE) -> list[str]:
+    """Words of LEAST_LENGTH or more letters and underscores that enough documents have, the most frequent first.
+
+    All documents are counted, but not what is assigned to a keyword: a value
+    found nowhere else can't be told from a secret that was pasted often.  Words
+    with digits don't count, nor do shorter ones: with prose words primed, short
+    secrets cost fewer bytes and are missed.  Documents with equal min-hashes
+    count once, by whichever min-hash leaves the fewest, so that copies of one
+    document don't make its secret an identifier.
+    """
+    text = F.coalesce("text", F.lit(""))
+    text = F.when(sensitive(text), F.regexp_replace(text, f"{ASSIGNED.pattern}|{PEM.pattern}", " ")).otherwise(text)
+    words = docs.select(F.array_distinct(F.regexp_extract_all(text, F.lit(r"\b[A-Za-z_]{3,}\b"), 0)).alias("words"))
+    words = words.select("words", F.filter("words", lambda w: F.length(w) >= LEAST_LENGTH).alias("long")).where(F.size("long") > 0)
+    keys = F.array(*(F.array_min(F.transform("words", lambda w, k=k: F.xxhash64(w, F.lit(k)))) for k in range(COPY_KEYS)))
+    each = words.select(keys.alias("keys"), F.explode("long").alias("w")).select("w", F.posexplode("keys").alias("k", "key"))
+    each = each.distinct().groupBy("w", "k").agg(F.count("*").alias("n")).groupBy("w").agg(F.min("n").alias("n"))
+    rows = each.where(F.col("n") >= max(least, math.ceil(share * docs.count()))).collect()  # bounded by ``share``
+    return [r["w"] for r in sorted(rows, key=lambda r: (-r["n"], r["w"]))]
 
 
 class Novelty:

@@ -19,6 +19,25 @@ def test_secrets_are_found_and_placeholders_are_not(spark):
     assert sorted(got) == [(0, HEX), (1, HEX[::-1]), (5, HEX.upper())]
 
 
+def test_names_of_the_corpus_are_known_however_long(spark):
+    name, other = "getRefreshTokenFromSession", "currentUserAccountTokenName"
+    uses = [f"Here {w} {x} calls {name}() and {other} once" for w, x in (("alder", "amber"), ("birch", "blue"), ("cedar", "cyan"), ("drake", "dun"), ("elm", "ecru"), ("fir", "fawn"), ("gorse", "gold"), ("hazel", "hue"))]
+    uses = [u + " " + " ".join(f"{'abcdefgh'[i]}{'klmnopqrstuvw'[j]}oo" for j in range(13)) for i, u in enumerate(uses)]
+    code = [f"token = {name}", f"token = {other}", f'token = "{HEX}"']
+    found = secrets.find_secrets(docs(spark, *uses, *code)).collect()
+    assert [r.doc_id for r in found] == [len(uses) + 2]
+    assert [r.doc_id for r in secrets.find_secrets(docs(spark, *code)).orderBy("doc_id").collect()] == [0, 1, 2]
+
+
+def test_copies_dont_make_a_secret_a_name(spark):
+    secret = "qzWvXkJpYbGdRfHmTnLs"
+    text = f"once {secret} was said here. {PROSE} token = {secret}"
+    copies = [text + " end" * (i % 2) for i in range(12)]
+    assert len(secrets.find_secrets(docs(spark, *copies)).collect()) == 12
+    pasted = [f"{w * 3} {x} password = {secret}" for w, x in zip("abcdefgh", "stuvwxyz", strict=True)]
+    assert len(secrets.find_secrets(docs(spark, *pasted)).collect()) == 8
+
+
 def test_repeated_secrets_are_each_found():
     n = secrets.Novelty([])
     text = f'token = "{HEX}" and token = "{HEX}"'

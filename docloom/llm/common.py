@@ -14,11 +14,14 @@ SPACE = r" \t\n\r"
 def shared_folder(spark: SparkSession) -> str:
     """The folder that all executors share: what the session names in ``spark.checkpoint.dir``.
 
-    Only where nothing is named, as in tests, a temporary one is made.
+    Only where nothing is named and all runs on one machine, as in tests, a
+    temporary one is made; a cluster without a shared folder is an error.
     """
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named and not (sc.master.startswith("local") and not sc.master.startswith("local-cluster")):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="docloom-checkpoint-"))
     return sc.getCheckpointDir()
 
@@ -57,3 +60,13 @@ BROADCAST_ROWS = 1_000_000
 def if_small(df: DataFrame, rows: int | None = None, most: int = BROADCAST_ROWS) -> DataFrame:
     """Marks a narrow, already materialised side for broadcasting if it has at most ``most`` rows; else the join is left to shuffle."""
     return F.broadcast(df) if (df.count() if rows is None else rows) <= most else df
+
+
+#: Bytes up to which a side is sent to all executors.
+BROADCAST_BYTES = 24 << 20
+
+
+def if_light(df: DataFrame, row_bytes: Column, most: int = BROADCAST_BYTES) -> DataFrame:
+    """Marks an already materialised side for broadcasting if its rows, each of ``row_bytes``, are at most ``most`` bytes in all; else the join is left to shuffle."""
+    size = df.agg(F.sum(row_bytes.cast("bigint"))).first()[0] or 0
+    return F.broadcast(df) if size <= most else df

@@ -1,23 +1,26 @@
-"""N-gram Jaccard join: documents whose sets of word n-grams are near, and the groups that they form.
-
-The metric-space join partitions by pivots, copies what lies in a triangle
-window to further regions, and joins the regions on.  Pivots here are single
-n-grams, the smallest sets of the space: at the distances asked for, 1 - 0.5,
-a window around the border between two documents' regions has the width
-2 * 0.5 = 1, which is the whole range of the Jaccard distance, and unrelated
-texts lie at a distance of almost exactly 1 from any document anyway, so that
-documents as pivots would copy all to all.  From a single n-gram only the sets
-that have it are nearer than 1.  A document's own region is that of the pivot
-first in a global order, rare before frequent.  A document within the distance
-of it lacks at most |x| - ceil(t |x|) of its n-grams, so the two have one of
-the first |x| - ceil(t |x|) + 1 in common: these are the further regions to
-which it is copied, and no pair is lost.
+"""N-gram Jaccard join: documents whose sets of word n-grams are near, the links between them and the groups that they form.
+
+A metric-space join divides by pivots, copies what lies in a triangle window to
+further regions, and joins the regions on.  Over a whole corpus documents can't
+be the pivots: unrelated texts lie at a distance of 1 from any document, within
+every window of width 2 (1 - t).  So the join has two levels.
+
+Over the corpus the regions are those of single n-grams, the smallest sets of
+the space, in a global order, rare before frequent.  A document lacks at most
+|x| - ceil(t |x|) n-grams of one that is near to it, so the two have one of the
+first |x| - ceil(t |x|) + 1 in common: these are the regions to which it is
+copied.  What is found there connects documents into components, and no near
+pair lies across two components.
+
+Inside a component documents are near enough for pivots among themselves: there
+``voronoi`` counts every link, by Voronoi regions and triangle windows, recursively.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Callable, Iterator
+import re
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -25,20 +28,22 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..workers import map_arrow
-from . import textvec
-from .common import if_small, reliable
+from . import textvec, voronoi
+from .common import if_light, if_small, reliable
 
 SHINGLE = 3
 THRESHOLD = 0.5
 #: Counters of the frequency sketch that orders the n-grams; any order gives the same result.
-SLOTS = 1 << 20
-CHUNK = 1 << 14
+SLOTS = 1 << 24
+CHUNK = 1 << 18
 #: Documents of a region, in order of size, to which one is compared in the first round; what a larger region has beyond is joined in the second.
 NEAR = 16
 #: Bytes of postings in a partition of regions.
 REGION_BYTES = 16 << 20
 #: Bytes of postings kept by a task before they are sent on.
 FLUSH_BYTES = 16 << 20
+#: Partitions to which one shuffle sends; more are reached in two.
+WIDE = 4096
 
 _U = np.uint64
 
@@ -67,13 +72,13 @@ def survey(docs: DataFrame, n: int) -> DataFrame:
     doc_type = docs.schema["doc_id"].dataType
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros(SLOTS, np.uint32)
+        counts = np.zeros(SLOTS, np.uint16)  # a counter that is full stays so; it only serves the order
         id_type = None
         for part, h, row in text_blocks(batches, n):
             rows = part.num_rows
             id_type = part.column(0).type
             slot, times = np.unique((h & _U(SLOTS - 1)).astype(np.uint32), return_counts=True)
-            counts[slot] += times.astype(np.uint32)
+            counts[slot] = np.minimum(counts[slot].astype(np.int64) + times, 65535)
             nothing = [pa.nulls(rows, pa.int32()), pa.nulls(rows, pa.binary())]
             yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(set_ids(h, row, rows).view(np.int64)), *nothing], NAMES)
         if id_type is not None:
@@ -94,11 +99,11 @@ def frequency_classes(surveyed: DataFrame) -> np.ndarray:
         sums: dict[int, np.ndarray] = {}
         for batch in batches:
             for chunk, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                sums[chunk] = sums.get(chunk, 0) + textvec.spread(blob, np.uint32).astype(np.int64)
+                sums[chunk] = sums.get(chunk, 0) + textvec.spread(blob, np.uint16).astype(np.int64)
         classes = [np.minimum(255, np.round(8 * np.log2(1 + s))).astype(np.uint8).tobytes() for s in sums.values()]
         yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array(classes, pa.binary())], ["chunk", "classes"])
 
-    parts = surveyed.where("chunk IS NOT NULL").select("chunk", "counts").repartition(min(8, SLOTS // CHUNK), "chunk")
+    parts = surveyed.where("chunk IS NOT NULL").select("chunk", "counts").repartition(16, "chunk")
     out = np.zeros(SLOTS, np.uint8)
     for r in map_arrow(parts, run, "chunk int, classes binary").collect():
         out[r["chunk"] * CHUNK : (r["chunk"] + 1) * CHUNK] = np.frombuffer(r["classes"], np.uint8)
@@ -138,40 +143,64 @@ def postings(docs: DataFrame, classes: np.ndarray, n: int, t: float, parts: int)
         yield from flush(held)
 
     def flush(held: list[tuple[np.ndarray, ...]]) -> Iterator[pa.RecordBatch]:
-        if not held:
-            return
-        token, ids, count, place = (np.concatenate(c) for c in zip(*held, strict=True))
-        held.clear()
-        token = textvec.mix64(token)
-        where = (token % _U(parts)).astype(np.int64)
-        order = np.argsort(where, kind="stable")
-        token, ids, count, place, where = token[order], ids[order], count[order], place[order], where[order]
-        cut = np.searchsorted(where, np.arange(parts + 1))
-        for p in range(parts):
-            a, b = cut[p], cut[p + 1]
-            if b > a:
-                sets, first, of = np.unique(ids[a:b], return_index=True, return_inverse=True)
-                # Within a part 32 bits tell regions apart well enough: two that fall together only give candidates in vain.
-                blob = b"".join(
-                    (np.array([len(sets), b - a], np.int64).tobytes(), sets.tobytes(), count[a:b][first].tobytes(), (token[a:b] >> _U(32)).astype(np.uint32).tobytes(), of.astype(np.uint32).tobytes(), place[a:b].tobytes())
-                )
-                yield pa.RecordBatch.from_arrays([pa.array([p], pa.int32()), pa.array([blob], pa.binary())], ["part", "blob"])
-
-    return map_arrow(docs.select("text"), run, "part int, blob binary")
+        if held:
+            token, ids, count, place = (np.concatenate(c) for c in zip(*held, strict=True))
+            held.clear()
+            yield from packed(textvec.mix64(token), ids, count, place, parts, -(-parts // WIDE))
+
+    return map_arrow(docs.select("text"), run, "part bigint, blob binary")
+
+
+def packed(token: np.ndarray, ids: np.ndarray, count: np.ndarray, place: np.ndarray, parts: int, together: int) -> Iterator[pa.RecordBatch]:
+    """(part, blob) of postings, one for each part, or each group of so many parts ``together``, that has any.
+
+    Within a part 32 bits tell regions apart well enough: two that fall together
+    only give candidates in vain.
+    """
+    if not len(token):
+        return
+    where = (token % _U(parts)).astype(np.int64) // together
+    order = np.argsort(where, kind="stable")
+    token, ids, count, place, where = token[order], ids[order], count[order], place[order], where[order]
+    if together == 1:
+        token = (token >> _U(32)).astype(np.uint32)
+    cut = np.flatnonzero(np.concatenate([[True], where[1:] != where[:-1], [True]]))
+    number, blobs = [], []
+    for a, b in zip(cut[:-1], cut[1:], strict=True):
+        sets, first, of = np.unique(ids[a:b], return_index=True, return_inverse=True)
+        head = np.array([len(sets), b - a, token.itemsize], np.int64)
+        number.append(int(where[a]))
+        blobs.append(b"".join(x.tobytes() for x in (head, sets, count[a:b][first], token[a:b], of.astype(np.uint32), place[a:b])))
+    yield pa.RecordBatch.from_arrays([pa.array(number, pa.int64()), pa.array(blobs, pa.binary())], ["part", "blob"])
 
 
 def unpack(blob: bytes) -> tuple[np.ndarray, ...]:
     """(token, set id, size, place) of a blob's postings."""
-    k, m = np.frombuffer(blob, np.int64, 2)
-    at = 16
+    k, m, width = (int(v) for v in np.frombuffer(blob, np.int64, 3))
+    at = 24
     sets = np.frombuffer(blob, _U, k, at)
     size = np.frombuffer(blob, np.uint32, k, at := at + 8 * k)
-    token = np.frombuffer(blob, np.uint32, m, at := at + 4 * k)
-    of = np.frombuffer(blob, np.uint32, m, at := at + 4 * m)
+    token = np.frombuffer(blob, np.dtype(f"u{width}"), m, at := at + 4 * k)
+    of = np.frombuffer(blob, np.uint32, m, at := at + width * m)
     place = np.frombuffer(blob, np.uint16, m, at + 4 * m)
     return token, sets[of], size[of], place
 
 
+def by_part(blobs: DataFrame, parts: int) -> DataFrame:
+    """Blobs with those of a part together, in one partition and one after the other; groups of parts are taken apart where they arrive."""
+
+    def refine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for blob in batch.column(1):
+                token, ids, size, place = unpack(blob.as_py())
+                yield from packed(token, ids, size, place, parts, 1)
+
+    out = blobs.repartition(min(parts, WIDE), "part")
+    if parts > WIDE:
+        out = map_arrow(out, refine, "part bigint, blob binary")
+    return out.sortWithinPartitions("part")
+
+
 def near_pairs(token: np.ndarray, ids: np.ndarray, size: np.ndarray, place: np.ndarray, t: float, near: int) -> tuple[np.ndarray, ...]:
     """(a, b, smaller size, larger size, common, ok, rest) of the regions in a part.
 
@@ -213,25 +242,33 @@ def near_pairs(token: np.ndarray, ids: np.ndarray, size: np.ndarray, place: np.n
 def candidates(blobs: DataFrame, t: float, parts: int, near: int) -> DataFrame:
     """Two kinds of rows: pairs (a, b, lo, hi, common, ok) as near_pairs has them; and, with a region, the members (a, lo: size, hi: place) of each large one."""
 
+    NAMES = ["region", "a", "b", "lo", "hi", "common", "ok"]
+
+    def joined(p: int, held: list[tuple[np.ndarray, ...]]) -> Iterator[pa.RecordBatch]:
+        token, ids, size, place = (np.concatenate(c) for c in zip(*held, strict=True))
+        held.clear()
+        a, b, lo, hi, common, ok, rest = near_pairs(token, ids, size, place, t, near)
+        yield pa.RecordBatch.from_arrays([pa.nulls(len(a), pa.int64()), *(pa.array(v) for v in (a.view(np.int64), b.view(np.int64), lo, hi, common, ok))], NAMES)
+        region = token[rest].astype(np.int64) * parts + p
+        columns = [pa.array(v) for v in (region, ids[rest].view(np.int64), size[rest].astype(np.int64), place[rest].astype(np.int64))]
+        yield pa.RecordBatch.from_arrays([*columns[:2], pa.nulls(len(rest), pa.int64()), *columns[2:], pa.nulls(len(rest), pa.int64()), pa.nulls(len(rest), pa.bool_())], NAMES)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        by_part: dict[int, list[tuple[np.ndarray, ...]]] = {}
+        now, held = None, []
         for batch in batches:
             for p, blob in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                by_part.setdefault(p, []).append(unpack(blob.as_py()))
-        for p in list(by_part):
-            token, ids, size, place = (np.concatenate(c) for c in zip(*by_part.pop(p), strict=True))
-            a, b, lo, hi, common, ok, rest = near_pairs(token, ids, size, place, t, near)
-            yield pa.RecordBatch.from_arrays([pa.nulls(len(a), pa.int64()), *(pa.array(v) for v in (a.view(np.int64), b.view(np.int64), lo, hi, common, ok))], NAMES)
-            region = token[rest].astype(np.int64) * parts + p
-            columns = [pa.array(v) for v in (region, ids[rest].view(np.int64), size[rest].astype(np.int64), place[rest].astype(np.int64))]
-            yield pa.RecordBatch.from_arrays([*columns[:2], pa.nulls(len(rest), pa.int64()), *columns[2:], pa.nulls(len(rest), pa.int64()), pa.nulls(len(rest), pa.bool_())], NAMES)
+                if p != now and held:
+                    yield from joined(now, held)
+                now = p
+                held.append(unpack(blob.as_py()))
+        if held:
+            yield from joined(now, held)
 
-    NAMES = ["region", "a", "b", "lo", "hi", "common", "ok"]
-    return map_arrow(blobs.repartition(parts, "part"), run, "region bigint, a bigint, b bigint, lo bigint, hi bigint, common bigint, ok boolean")
+    return map_arrow(by_part(blobs, parts), run, "region bigint, a bigint, b bigint, lo bigint, hi bigint, common bigint, ok boolean")
 
 
 def promising(pairs: DataFrame, members: DataFrame, t: float) -> DataFrame:
-    """(a, b) of the pairs that may have the overlap needed.
+    """(a, b, common) of the pairs that may have the overlap needed.
 
     It is at most: the n-grams that the two have in common among the first ones
     of each, which are those counted and, in large regions, as many as either
@@ -240,7 +277,7 @@ def promising(pairs: DataFrame, members: DataFrame, t: float) -> DataFrame:
     large = members.groupBy("a").agg(F.count("*").alias("large"))
     p = pairs.join(large, "a", "left").join(large.select(F.col("a").alias("b"), F.col("large").alias("large_b")), "b", "left")
     most = F.col("common") + F.least(F.coalesce("large", F.lit(0)), F.coalesce("large_b", F.lit(0))) + F.ceil(t * F.col("hi") - 1e-9) - 1
-    return p.where(most >= F.ceil(t / (1 + t) * (F.col("lo") + F.col("hi")) - 1e-9)).select("a", "b")
+    return p.where(most >= F.ceil(t / (1 + t) * (F.col("lo") + F.col("hi")) - 1e-9)).select("a", "b", "common")
 
 
 def similar(pairs: DataFrame, docs: DataFrame, known: DataFrame, n: int, t: float) -> DataFrame:
@@ -256,7 +293,7 @@ def similar(pairs: DataFrame, docs: DataFrame, known: DataFrame, n: int, t: floa
     sends = one.join(to.join(own, "set_id", "full_outer"), "set_id")
     sends = reliable(sends.select(F.col("d.doc_id").alias("send_id"), F.col("d.key").alias("send_key"), "set_id", F.coalesce("own", F.lit(False)).alias("own"), F.coalesce("to", F.array().cast("array<bigint>")).alias("to")))
     rows = docs.select("text", F.col("doc_id"), F.xxhash64("text").alias("key"))
-    rows = rows.join(if_small(sends, most=300_000), F.col("doc_id").eqNullSafe(F.col("send_id")) & (F.col("key") == F.col("send_key"))).select("text", "set_id", "own", "to")
+    rows = rows.join(if_light(sends, F.lit(48) + 8 * F.size("to")), F.col("doc_id").eqNullSafe(F.col("send_id")) & (F.col("key") == F.col("send_key"))).select("text", "set_id", "own", "to")
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, h, row in text_blocks(batches, n):
@@ -316,27 +353,42 @@ def components(edges: DataFrame) -> DataFrame:
     return labels
 
 
+def unconnected(pairs: DataFrame, labels: DataFrame) -> DataFrame:
+    """The pairs (a, b, ...) that lie in different components; ids without a label are their own."""
+    out = pairs
+    for side in ("a", "b"):
+        out = out.join(labels.select(F.col("set_id").alias(side), F.col("label").alias(f"label_{side}")), side, "left").withColumn(f"label_{side}", F.coalesce(f"label_{side}", side))
+    return out.where("label_a != label_b").drop("label_a", "label_b")
+
+
 def remaining_pairs(members: DataFrame, labels: DataFrame, counted: DataFrame, t: float) -> DataFrame:
-    """Pairs of large regions that the first round left, with what it counted of them: those of different components, as sizes and places allow."""
-    m = members.join(labels.withColumnRenamed("set_id", "a"), "a", "left").withColumn("label", F.coalesce("label", "a"))
-    open_ = m.groupBy("region").agg(F.min("label").alias("least"), F.max("label").alias("most")).where("least < most").select("region")
-    m = m.join(open_, "region", "left_semi")
-    x, y = m.alias("x"), m.alias("y")
+    """(a, b) of the pairs of large regions that haven't been counted in any small one and lie in different components, as sizes, places and their numbers of large regions allow.
+
+    The n-grams that the two have in common among the first of each all lie in
+    large regions, so both need as many of these as a near pair has there at
+    least.  In each region the members of the component with the most there are
+    compared with the others only, not with each other.
+    """
+    large = members.groupBy("a").agg(F.count("*").alias("large"))
+    m = members.join(labels.withColumnRenamed("set_id", "a"), "a", "left").withColumn("label", F.coalesce("label", "a")).join(large, "a")
+    of = m.groupBy("region", "label").agg(F.count("*").alias("n")).groupBy("region").agg(F.max_by("label", F.struct("n", "label")).alias("main"), F.count("*").alias("kinds")).where("kinds > 1").select("region", "main")
+    m = reliable(m.join(of, "region"))
+    x, y = m.where("label != main").alias("x"), m.alias("y")
+    lo, hi = F.least("x.size", "y.size"), F.greatest("x.size", "y.size")
     need = F.ceil(t / (1 + t) * (F.col("x.size") + F.col("y.size")) - 1e-9)
     room = 1 + F.least(F.col("x.size") - F.col("x.place") - 1, F.col("y.size") - F.col("y.place") - 1)
-    first = (F.col("x.size") < F.col("y.size")) | ((F.col("x.size") == F.col("y.size")) & (F.col("x.a") < F.col("y.a")))
-    on = (F.col("x.region") == F.col("y.region")) & (F.col("x.label") != F.col("y.label")) & first & (F.col("x.size") >= t * F.col("y.size") - 1e-9) & (room >= need)
+    once = (F.col("y.label") == F.col("y.main")) | (F.col("x.a") < F.col("y.a"))
+    enough = F.least("x.large", "y.large") + F.ceil(t * hi - 1e-9) - 1 >= need
+    on = (F.col("x.region") == F.col("y.region")) & (F.col("x.label") != F.col("y.label")) & once & (lo >= t * hi - 1e-9) & (room >= need) & enough
     # Ids are compared as they were packed, as numbers without a sign.
     sign = F.lit(-(1 << 63))
     flip = F.col("x.a").bitwiseXOR(sign) > F.col("y.a").bitwiseXOR(sign)
-    pairs = x.join(y, on).select(F.when(flip, F.col("y.a")).otherwise(F.col("x.a")).alias("a"), F.when(flip, F.col("x.a")).otherwise(F.col("y.a")).alias("b"), F.col("x.size").alias("lo"), F.col("y.size").alias("hi")).distinct()
-    known = counted.select("a", "b", "common", "ok")
-    return pairs.join(known, ["a", "b"], "left").where("NOT coalesce(ok, false)").select("a", "b", "lo", "hi", F.coalesce("common", F.lit(0)).alias("common"))
+    pairs = x.join(y, on).select(F.when(flip, F.col("y.a")).otherwise(F.col("x.a")).alias("a"), F.when(flip, F.col("x.a")).otherwise(F.col("y.a")).alias("b")).distinct()
+    return pairs.join(counted.select("a", "b"), ["a", "b"], "left_anti")
 
 
 def grouped(docs: DataFrame, t: float = THRESHOLD, n: int = SHINGLE, near: int = NEAR) -> DataFrame:
     """(doc_id, key, set_id, label) of every document that has words; key is xxhash64(text), documents with one label form a group."""
-    spark = docs.sparkSession
     docs = docs.select("doc_id", "text")
     surveyed = reliable(survey(docs, n))
     classes = frequency_classes(surveyed)
@@ -349,34 +401,66 @@ def grouped(docs: DataFrame, t: float = THRESHOLD, n: int = SHINGLE, near: int =
     pairs = reliable(pairs)
     members = found.where("region IS NOT NULL").select("region", "a", F.col("lo").alias("size"), F.col("hi").alias("place"))
 
-    def verified(pairs: DataFrame) -> DataFrame:
-        return reliable(similar(reliable(promising(pairs, members, t)), docs, known, n, t))
-
-    edges = verified(pairs.where("ok"))
-    labels = components(edges)
+    def joined(labels: DataFrame | None, edges: DataFrame | None, more: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """Components after the near ones of further pairs are added."""
+        new = reliable(similar(more, docs, known, n, t))
+        edges = new if edges is None else edges.union(new)
+        return components(edges), edges
+
+    # First each set with the one that it shares most with; then what of the rest isn't connected by that.
+    good = reliable(promising(pairs.where("ok"), members, t))
+    labels, edges = joined(None, None, reliable(good.groupBy("b").agg(F.max_by("a", F.struct("common", "a")).alias("a")).select("a", "b")))
+    # Places that only a common n-gram of a large region allows: both need such regions.
+    late = promising(pairs.where("NOT ok").join(members.select("a").distinct(), "a", "left_semi").join(members.select(F.col("a").alias("b")).distinct(), "b", "left_semi"), members, t)
+    more = reliable(unconnected(good.union(late), labels).select("a", "b"))
+    if not more.isEmpty():
+        labels, edges = joined(labels, edges, more)
     more = reliable(remaining_pairs(members, labels, pairs, t))
     if not more.isEmpty():
-        labels = components(edges.union(verified(more)))
+        labels, edges = joined(labels, edges, more)
     return known.join(labels, "set_id", "left").select("doc_id", "key", "set_id", F.coalesce("label", "set_id").alias("label"))
 
 
+def component_members(rows: DataFrame, docs: DataFrame, n: int) -> DataFrame:
+    """Each set of a component of several, once, with the number of its documents, as voronoi.MEMBERS."""
+    one = rows.groupBy("label", "set_id").agg(F.min(F.struct("doc_id", "key")).alias("d"), F.count("*").alias("weight"))
+    several = one.groupBy("label").agg(F.count("*").alias("n")).where("n > 1").select("label")
+    one = reliable(one.join(several, "label", "left_semi").select("label", "set_id", "weight", F.col("d.doc_id").alias("send_id"), F.col("d.key").alias("send_key")))
+    texts = docs.select("text", "doc_id", F.xxhash64("text").alias("key"))
+    texts = texts.join(if_light(one, F.lit(48)), F.col("doc_id").eqNullSafe(F.col("send_id")) & (F.col("key") == F.col("send_key"))).select("text", "label", "set_id", "weight", "send_id")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, h, row in text_blocks(batches, n):
+            grams, at = textvec.distinct(h, row, part.num_rows)
+            blobs = [grams[at[i] : at[i + 1]].tobytes() for i in range(part.num_rows)]
+            flags = [pa.array([v] * part.num_rows) for v in (False, True)]
+            yield pa.RecordBatch.from_arrays([*part.columns[1:4], *flags, pa.array(blobs, pa.binary())], voronoi.NAMES)
+
+    # A document that is there several times was read several times.
+    return map_arrow(texts, run, voronoi.MEMBERS).dropDuplicates(["cell", "set_id"])
+
+
 def near_duplicates(docs: DataFrame, t: float = THRESHOLD, n: int = SHINGLE) -> DataFrame:
-    """(group_id, doc_id, n_docs) of every document in a group of two or more.
+    """(group_id, doc_id, n_docs, n_links) of every document in a group of two or more.
 
     Two documents are near if the Jaccard similarity of their sets of word
-    n-grams is at least t; groups are the connected components of nearness, and
-    ``group_id`` is the smallest doc_id in them.  The result is exact, but for
-    collisions of 64-bit hashes.  Words are runs of ASCII letters, digits and
-    non-ASCII characters, without regard to ASCII case.
+    n-grams is at least t; groups are the connected components of nearness,
+    ``group_id`` is the smallest doc_id in them, ``n_docs`` their size and
+    ``n_links`` the number of other documents, copies included, to which this
+    one is near.  The result is exact, but for collisions of hashes: of 56 bits
+    between n-grams, of 64 between sets.  Words are those of textvec.words.
 
     How: documents with the same bag of n-grams are one set from the start.
     Each set is sent to the regions of its first n-grams (see above), as packed
     columns.  A region's members are compared in order of size, each with the
     next NEAR; sizes, places in the order and the number of common first n-grams
-    rule out most pairs, exact similarities decide on the rest.  Pairs found join into components; regions
-    with more members that don't lie in one component yet are joined again, all
-    pairs between components.  Pairs inside a component change nothing, so
-    groups of thousands of copies cost in proportion to their size.
+    rule out most pairs, exact similarities decide on the rest: first of each
+    set with the one with which it shares most, then of pairs that aren't
+    connected by that.  Pairs found join into components; regions with more
+    members that don't lie in one component yet are joined again.  The links
+    inside each component are counted by ``voronoi.links``.  Nowhere is a pair
+    sent for a group's every two members, so groups of thousands of copies cost
+    in proportion to their size.
 
     Defined cases: null, empty and wordless texts are near to none, not even to
     each other; a text of fewer than n words has one n-gram of all of them, so it
@@ -387,7 +471,10 @@ def near_duplicates(docs: DataFrame, t: float = THRESHOLD, n: int = SHINGLE) ->
     """
     rows = reliable(grouped(docs, t, n))
     groups = rows.groupBy("label").agg(F.min("doc_id").alias("group_id"), F.count("*").alias("n_docs")).where("n_docs > 1")
-    return rows.join(groups, "label").select("group_id", "doc_id", "n_docs")
+    sets = rows.groupBy("set_id").agg((F.count("*") - 1).alias("copies"))
+    linked = reliable(voronoi.links(reliable(component_members(rows, docs, n)), t))
+    out = rows.join(groups, "label").join(sets, "set_id").join(linked, "set_id", "left")
+    return out.select("group_id", "doc_id", "n_docs", (F.col("copies") + F.coalesce("links", F.lit(0))).alias("n_links"))
 
 
 def keep_one(docs: DataFrame, t: float = THRESHOLD, n: int = SHINGLE) -> DataFrame:
@@ -412,14 +499,19 @@ def keep_one(docs: DataFrame, t: float = THRESHOLD, n: int = SHINGLE) -> DataFra
     return kept.unionByName(again)
 
 
-def brute_force(texts: list[str | None], t: float = THRESHOLD, n: int = SHINGLE) -> list[int | None]:
-    """For tests: the index of the first document of each one's group, None for those without words; every pair is compared."""
-    words: Callable[[str], list[str]] = lambda s: "".join(c if ord(c) >= 128 or c.isalnum() else " " for c in s.translate(LOWER)).split(" ")
+LOWER = {c: c + 32 for c in range(65, 91)}
+ALONE = "\u3041-\u9fff\u0e01-\u0eff\u1000-\u109f\u1780-\u17ff\uf900-\ufaff"
+MARKS = "\u00a0\u2000-\u206f\u3000-\u3020\uff01-\uff0f\uff1a-\uff20\ufeff"
+WORD = re.compile(f"[{ALONE}]|(?:(?![{ALONE}{MARKS}])[a-z0-9\u0080-\U0010ffff])+")
+
+
+def brute_force(texts: list[str | None], t: float = THRESHOLD, n: int = SHINGLE) -> tuple[list[int | None], list[int]]:
+    """For tests: the index of the first document of each one's group, None for those without words, and each one's number of links; every pair is compared."""
     sets = []
     for s in texts:
-        w = [x for x in words(s or "") if x]
+        w = WORD.findall((s or "").translate(LOWER))
         sets.append({tuple(w[i : i + n]) for i in range(max(1, len(w) - n + 1))} if w else set())
-    parent = list(range(len(texts)))
+    parent, links = list(range(len(texts))), [0] * len(texts)
 
     def root(i: int) -> int:
         while parent[i] != i:
@@ -428,9 +520,9 @@ def brute_force(texts: list[str | None], t: float = THRESHOLD, n: int = SHINGLE)
 
     for i, x in enumerate(sets):
         for j in range(i):
-            if x and sets[j] and len(x & sets[j]) >= t * len(x | sets[j]) - 1e-9 and root(i) != root(j):
-                parent[max(root(i), root(j))] = min(root(i), root(j))
-    return [root(i) if s else None for i, s in enumerate(sets)]
-
-
-LOWER = {c: c + 32 for c in range(65, 91)}
+            if x and sets[j] and len(x & sets[j]) >= t * len(x | sets[j]) - 1e-9:
+                links[i] += 1
+                links[j] += 1
+                if root(i) != root(j):
+                    parent[max(root(i), root(j))] = min(root(i), root(j))
+    return [root(i) if s else None for i, s in enumerate(sets)], links

@@ -51,10 +51,14 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     global _POWERS, _INVERSES
     if len(_POWERS) < n:
         size = max(n, 2 * BLOCK_BYTES)
-        for name, base in (("_POWERS", _BASE), ("_INVERSES", _INV)):
+        pair = []
+        for base in (_BASE, _INV):
             p = np.full(size, base, dtype=_U64)
             p[0] = 1
-            globals()[name] = np.multiply.accumulate(p)
+            pair.append(np.multiply.accumulate(p))
+        if size > 8 * BLOCK_BYTES:  # one long word; not kept
+            return pair[0][:n], pair[1][:n]
+        _POWERS, _INVERSES = pair
     return _POWERS[:n], _INVERSES[:n]
 
 
@@ -86,19 +90,46 @@ def blocks(batch: pa.RecordBatch, text: str = "text", most: int = BLOCK_BYTES, r
         start = stop
 
 
-def words(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(hash, row) of every word in reading order.
+def _letters(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray | None]:
+    """(is a byte part of a word, does a character that is a word of its own begin there or end just before it).
 
-    A word is a maximal run of ASCII letters, digits and non-ASCII characters;
-    ASCII case is folded.  Words never reach over a row's end.
+    Characters of scripts written without blanks (Chinese, Japanese kana, Thai,
+    Lao, Khmer, Burmese) are words of one character; the no-break space, general
+    punctuation and the ideographic and full-width punctuation separate words.
     """
-    n = len(raw)
-    if n == 0:
-        return np.zeros(0, _U64), np.zeros(0, np.int64)
     inside = IS_WORD[raw]
+    if not (raw >= 0xC2).any():
+        return inside, None
+    inside = inside.copy()
+    lead2 = np.flatnonzero(raw == 0xC2)
+    lead2 = lead2[lead2 + 1 < len(raw)]
+    gap = lead2[raw[lead2 + 1] == 0xA0]
+    inside[gap] = inside[gap + 1] = False
+    lead = np.flatnonzero((raw >= 0xE0) & (raw < 0xF0))
+    lead = lead[lead + 2 < len(raw)]
+    if not len(lead):
+        return inside, None
+    a, b, c = (raw[lead + k].astype(np.int64) for k in range(3))
+    point = ((a & 15) << 12) | ((b & 63) << 6) | (c & 63)
+    gap = lead[((point >= 0x2000) & (point < 0x2070)) | ((point >= 0x3000) & (point < 0x3021)) | ((point >= 0xFF01) & (point < 0xFF10)) | ((point >= 0xFF1A) & (point < 0xFF21)) | (point == 0xFEFF)]
+    for k in range(3):
+        inside[gap + k] = False
+    alone = lead[((point >= 0x3041) & (point < 0xA000)) | ((point >= 0xE01) & (point < 0xF00)) | ((point >= 0x1000) & (point < 0x10A0)) | ((point >= 0x1780) & (point < 0x1800)) | ((point >= 0xF900) & (point < 0xFB00))]
+    if not len(alone):
+        return inside, None
+    edge = np.zeros(len(raw) + 1, bool)
+    edge[alone] = edge[alone + 3] = True
+    return inside, edge[: len(raw)]
+
+
+def _words(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    n = len(raw)
+    inside, edge = _letters(raw)
     first = np.zeros(n + 1, bool)
     first[offsets] = True  # a row's first byte opens a word even after a word byte
     first = first[:n]
+    if edge is not None:
+        first |= edge
     before = np.empty(n, bool)
     before[0] = False
     before[1:] = inside[:-1]
@@ -119,6 +150,39 @@ def words(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return mix64(value), row
 
 
+def words(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(hash, row) of every word in reading order.
+
+    A word is a maximal run of ASCII letters, digits and non-ASCII characters,
+    or one character of a script without blanks (see _letters); ASCII case is
+    folded.  Words never reach over a row's end.  A word's hash doesn't depend on its place, so
+    that a long text is worked through in pieces, cut at bytes that belong to no
+    word, and only the words' hashes are kept of it; only a single run of more
+    than BLOCK_BYTES word bytes makes a longer piece.
+    """
+    n = len(raw)
+    if n == 0:
+        return np.zeros(0, _U64), np.zeros(0, np.int64)
+    if n <= 2 * BLOCK_BYTES:
+        return _words(raw, offsets)
+    value, row, start = [], [], 0
+    while start < n:
+        stop = min(n, start + BLOCK_BYTES)
+        while stop < n:
+            gap = np.flatnonzero(raw[stop : stop + 4096] < 0x30)  # white space and ASCII marks, in no word and in no character
+            if len(gap):
+                stop += int(gap[0])
+                break
+            stop = min(n, stop + 4096)
+        lo, hi = np.searchsorted(offsets, [start, stop], side="right")
+        inner = np.concatenate([[0], offsets[lo:hi] - start, [stop - start]])
+        v, r = _words(raw[start:stop], inner)
+        value.append(v)
+        row.append(r + lo - 1)
+        start = stop
+    return np.concatenate(value), np.concatenate(row)
+
+
 def shingles(raw: np.ndarray, offsets: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
     """(hash, row) of every word n-gram, repeats included.
 

@@ -9,7 +9,7 @@ from docloom.llm import jaccard
 
 def expected(rows):
     groups = defaultdict(list)
-    for (doc_id, _), g in zip(rows, jaccard.brute_force([t for _, t in rows]), strict=True):
+    for (doc_id, _), g in zip(rows, jaccard.brute_force([t for _, t in rows])[0], strict=True):
         if g is not None:
             groups[g].append(doc_id)
     return [v for v in groups.values() if len(v) > 1]
@@ -18,10 +18,13 @@ def expected(rows):
 def check(spark, rows, **how):
     df = spark.createDataFrame(rows, "doc_id bigint, text string")
     got = defaultdict(list)
-    for r in jaccard.near_duplicates(df, **how).collect():
+    rows_of = jaccard.near_duplicates(df, **how).collect()
+    for r in rows_of:
         got[r.group_id].append(r.doc_id)
     want = {min(v): sorted(v) for v in expected(rows)}
     assert {k: sorted(v) for k, v in got.items()} == want
+    links = jaccard.brute_force([t for _, t in rows])[1]
+    assert {r.doc_id: r.n_links for r in rows_of} == {i: n for (i, _), n in zip(rows, links, strict=True) if n}
     return want
 
 

@@ -92,21 +92,25 @@ def survey(docs: DataFrame, n: int) -> DataFrame:
     return map_arrow(rows, run, f"doc_id {doc_type.simpleString()}, key bigint, set_id bigint, chunk int, counts binary")
 
 
-def frequency_classes(surveyed: DataFrame) -> np.ndarray:
-    """Per slot of the sketch a class from 0, rare, to 255: SLOTS bytes, whatever the corpus."""
+def frequency_classes(surveyed: DataFrame) -> list[tuple[int, bytes]]:
+    """(chunk, packed classes): per slot of the sketch a class from 0, rare, to 255; less than SLOTS bytes, whatever the corpus, and packed while the driver has them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[int, np.ndarray] = {}
         for batch in batches:
-            for chunk, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                sums[chunk] = sums.get(chunk, 0) + textvec.spread(blob, np.uint16).astype(np.int64)
-        classes = [np.minimum(255, np.round(8 * np.log2(1 + s))).astype(np.uint8).tobytes() for s in sums.values()]
+            for chunk, blob in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                sums[chunk] = sums.get(chunk, 0) + textvec.spread(blob.as_py(), np.uint16).astype(np.int64)
+        classes = [textvec.squeeze(np.minimum(255, np.round(4 * np.log2(1 + s))).astype(np.uint8)) for s in sums.values()]
         yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array(classes, pa.binary())], ["chunk", "classes"])
 
     parts = surveyed.where("chunk IS NOT NULL").select("chunk", "counts").repartition(16, "chunk")
+    return [(r["chunk"], bytes(r["classes"])) for r in map_arrow(parts, run, "chunk int, classes binary").collect()]
+
+
+def class_table(packed_classes: list[tuple[int, bytes]]) -> np.ndarray:
     out = np.zeros(SLOTS, np.uint8)
-    for r in map_arrow(parts, run, "chunk int, classes binary").collect():
-        out[r["chunk"] * CHUNK : (r["chunk"] + 1) * CHUNK] = np.frombuffer(r["classes"], np.uint8)
+    for chunk, blob in packed_classes:
+        out[chunk * CHUNK : (chunk + 1) * CHUNK] = textvec.spread(blob, np.uint8)
     return out
 
 
@@ -120,16 +124,17 @@ def overlap_needed(a: np.ndarray, b: np.ndarray, t: float) -> np.ndarray:
     return np.ceil(t / (1 + t) * (a + b) - 1e-9)
 
 
-def postings(docs: DataFrame, classes: np.ndarray, n: int, t: float, parts: int) -> DataFrame:
+def postings(docs: DataFrame, classes: list[tuple[int, bytes]], n: int, t: float, parts: int) -> DataFrame:
     """(part, blob): each document's regions, as columns of numbers for all documents that a task has for a part."""
     shared = docs.sparkSession.sparkContext.broadcast(classes)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = class_table(shared.value)
         held: list[tuple[np.ndarray, ...]] = []
         size = 0
         for part, h, row in text_blocks(batches, n):
             ids = set_ids(h, row, part.num_rows)
-            token, at = textvec.distinct(ordered(h, shared.value), row, part.num_rows)
+            token, at = textvec.distinct(ordered(h, table), row, part.num_rows)
             count = np.diff(at)
             place = np.arange(len(token)) - np.repeat(at[:-1], count)
             reach = count - np.ceil(t * count - 1e-9).astype(np.int64) + 1

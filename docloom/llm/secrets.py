@@ -14,13 +14,29 @@ from pyspark.sql import functions as F
 from ..workers import map_arrow
 from . import textvec
 
+#: Parts of names that make what is assigned to them sensitive.  They set how much novelty is asked for; what is measured doesn't depend on them.
 KEYWORDS = ("token", "secret", "passw", "pwd", "api_key", "apikey", "api-key", "access_key", "accesskey", "access-key", "private key", "private_key", "authorization", "credential")
+SENSITIVE = re.compile(r"(?i)token|secret|passw|passphrase|pwd|credential|authoriz|bearer|api[_\- ]?key|(?:^|[_\-. a-z])(?:key|auth|pass|salt|sig|signature)s?$")
+#: Names that also say other things; their values must be longer.
+WEAK = re.compile(r"(?i)(?:^|[_\-. a-z])(?:key|auth|pass|salt|sig|signature)s?$")
+WEAK_LENGTH = 12
+#: What a value starts with that only refers to one kept elsewhere.
+REFERENCE = ("$", "{{", "<", "%(", "%{", "#{", "@")
+#: Shortest value looked at, and the length from which a value in one kind of characters is.
+SHORTEST = 8
 LEAST_LENGTH = 16
-#: A string is reported if it adds at least so many bytes, and so many a character.
-NOVEL_BYTES = 14
+#: A value in a sensitive place is reported if it adds at least so many bytes, and so many a character.
+NOVEL_BYTES = 8
 NOVEL_RATIO = 0.4
-#: Characters of surrounding text on each side.
-AROUND = 200
+#: A long value in one kind of characters has to add more bytes.
+PLAIN_BYTES = 14
+#: The same for values of other names, quoted or not, and for key material without a name: these have to mix digits, small and capital letters.
+KEY_LENGTH = 20
+KEY_RATIO = 0.6
+BARE_LENGTH = 24
+BARE_RATIO = 0.7
+#: Characters of surrounding text on each side: the code near a value, not the document.
+AROUND = 1000
 #: Identifiers are words that at least so many documents have, and such a share of all, by which their number is bounded at any size of corpus.
 LEAST_DOCUMENTS = 3
 LEAST_SHARE = 1e-5
@@ -42,7 +58,7 @@ PEM = re.compile(r"-----BEGIN [A-Z ]{0,30}(PRIVATE KEY)-----\s*([A-Za-z0-9+/=\s]
 
 
 def sensitive(text: Column) -> Column:
-    """Does the text have any of the keywords; each candidate has one before it, so nothing else need be searched."""
+    """Does the text have any of the keywords."""
     low = F.lower(F.coalesce(text, F.lit("")))
     found = F.lit(False)
     for k in KEYWORDS:
@@ -76,38 +92,128 @@ class Novelty:
 
     def __init__(self, identifiers: list[str]):
         primed = (CODE + " " + " ".join(reversed(identifiers))).encode()  # the most frequent come last, where they are cheapest
-        self.compressor = zstandard.ZstdCompressor(level=6, dict_data=zstandard.ZstdCompressionDict(primed, dict_type=zstandard.DICT_TYPE_RAWCONTENT), write_content_size=False, write_checksum=False)
+        known = zstandard.ZstdCompressionDict(primed, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+        known.precompute_compress(level=6)
+        self.compressor = zstandard.ZstdCompressor(dict_data=known, write_content_size=False, write_checksum=False)
 
     def bytes(self, candidate: str, before: str, after: str) -> int:
-        known = (before.replace(candidate, " ") + "\n" + after.replace(candidate, " ") + "\n").encode()
-        return max(0, len(self.compressor.compress(known + candidate.encode())) - len(self.compressor.compress(known)))
+        known = (before.replace(candidate, " ") + "\n" + after.replace(candidate, " ") + "\n").encode("utf-8", "replace")
+        return max(0, len(self.compressor.compress(known + candidate.encode("utf-8", "replace"))) - len(self.compressor.compress(known)))
+
+
+SIGN = re.compile(r"=>|:=|[:=]")
+NAME = re.compile(r"""([\w.\-]{1,60}|[A-Za-z]{2,20} [A-Za-z]{2,20})["'`\]]{0,2}\s{0,12}$""")
+OPENING = re.compile(r"""=?\s{0,40}[\[({]{0,3}\s{0,40}(?:(?i:bearer|basic|token)\s{1,4})?""")
+QUOTED = {q: re.compile(rf"[^{q}\n]{{0,4096}}") for q in "\"'`"}
+VALUE = re.compile(r"""[^\s"'`,;<>(){}\[\]|]+""")
+USERINFO = re.compile(r"""://[^\s/?#@:"'<>]{0,100}:([^\s/@"'<>]{4,200})@[\w.\-]""")
+TAG = re.compile(r"<([A-Za-z][\w.\-]{1,60})(?:\s[^<>]{0,200})?>([^<>\n]{4,4096})</\1\s*>")
+BEARER = re.compile(r"(?i)\b(bearer)[ \t]{1,4}([A-Za-z0-9+/_=.~\-]{%d,})" % KEY_LENGTH)
+BARE = re.compile(r"(?<![A-Za-z0-9+/_=\-])[A-Za-z0-9+/_=\-]{%d,}" % BARE_LENGTH)
+
+
+def classes(value: str) -> tuple[bool, bool, bool, bool]:
+    """(digit, small letter, capital after the first character, other mark than - _ . ,) in the value."""
+    return any(c.isdigit() for c in value), any(c.islower() for c in value), any(c.isupper() for c in value[1:]), any(not c.isalnum() and c not in "-_.,' " for c in value)
+
+
+def mixed(value: str) -> bool:
+    digit, small, capital, mark = classes(value)
+    return digit + small + capital + mark >= 2
+
+
+def key_like(value: str) -> bool:
+    """Digits, small and capital letters, several of each, and no path or sentence."""
+    return sum(c.isdigit() for c in value) >= 3 and sum(c.islower() for c in value) >= 3 and sum(c.isupper() for c in value) >= 3 and " " not in value and "://" not in value and value.count("/") < 0.1 * len(value) and value.count(".") < 4
+
+
+def sensitivity(name: str) -> str | None:
+    """What makes a name that of a secret."""
+    m = SENSITIVE.search(name)
+    return m.group().strip(" _-.").lower() if m else None
+
+
+def wanted(value: str, name: str, sensitive: bool) -> tuple[int, float] | None:
+    """(bytes, bytes a character) that the value must add to be a secret; None if it can't be one."""
+    if value.startswith(REFERENCE):
+        return None
+    if sensitive and WEAK.search(name) and not SENSITIVE.search(WEAK.sub("", name)) and len(value) < WEAK_LENGTH:
+        return None
+    if sensitive and SHORTEST <= len(value) and " " not in value.strip():
+        if mixed(value):
+            return NOVEL_BYTES, NOVEL_RATIO
+        return (PLAIN_BYTES, NOVEL_RATIO) if len(value) >= LEAST_LENGTH else None
+    if len(value) >= KEY_LENGTH and key_like(value):
+        return PLAIN_BYTES, KEY_RATIO
+    return None
+
+
+def candidates(text: str) -> Iterator[tuple[int, int, str, bool]]:
+    """(start, end, name, sensitive place) of every value in the text: assigned to any name, in a tag, in a URL, a private key, or key material by itself."""
+    for m in PEM.finditer(text):
+        yield *m.span(2), "private key", True
+    for m in USERINFO.finditer(text):
+        yield *m.span(1), "url", True
+    for m in BEARER.finditer(text):
+        yield *m.span(2), "bearer", True
+    if "</" in text:
+        for m in TAG.finditer(text):
+            yield *m.span(2), m.group(1), bool(SENSITIVE.search(m.group(1)))
+    for m in SIGN.finditer(text):
+        at = m.end()
+        if text.startswith("//", at):
+            continue
+        name = NAME.search(text, max(0, m.start() - 80), m.start())
+        if name is None:
+            continue
+        a = OPENING.match(text, at).end()
+        quote = text[a : a + 1]
+        if quote in QUOTED and quote:
+            a += 1
+            b = QUOTED[quote].match(text, a).end()
+        else:
+            v = VALUE.match(text, a)
+            if v is None:
+                continue
+            b = v.end()
+            while b > a and text[b - 1] in ".:!?":
+                b -= 1
+        yield a, b, name.group(1), bool(SENSITIVE.search(name.group(1)))
+    for m in BARE.finditer(text):
+        yield *m.span(), "", False
 
 
 def scan(text: str, novelty: Novelty) -> list[tuple[int, int, str, int]]:
-    """(start, length, keyword, novel bytes) of each secret, in order, none overlapping."""
+    """(start, length, name, novel bytes) of each secret, in order, none overlapping."""
     found: list[tuple[int, int, str, int]] = []
-    for m in sorted([*ASSIGNED.finditer(text), *PEM.finditer(text)], key=lambda m: m.start(2)):
-        a, b = m.span(2)
-        if found and a < found[-1][0] + found[-1][1]:
+    # Of overlapping values one in a sensitive place comes first, then the longest.
+    for a, b, name, sensitive in sorted(candidates(text), key=lambda c: (not c[3], c[0] - c[1], c[0])):
+        value = text[a:b]
+        need = wanted(value, name, sensitive)
+        if need is None or (not name and not (len(value) >= BARE_LENGTH and key_like(value) and not text.endswith("base64,", 0, a))):
             continue
-        candidate = m.group(2).rstrip(".=-") if m.re is ASSIGNED else m.group(2)
-        b = a + len(candidate)
-        new = novelty.bytes(candidate, text[max(0, a - AROUND) : a], text[b : b + AROUND])
-        if len(candidate) >= LEAST_LENGTH and new >= NOVEL_BYTES and new >= NOVEL_RATIO * len(candidate):
-            found.append((a, b - a, m.group(1).lower(), new))
-    return found
+        if any(a < at + n and at < b for at, n, *_ in found):
+            continue
+        new = novelty.bytes(value, text[max(0, a - AROUND) : a], text[b : b + AROUND])
+        if new >= need[0] and new >= (need[1] if name else BARE_RATIO) * len(value):
+            found.append((a, b - a, sensitivity(name) or name.lower() or "key", new))
+    return sorted(found)
 
 
 def find_secrets(docs: DataFrame, identifiers: list[str] | None = None) -> DataFrame:
     """(doc_id, start, n_chars, keyword, novel_bytes) of every secret found.
 
-    Candidates are strings of LEAST_LENGTH characters or more that are assigned
-    to a name with a keyword, and the bodies of private keys.  Each is measured:
-    the bytes by which zstandard's output grows when it is appended to the
-    AROUND characters on its both sides, from which the candidate itself is
+    Every text is read, and every value in it is a candidate: what is assigned
+    to any name, quoted or not, the content of tags, passwords in URLs, bearer
+    tokens, bodies of private keys, and key material by itself.  Each is
+    measured: the bytes by which zstandard's output grows when it is appended to
+    the AROUND characters on its both sides, from which the value itself is
     taken out, after priming with a dictionary of code words, placeholders and
-    the corpus's own identifiers.  Placeholders and known names compress away;
-    what stays incompressible is reported, never the string itself.
+    the corpus's own identifiers.  How sensitive the place is says how much is
+    needed: NOVEL_BYTES where the name is that of a secret, more for values of
+    other names or none, which have to mix digits, small and capital letters, so
+    that digests and ids in prose aren't reported.  Placeholders and known names
+    compress away; what stays incompressible is reported, never the string itself.
 
     Defined cases: null and empty texts have none; a secret written several
     times is reported each time; repeated rows are reported each; null doc_ids
@@ -122,21 +228,20 @@ def find_secrets(docs: DataFrame, identifiers: list[str] | None = None) -> DataF
         for batch in batches:
             which, hits = [], []
             for i, text in enumerate(batch.column(1).to_pylist()):
-                got = scan(text, novelty)
+                got = scan(text, novelty) if text else []
                 which += [i] * len(got)
                 hits += got
             cols = list(zip(*hits, strict=True)) or [(), (), (), ()]
             kinds = (pa.int64(), pa.int64(), pa.string(), pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(which, pa.int64())), *(pa.array(c, k) for c, k in zip(cols, kinds, strict=True))], ["doc_id", "start", "n_chars", "keyword", "novel_bytes"])
 
-    rows = docs.select("doc_id", "text").where(sensitive(F.col("text")))
-    return map_arrow(rows, run, f"doc_id {doc_type}, start bigint, n_chars bigint, keyword string, novel_bytes bigint")
+    return map_arrow(docs.select("doc_id", "text"), run, f"doc_id {doc_type}, start bigint, n_chars bigint, keyword string, novel_bytes bigint")
 
 
 def redact_secrets(docs: DataFrame, identifiers: list[str] | None = None, mask: str = MASK) -> DataFrame:
     """``docs`` with each secret replaced by ``mask`` and ``n_chars``, if there, made to match; every document stays.
 
-    Texts without a keyword never leave the JVM.  Cases are those of find_secrets.
+    Blocks without a secret pass through unchanged.  Cases are those of find_secrets.
     """
     names = corpus_identifiers(docs) if identifiers is None else identifiers
     schema = docs.schema
@@ -150,16 +255,18 @@ def redact_secrets(docs: DataFrame, identifiers: list[str] | None = None, mask:
             for part in textvec.blocks(batch, batch.schema.names[at]):
                 arrays, texts, lengths = list(part.columns), part.column(at).to_pylist(), {}
                 for i, text in enumerate(texts):
-                    hits = scan(text, novelty)
+                    hits = scan(text, novelty) if text else []
                     for start, size, _, _ in reversed(hits):
                         text = text[:start] + mask + text[start + size :]
                     if hits:
                         texts[i], lengths[i] = text, len(text)
+                if not lengths:
+                    yield part
+                    continue
                 arrays[at] = pa.array(texts, arrays[at].type)
                 for c in sizes:
                     arrays[c] = pa.array([lengths.get(i, v) for i, v in enumerate(arrays[c].to_pylist())], arrays[c].type)
                 yield pa.RecordBatch.from_arrays(arrays, part.schema.names)
 
-    found = sensitive(F.col("text"))
     # Spark's own schema: nullability and nested types stay as they are.
-    return docs.where(~found).unionByName(map_arrow(docs.where(found), run, schema))
+    return map_arrow(docs, run, schema)

@@ -4,31 +4,27 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from .common import SPACE, hidden, if_small, reliable
 
-FEATURES = ("upper", "symbol", "repeat", "same_line")
-#: Width of a sketch's bins.
-RESOLUTION = 0.01
-#: A limit lies this many interquartile ranges (one bin at least) over the third quartile.
-REACH = 4.0
+#: Each feature's damping, added to the whole of which it is a share so that chance in a short text is no sign, and the least spread that counts.
+FEATURES = {"upper": (20, 0.02), "symbol": (20, 0.02), "repeat": (5, 0.02), "same_line": (3, 0.06)}
+#: Size of a sketch: ranks are right within about 0.3 %, and exact up to so many values.
+SKETCH = 1024
+#: Quantiles read from a sketch.
+QUANTILES = (0.25, 0.5, 0.75, 0.9, 0.95)
+#: A limit lies this many spreads over the highest quantile that is trusted.
+REACH = 3.0
 #: Documents at which a group's own limits weigh as much as its language's.
 SHRINK = 100.0
 
 
-def excess(count: Column, whole: Column) -> Column:
-    """Share that the count surely has: less two standard deviations and two, so that chance in a short text is no sign."""
-    count = count.cast("double")
-    return F.greatest(F.lit(0.0), count - 2 * F.sqrt(count) - 2) / F.greatest(whole, F.lit(1))
-
-
-def feature_bins(text: Column, words: Column, lines: Column) -> dict[str, Column]:
-    """Bin of each feature.
+def features(text: Column, words: Column, lines: Column) -> dict[str, Column]:
+    """Damped share of each feature.
 
     upper: capital letters; symbol: characters other than letters, digits, white
     space, comma and full stop; repeat: words equal to the one before; same_line:
-    lines that occurred before.  The first two are shares of characters.
+    lines with text that occurred before.  The first two are shares of characters.
     """
     n = F.length(text)
     counts = {
@@ -37,119 +33,134 @@ def feature_bins(text: Column, words: Column, lines: Column) -> dict[str, Column
         "repeat": (F.size(F.filter(F.zip_with(words, F.slice(words, F.lit(2), F.greatest(F.size(words) - 1, F.lit(0))), lambda a, b: a == b), lambda same: same)), F.size(words)),
         "same_line": (F.size(lines) - F.size(F.array_distinct(lines)), F.size(lines)),
     }
-    return {k: F.floor(excess(*v) / RESOLUTION + 1e-9).cast("int") for k, v in counts.items()}
+    return {k: count.cast("double") / (whole + F.lit(FEATURES[k][0])).cast("double") for k, (count, whole) in counts.items()}
 
 
-def with_bins(docs: DataFrame, prefix: str) -> DataFrame:
-    """``docs`` and {prefix}lang, {prefix}source (never null) and a bin for each feature."""
+def with_features(docs: DataFrame, prefix: str) -> DataFrame:
+    """``docs`` and {prefix}lang, {prefix}source (never null) and each feature."""
     text, words, lines = (prefix + x for x in ("text", "words", "lines"))
     key = lambda c: F.coalesce(F.concat(F.lit("="), F.col(c).cast("string")), F.lit("null"))
     out = docs.withColumns({text: F.coalesce("text", F.lit("")), prefix + "lang": key("lang"), prefix + "source": key("source")})
-    out = out.withColumns({words: F.regexp_extract_all(text, F.lit(f"[^{SPACE}]+"), 0), lines: F.split(text, "\n")})
-    return out.withColumns({prefix + k: c for k, c in feature_bins(F.col(text), F.col(words), F.col(lines)).items()}).drop(text, words, lines)
-
+    out = out.withColumns({words: F.regexp_extract_all(text, F.lit(f"[^{SPACE}]+"), 0), lines: F.filter(F.split(text, "\n"), lambda x: F.trim(x) != "")})
+    return out.withColumns({prefix + k: c for k, c in features(F.col(text), F.col(words), F.col(lines)).items()}).drop(text, words, lines)
 
-def limits(binned: DataFrame, prefix: str, reach: float = REACH, shrink: float = SHRINK) -> DataFrame:
-    """One row per (lang, source): the largest bin allowed for each feature.
 
-    A sketch is the histogram of a group's bins; sketches add up, so that
-    partial ones are merged on the way to a group's, and groups' to a
-    language's.  A group's limit is the mean of its own and its language's,
-    weighted n : shrink.
+def trusted_limit(q: list[Column], least: float, reach: float) -> Column:
+    """The limit that quantiles give: from the median on, the next one is trusted if it lies within the limit that the last one gives.
 
-    A third quartile over the limit that the lower half of a sketch gives (the
-    median in its place) is itself faulty: more than a quarter of the group has
-    the fault, and the lower half's limit holds.  The SQL lacks this case, which
-    none of the given tables has.
+    A fault that a share of the group has makes the quantiles jump, so that
+    those above the jump, which are of faulty documents, don't raise the limit.
     """
+    over = lambda x: x + F.lit(reach) * F.greatest(x - q[0], F.lit(least))
+    last = q[-1]
+    for below, above in reversed(list(zip(q[1:-1], q[2:], strict=True))):
+        last = F.when(above <= over(below), last).otherwise(below)
+    return over(last)
+
+
+def sketches(rows: DataFrame, prefix: str) -> DataFrame:
+    """(lang, source, n, a KLL sketch of each feature): partial sketches are merged on the way to a group's."""
     lang, source = prefix + "lang", prefix + "source"
-    long = binned.select(lang, source, F.explode(F.array(*(F.struct(F.lit(k).alias("feature"), F.col(prefix + k).alias("bin")) for k in FEATURES))).alias("f")).select(lang, source, "f.*")
-    group = long.groupBy(lang, source, "feature", "bin").agg(F.count("*").alias("n"))
-    whole = group.groupBy(lang, "feature", "bin").agg(F.sum("n").alias("n"))
+    return rows.groupBy(lang, source).agg(F.count("*").alias(prefix + "n"), *(F.kll_sketch_agg_double(prefix + k, SKETCH).alias(prefix + k) for k in FEATURES))
 
-    def limit(sketch: DataFrame, keys: list[str], name: str) -> DataFrame:
-        upto = Window.partitionBy(*keys, "feature").orderBy("bin")
-        all_of = Window.partitionBy(*keys, "feature")
-        s = sketch.withColumns({"upto": F.sum("n").over(upto), "total": F.sum("n").over(all_of)})
-        at = lambda q: F.min(F.when(F.col("upto") >= q * F.col("total"), F.col("bin")))
-        s = s.groupBy(*keys, "feature").agg(at(0.25).alias("q1"), at(0.5).alias("q2"), at(0.75).alias("q3"), F.max("total").alias("total"))
-        over = lambda q: F.col(q) + reach * F.greatest(F.col(q) - F.col("q1"), F.lit(1))
-        return s.select(*keys, "feature", F.when(F.col("q3") > over("q2"), over("q2")).otherwise(over("q3")).alias(name), F.col("total").alias(name + "_n"))
 
-    both = limit(group, [lang, source], "own").join(limit(whole, [lang], "wide"), [lang, "feature"])
-    both = both.withColumn("limit", (F.col("own") * F.col("own_n") + F.col("wide") * shrink) / (F.col("own_n") + shrink))
-    return both.groupBy(lang, source).agg(*(F.max(F.when(F.col("feature") == k, F.col("limit"))).alias(f"{prefix}{k}_limit") for k in FEATURES))
+def limits(rows: DataFrame, prefix: str, reach: float = REACH, shrink: float = SHRINK) -> DataFrame:
+    """One row per (lang, source): the largest value allowed for each feature.
+
+    A group's sketches are merged into its language's.  A group's limit is the
+    mean of its own and its language's, weighted n : shrink.
+    """
+    lang, source, n = prefix + "lang", prefix + "source", prefix + "n"
+    own = reliable(sketches(rows, prefix))
+    wide = own.groupBy(lang).agg(*(F.kll_merge_agg_double(prefix + k, SKETCH).alias(f"{prefix}{k}_wide") for k in FEATURES))
+    both = own.join(wide, lang)
+
+    def limit(sketch: str, k: str) -> Column:
+        return trusted_limit([F.kll_sketch_get_quantile_double(sketch, F.lit(q)) for q in QUANTILES], FEATURES[k][1], reach)
+
+    mean = {k: (limit(prefix + k, k) * F.col(n) + limit(f"{prefix}{k}_wide", k) * shrink) / (F.col(n) + shrink) for k in FEATURES}
+    return both.select(lang, source, *(c.alias(f"{prefix}{k}_limit") for k, c in mean.items()))
+
+
+def within(prefix: str) -> Column:
+    ok = F.lit(True)
+    for k in FEATURES:
+        ok = ok & (F.col(prefix + k) <= F.col(f"{prefix}{k}_limit"))
+    return ok
 
 
 def filter_quality(docs: DataFrame, reach: float = REACH, shrink: float = SHRINK) -> DataFrame:
     """The documents within the limits of their language and source, with all their columns.
 
-    Limits come from every document, by one aggregation of narrow rows, and are
+    Limits come from every document, by mergeable KLL quantile sketches, and are
     joined back, one row per group, broadcast if their number allows.  A document
     goes if any feature lies over its limit.
 
     Defined cases: null languages and sources are groups of their own; a null or
-    empty text has bin 0 for all features and stays; repeated rows count each
+    empty text has 0 for all features and stays; repeated rows count each
     and stay or go together; a group of a few documents has nearly its
-    language's limits; an empty table gives no rows.
+    language's limits; groups of more than SKETCH documents have limits from
+    quantiles whose rank is right within about 0.3 %, so that documents just at a
+    limit may fall either way; a fault that half of a group or more has lifts
+    its limit; an empty table gives no rows.
     """
     (prefix,) = hidden(docs, "rule_")
     while any(c.lower().startswith(prefix) for c in docs.columns):
         prefix += "_"
-    binned = with_bins(docs, prefix)
+    rows = with_features(docs, prefix)
     keys = [prefix + "lang", prefix + "source"]
-    lim = limits(reliable(binned.select(*keys, *(prefix + k for k in FEATURES))), prefix, reach, shrink)
+    lim = limits(reliable(rows.select(*keys, *(prefix + k for k in FEATURES))), prefix, reach, shrink)
     lim = if_small(reliable(lim.withColumnsRenamed({k: k + "_l" for k in keys})))
-    ok = F.lit(True)
-    for k in FEATURES:
-        ok = ok & (F.col(prefix + k) <= F.col(f"{prefix}{k}_limit"))
-    return binned.join(lim, (F.col(keys[0]) == F.col(keys[0] + "_l")) & (F.col(keys[1]) == F.col(keys[1] + "_l"))).where(ok).select(*docs.columns)
+    return rows.join(lim, (F.col(keys[0]) == F.col(keys[0] + "_l")) & (F.col(keys[1]) == F.col(keys[1] + "_l"))).where(within(prefix)).select(*docs.columns)
 
 
 def kept_ids(docs: DataFrame, reach: float = REACH, shrink: float = SHRINK) -> DataFrame:
-    """(doc_id, lang, source, bins of the features) of what filter_quality keeps; texts are read once."""
-    binned = reliable(with_bins(docs.select("doc_id", "lang", "source", "text"), "r_").drop("text"))
-    lim = limits(binned, "r_", reach, shrink).withColumnsRenamed({"r_lang": "l_lang", "r_source": "l_source"})
-    ok = F.lit(True)
-    for k in FEATURES:
-        ok = ok & (F.col("r_" + k) <= F.col(f"r_{k}_limit"))
-    kept = binned.join(lim, (F.col("r_lang") == F.col("l_lang")) & (F.col("r_source") == F.col("l_source"))).where(ok)
-    return kept.select("doc_id", "lang", "source", *(F.col("r_" + k).alias(k + "_bin") for k in FEATURES))
+    """(doc_id, lang, source, features rounded) of what filter_quality keeps; texts are read once."""
+    rows = reliable(with_features(docs.select("doc_id", "lang", "source", "text"), "r_").drop("text"))
+    lim = if_small(reliable(limits(rows, "r_", reach, shrink).withColumnsRenamed({"r_lang": "l_lang", "r_source": "l_source"})))
+    kept = rows.join(lim, (F.col("r_lang") == F.col("l_lang")) & (F.col("r_source") == F.col("l_source"))).where(within("r_"))
+    return kept.select("doc_id", "lang", "source", *(F.round("r_" + k, 6).alias(k) for k in FEATURES))
 
 
-def _bin(count: str, whole: str) -> str:
-    return f"CAST(floor(greatest(0.0::DOUBLE, ({count})::DOUBLE - 2 * sqrt(({count})::DOUBLE) - 2) / greatest({whole}, 1) / 0.01::DOUBLE + 1e-9::DOUBLE) AS INTEGER)"
+def _share(k: str, count: str, whole: str) -> str:
+    return f"({count})::DOUBLE / ({whole} + {FEATURES[k][0]})::DOUBLE AS {k}"
 
 
-def _limit(table: str, keys: str) -> str:
-    return f"""SELECT {keys}, feature, quantile[2] + {REACH}::DOUBLE * greatest(quantile[2] - quantile[1], 1) AS lim, n FROM (
-    SELECT {keys}, feature, [min(bin) FILTER (WHERE upto >= 0.25 * total), min(bin) FILTER (WHERE upto >= 0.75 * total)] AS quantile, max(total) AS n FROM (
-      SELECT {keys}, feature, bin, sum(n) OVER (PARTITION BY {keys}, feature ORDER BY bin) AS upto, sum(n) OVER (PARTITION BY {keys}, feature) AS total
-      FROM (SELECT {keys}, feature, bin, count(*) AS n FROM {table} GROUP BY ALL)) GROUP BY {keys}, feature)"""
+def _limit(keys: str) -> str:
+    over = lambda x: f"({x} + {REACH}::DOUBLE * greatest({x} - q[1], least))"
+    last = f"q[{len(QUANTILES)}]"
+    for i in range(len(QUANTILES) - 1, 1, -1):
+        last = f"CASE WHEN q[{i + 1}] <= {over(f'q[{i}]')} THEN {last} ELSE q[{i}] END"
+    at = ", ".join(f"min(v) FILTER (WHERE rn >= {q}::DOUBLE * n)" for q in QUANTILES)
+    return f"""SELECT {keys}, feature, n, {over("last")} AS lim FROM (SELECT *, {last} AS last FROM (SELECT {keys}, feature, max(n) AS n, max(least) AS least, [{at}] AS q FROM (
+      SELECT *, row_number() OVER (PARTITION BY {keys}, feature ORDER BY v) AS rn, count(*) OVER (PARTITION BY {keys}, feature) AS n FROM x) GROUP BY {keys}, feature))"""
 
 
 SQL = (
     r"""
 WITH d AS (SELECT doc_id, lang, source, coalesce(text, '') AS text, coalesce('=' || lang, 'null') AS l, coalesce('=' || source, 'null') AS s FROM documents),
-w AS (SELECT *, regexp_extract_all(text, '[^ \t\n\r]+') AS words, string_split(text, chr(10)) AS lines,
+w AS (SELECT *, regexp_extract_all(text, '[^ \t\n\r]+') AS words, list_filter(string_split(text, chr(10)), lambda z: trim(z) <> '') AS lines,
   length(regexp_replace(text, '[^A-ZÀ-ÖØ-Þ]+', '', 'g')) AS n_upper, length(regexp_replace(text, '[A-Za-zÀ-ɏ0-9 \t\r\n.,]+', '', 'g')) AS n_symbol FROM d),
 b AS (SELECT doc_id, lang, source, l, s, """
-    + _bin("n_upper", "length(text)")
-    + " AS upper_bin, "
-    + _bin("n_symbol", "length(text)")
-    + " AS symbol_bin, "
-    + _bin("len(list_filter(range(2, len(words) + 1), lambda i: words[i] = words[i - 1]))", "len(words)")
-    + " AS repeat_bin, "
-    + _bin("len(lines) - len(list_distinct(lines))", "len(lines)")
-    + """ AS same_line_bin FROM w),
-x AS (SELECT l, s, 'upper' AS feature, upper_bin AS bin FROM b UNION ALL SELECT l, s, 'symbol', symbol_bin FROM b
-  UNION ALL SELECT l, s, 'repeat', repeat_bin FROM b UNION ALL SELECT l, s, 'same_line', same_line_bin FROM b),
+    + _share("upper", "n_upper", "length(text)")
+    + ", "
+    + _share("symbol", "n_symbol", "length(text)")
+    + ", "
+    + _share("repeat", "len(list_filter(range(2, len(words) + 1), lambda i: words[i] = words[i - 1]))", "len(words)")
+    + ", "
+    + _share("same_line", "len(lines) - len(list_distinct(lines))", "len(lines)")
+    + """ FROM w),
+x AS ("""
+    + " UNION ALL ".join(f"SELECT l, s, '{k}' AS feature, {k} AS v, {least}::DOUBLE AS least FROM b" for k, (_, least) in FEATURES.items())
+    + """),
 own AS ("""
-    + _limit("x", "l, s")
+    + _limit("l, s")
     + "), wide AS ("
-    + _limit("x", "l")
-    + f"""), lim AS (SELECT own.l, own.s, own.feature, (own.lim * own.n + wide.lim * {SHRINK}) / (own.n + {SHRINK}) AS lim FROM own JOIN wide ON own.l = wide.l AND own.feature = wide.feature)
-SELECT doc_id, lang, source, upper_bin, symbol_bin, repeat_bin, same_line_bin FROM b WHERE NOT EXISTS (
-  SELECT 1 FROM lim WHERE lim.l = b.l AND lim.s = b.s AND CASE feature WHEN 'upper' THEN upper_bin WHEN 'symbol' THEN symbol_bin WHEN 'repeat' THEN repeat_bin ELSE same_line_bin END > lim.lim)
+    + _limit("l")
+    + f"""), lim AS (SELECT own.l, own.s, own.feature, (own.lim * own.n + wide.lim * {SHRINK}::DOUBLE) / (own.n + {SHRINK}::DOUBLE) AS lim FROM own JOIN wide ON own.l = wide.l AND own.feature = wide.feature)
+SELECT doc_id, lang, source, """
+    + ", ".join(f"round({k}, 6) AS {k}" for k in FEATURES)
+    + """ FROM b WHERE NOT EXISTS (
+  SELECT 1 FROM lim WHERE lim.l = b.l AND lim.s = b.s AND CASE feature WHEN 'upper' THEN upper WHEN 'symbol' THEN symbol WHEN 'repeat' THEN repeat ELSE same_line END > lim.lim)
 """
 )

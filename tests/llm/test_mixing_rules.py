@@ -2,6 +2,8 @@ from collections import Counter, defaultdict
 
 from cases import none, odd, odd_rows
 
+from pyspark.sql import functions as F
+
 from docloom.llm import mixing, rules
 
 
@@ -56,6 +58,30 @@ def test_a_faulty_quarter_is_rejected(spark):
         assert {r.doc_id for r in rules.kept_ids(df).collect()} == set(range(700))
 
 
+def test_limits_differ_where_corpora_differ(spark):
+    """Two languages, one of which writes nouns with capitals: each has its own limit, and what is usual in one goes in the other."""
+    rows = [(i, ("plain words of a usual kind" if i % 5 else "Plain words of a Usual kind") + " and more" * (i % 7), "en", "a", 0) for i in range(400)]
+    rows += [(1000 + i, ("Viele Wörter Haben Große Buchstaben" if i % 3 else "Manche Haben Wenige davon hier") + " und mehr" * (i % 7), "de", "a", 0) for i in range(400)]
+    schema = "doc_id bigint, text string, lang string, source string, n_chars bigint"
+    df = spark.createDataFrame(rows, schema)
+    lim = {r.r_lang: r.asDict() for r in rules.limits(rules.with_features(df, "r_"), "r_").collect()}
+    assert lim["=de"]["r_upper_limit"] > 1.2 * lim["=en"]["r_upper_limit"]
+    between = "A" * int(50 * (lim["=de"]["r_upper_limit"] + lim["=en"]["r_upper_limit"]))
+    between += "b" * (80 - len(between))
+    kept = {r.doc_id for r in rules.filter_quality(spark.createDataFrame([*rows, (5000, between, "en", "a", 0), (5001, between, "de", "a", 0)], schema)).collect()}
+    assert 5001 in kept and 5000 not in kept
+
+
+def test_sketches_merge_and_keep_ranks(spark):
+    """Over 20,000 values in parts: the rank of each quantile, of merged parts too, is within 1 %."""
+    df = spark.range(20000).selectExpr("'=a' AS r_lang", "concat('=', id % 7) AS r_source", *(f"pmod(hash(id, '{k}'), 100003) / 100003D AS r_{k}" for k in rules.FEATURES)).repartition(9)
+    own = rules.sketches(df, "r_")
+    merged = own.agg(F.kll_merge_agg_double("r_upper", rules.SKETCH).alias("s")).select(*(F.kll_sketch_get_quantile_double("s", F.lit(q)).alias(f"q{i}") for i, q in enumerate(rules.QUANTILES))).first()
+    values = sorted(r.r_upper for r in df.select("r_upper").collect())
+    for got, q in zip(merged, rules.QUANTILES, strict=True):
+        assert abs(sum(v <= got for v in values) / len(values) - q) < 0.01
+
+
 def test_rule_cases(spark):
     kept = rules.filter_quality(odd(spark))
     assert kept.columns == odd(spark).columns

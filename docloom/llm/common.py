@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
+from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -32,6 +34,13 @@ def reliable(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def settled(df: DataFrame) -> DataFrame:
+    """The same for steps of a loop: estimates and constraints of the plan, which a checkpoint keeps and which multiply with every round, are forgotten too."""
+    done, spark = reliable(df), df.sparkSession
+    rows = done._jdf.queryExecution().toRdd()
+    return DataFrame(spark._jsparkSession.internalCreateDataFrame(rows, done._jdf.schema(), False), spark)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -70,3 +79,15 @@ def if_light(df: DataFrame, row_bytes: Column, most: int = BROADCAST_BYTES) -> D
     """Marks an already materialised side for broadcasting if its rows, each of ``row_bytes``, are at most ``most`` bytes in all; else the join is left to shuffle."""
     size = df.agg(F.sum(row_bytes.cast("bigint"))).first()[0] or 0
     return F.broadcast(df) if size <= most else df
+
+
+@contextlib.contextmanager
+def small_steps(spark: SparkSession, rows: int, each: int = 100_000) -> Iterator[None]:
+    """For loops of eager steps over a table of ``rows``: inside, shuffles have a partition for so many narrow rows ``each``."""
+    name = "spark.sql.shuffle.partitions"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(max(1, -(-rows // each))))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)

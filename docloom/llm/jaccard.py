@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from ..workers import map_arrow
 from . import textvec, voronoi
-from .common import if_light, if_small, reliable
+from .common import if_light, if_small, reliable, settled, small_steps
 
 SHINGLE = 3
 THRESHOLD = 0.5
@@ -341,20 +341,25 @@ def components(edges: DataFrame) -> DataFrame:
     again between what is left.  Only vertices without a smaller neighbour
     remain, so that rounds are few.  Each step is cut with a checkpoint.
     """
-    edges = reliable(edges.select("a", "b").where("a != b").distinct())
-    labels = reliable(edges.select(F.col("a").alias("set_id")).union(edges.select("b")).distinct().withColumn("label", F.col("set_id")))
+    with small_steps(edges.sparkSession, edges.count()):
+        return _components(edges)
+
+
+def _components(edges: DataFrame) -> DataFrame:
+    edges = settled(edges.select("a", "b").where("a != b").distinct())
+    labels = settled(edges.select(F.col("a").alias("set_id")).union(edges.select("b")).distinct().withColumn("label", F.col("set_id")))
     while not edges.isEmpty():
         both = edges.union(edges.select("b", "a"))
-        to = reliable(both.groupBy("a").agg(F.min("b").alias("m")).where("m < a"))
+        to = settled(both.groupBy("a").agg(F.min("b").alias("m")).where("m < a"))
         while True:  # twice as far each time, until all have arrived
             hops = to.join(to.select(F.col("a").alias("m"), F.col("m").alias("far")), "m", "left")
             if hops.where("far IS NOT NULL").isEmpty():
                 break
-            to = reliable(hops.select("a", F.coalesce("far", "m").alias("m")))
-        labels = reliable(labels.join(to, labels["label"] == to["a"], "left").select("set_id", F.coalesce("m", "label").alias("label")))
+            to = settled(hops.select("a", F.coalesce("far", "m").alias("m")))
+        labels = settled(labels.join(to, labels["label"] == to["a"], "left").select("set_id", F.coalesce("m", "label").alias("label")))
         edges = edges.join(to, "a", "left").select(F.coalesce("m", "a").alias("a"), "b")
         edges = edges.join(to.select(F.col("a").alias("b"), F.col("m").alias("mb")), "b", "left").select("a", F.coalesce("mb", "b").alias("b"))
-        edges = reliable(edges.where("a != b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+        edges = settled(edges.where("a != b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
     return labels
 
 
@@ -366,32 +371,62 @@ def unconnected(pairs: DataFrame, labels: DataFrame) -> DataFrame:
     return out.where("label_a != label_b").drop("label_a", "label_b")
 
 
-def remaining_pairs(members: DataFrame, labels: DataFrame, counted: DataFrame, t: float) -> DataFrame:
+#: Members of a region that a task holds; those of one with more are spread over several.
+HELD = 20_000
+
+
+def remaining_pairs(members: DataFrame, labels: DataFrame, counted: DataFrame, t: float, held: int = HELD) -> DataFrame:
     """(a, b) of the pairs of large regions that haven't been counted in any small one and lie in different components, as sizes, places and their numbers of large regions allow.
 
     The n-grams that the two have in common among the first of each all lie in
     large regions, so both need as many of these as a near pair has there at
     least.  In each region the members of the component with the most there are
-    compared with the others only, not with each other.
+    compared with the others only, not with each other: a task holds a part of
+    the others, and all members stream past them.
     """
     large = members.groupBy("a").agg(F.count("*").alias("large"))
     m = members.join(labels.withColumnRenamed("set_id", "a"), "a", "left").withColumn("label", F.coalesce("label", "a")).join(large, "a")
-    of = m.groupBy("region", "label").agg(F.count("*").alias("n")).groupBy("region").agg(F.max_by("label", F.struct("n", "label")).alias("main"), F.count("*").alias("kinds")).where("kinds > 1").select("region", "main")
-    m = reliable(m.join(of, "region"))
-    x, y = m.where("label != main").alias("x"), m.alias("y")
-    lo, hi = F.least("x.size", "y.size"), F.greatest("x.size", "y.size")
-    need = F.ceil(t / (1 + t) * (F.col("x.size") + F.col("y.size")) - 1e-9)
-    room = 1 + F.least(F.col("x.size") - F.col("x.place") - 1, F.col("y.size") - F.col("y.place") - 1)
-    once = (F.col("y.label") == F.col("y.main")) | (F.col("x.a") < F.col("y.a"))
-    enough = F.least("x.large", "y.large") + F.ceil(t * hi - 1e-9) - 1 >= need
-    on = (F.col("x.region") == F.col("y.region")) & (F.col("x.label") != F.col("y.label")) & once & (lo >= t * hi - 1e-9) & (room >= need) & enough
-    # Ids are compared as they were packed, as numbers without a sign.
-    sign = F.lit(-(1 << 63))
-    flip = F.col("x.a").bitwiseXOR(sign) > F.col("y.a").bitwiseXOR(sign)
-    pairs = x.join(y, on).select(F.when(flip, F.col("y.a")).otherwise(F.col("x.a")).alias("a"), F.when(flip, F.col("x.a")).otherwise(F.col("y.a")).alias("b")).distinct()
+    of = m.groupBy("region", "label").agg(F.count("*").alias("n")).groupBy("region").agg(F.max_by("label", F.struct("n", "label")).alias("main"), F.count("*").alias("kinds"), (F.sum("n") - F.max("n")).alias("others"))
+    m = m.join(of.where("kinds > 1").drop("kinds"), "region")
+    shares = F.ceil(F.col("others") / held).cast("int")
+    first = m.where("label != main").withColumn("share", F.pmod(F.xxhash64("a"), shares).cast("int")).withColumn("then", F.lit(False))
+    then = m.withColumn("share", F.explode(F.sequence(F.lit(0), shares - 1))).withColumn("then", F.lit(True))
+    columns = ["region", "share", "then", "a", "size", "place", "label", "large", "main"]
+    rows = first.select(columns).union(then.select(columns)).repartition("region", "share").sortWithinPartitions("region", "share", "then")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        here: tuple[int, int] | None = None
+        mine: list[np.ndarray] = []
+        for batch in batches:
+            v = [batch.column(k).to_numpy(zero_copy_only=False) for k in range(9)]
+            cut = np.flatnonzero(np.concatenate([[True], (v[0][1:] != v[0][:-1]) | (v[1][1:] != v[1][:-1]) | (v[2][1:] != v[2][:-1]), [True]]))
+            for i, j in zip(cut[:-1], cut[1:], strict=True):
+                at, part = (int(v[0][i]), int(v[1][i])), [c[i:j] for c in v[3:]]
+                if not v[2][i]:
+                    mine = [np.concatenate(c) for c in zip(mine, part, strict=True)] if here == at and mine else part
+                    here = at
+                elif here == at:
+                    step = max(1, (1 << 21) // max(1, len(mine[0])))
+                    for k in range(0, j - i, step):
+                        yield matched(mine, [c[k : k + step] for c in part], t)
+
+    pairs = map_arrow(rows, run, "a bigint, b bigint").distinct()
     return pairs.join(counted.select("a", "b"), ["a", "b"], "left_anti")
 
 
+def matched(mine: list[np.ndarray], theirs: list[np.ndarray], t: float) -> pa.RecordBatch:
+    """The pairs (a, b) of two lists of a region's members that may be near."""
+    (a1, size1, place1, label1, large1, _), (a2, size2, place2, label2, large2, main2) = mine, theirs
+    x, y = np.nonzero((label1[:, None] != label2[None, :]) & (np.minimum(size1[:, None], size2[None, :]) >= t * np.maximum(size1[:, None], size2[None, :]) - 1e-9))
+    keep = (label2[y] == main2[y]) | (a1[x] < a2[y])  # two others meet twice
+    x, y = x[keep], y[keep]
+    need = overlap_needed(size1[x], size2[y], t)
+    keep = (1 + np.minimum(size1[x] - place1[x] - 1, size2[y] - place2[y] - 1) >= need) & (np.minimum(large1[x], large2[y]) + np.ceil(t * np.maximum(size1[x], size2[y]) - 1e-9) - 1 >= need)
+    # Ids are compared as they were packed, as numbers without a sign.
+    a, b = a1[x[keep]].astype(np.int64).view(_U), a2[y[keep]].astype(np.int64).view(_U)
+    return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b).view(np.int64)), pa.array(np.maximum(a, b).view(np.int64))], ["a", "b"])
+
+
 def grouped(docs: DataFrame, t: float = THRESHOLD, n: int = SHINGLE, near: int = NEAR) -> DataFrame:
     """(doc_id, key, set_id, label) of every document that has words; key is xxhash64(text), documents with one label form a group."""
     docs = docs.select("doc_id", "text")

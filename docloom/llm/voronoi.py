@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..workers import map_arrow
-from .common import if_light, reliable
+from .common import if_light, reliable, settled
 
 #: Bytes of residents up to which a cell is compared in one task; guests pass by.
 CELL_BYTES = 2 << 20
@@ -172,7 +172,7 @@ def divided(members: DataFrame, t: float, level: int, k: int = PIVOTS) -> tuple[
         (at_home & F.col("open") & (2 * F.col("g.radius") <= r - SURE)).alias("mutual"),
         F.col("g.whole").alias("whole"),
     )
-    seen = reliable(seen)
+    seen = settled(seen)
     gift = seen.where("near_all").groupBy("cell").agg(F.sum("weight").alias("links"))
     known = seen.where("near_all").select("set_id", F.col("whole").alias("links"))
     known = known.union(seen.where("NOT guest").select("cell", "set_id").join(if_light(reliable(gift), F.lit(24)), "cell").select("set_id", "links"))
@@ -202,8 +202,8 @@ def links(members: DataFrame, t: float, cell_bytes: int = CELL_BYTES, pivots: in
         if large.isEmpty():
             break
         level += 1
-        members, known = divided(reliable(members.join(mark, "cell", "left_semi")), t, level, pivots)
-        members = reliable(members)
+        members, known = divided(settled(members.join(mark, "cell", "left_semi")), t, level, pivots)
+        members = settled(members)
         parts.append(reliable(known))
     out = parts[0]
     for p in parts[1:]:

@@ -26,6 +26,8 @@ NEIGHBOURS = 15
 LEAST = 0.4
 #: Similarities are raised to this power before they weigh a vote.
 SHARPNESS = 8
+#: Decimals of cosines and scores.
+DIGITS = 5
 
 
 def _classes() -> np.ndarray:
@@ -52,14 +54,17 @@ def terms(column: pa.Array) -> np.ndarray:
     out = np.zeros((rows, WIDTH), np.float32)
     if n == 0:
         return out
-    row = np.repeat(np.arange(rows), np.diff(offsets))
     if n >= 3:
-        c = CLASS[raw]
-        code = (c[:-2] << 16) | (c[1:-1] << 8) | c[2:]
-        mixed = code * np.uint32(2654435761)
-        bucket = ((mixed ^ (mixed >> np.uint32(15))) * np.uint32(2246822519) >> np.uint32(16)) % np.uint32(SHAPES)
-        ok = row[:-2] == row[2:]
-        x = np.bincount(row[:-2][ok] * SHAPES + bucket[ok].astype(np.int64), minlength=rows * SHAPES).reshape(rows, SHAPES)
+        x = np.zeros(rows * SHAPES, np.int64)
+        for start, piece in textvec.pieces(raw, 2):
+            c = CLASS[piece]
+            code = (c[:-2] << 16) | (c[1:-1] << 8) | c[2:]
+            mixed = code * np.uint32(2654435761)
+            bucket = ((mixed ^ (mixed >> np.uint32(15))) * np.uint32(2246822519) >> np.uint32(16)) % np.uint32(SHAPES)
+            row = textvec.rows_of(offsets, start, len(piece))
+            ok = row[:-2] == row[2:]
+            x += np.bincount(row[:-2][ok] * SHAPES + bucket[ok].astype(np.int64), minlength=rows * SHAPES)
+        x = x.reshape(rows, SHAPES)
         out[:, :SHAPES] = np.sqrt(x / np.maximum(x.sum(axis=1, keepdims=True), 1))
     w, at = textvec.words(raw, offsets)
     if len(w):
@@ -88,12 +93,15 @@ class Model:
     def scores(self, column: pa.Array) -> np.ndarray:
         """Share of the neighbours' weighted votes that are for quality; 1 where nothing can be said."""
         v = self.project(terms(column))
-        cosine = v @ self.vectors.T
+        cosine = np.round(v @ self.vectors.T, DIGITS)  # so that equal texts have equal votes in any block
         k = min(self.neighbours, cosine.shape[1])
-        near = np.argpartition(-cosine, k - 1, axis=1)[:, :k]
+        last = -np.partition(-cosine, k - 1, axis=1)[:, k - 1 : k]
+        above, level = cosine > last, cosine == last
+        chosen = above | (level & (np.cumsum(level, axis=1) <= k - above.sum(axis=1, keepdims=True)))  # of a tie the first
+        near = np.nonzero(chosen)[1].reshape(len(cosine), k)
         weight = np.maximum(np.take_along_axis(cosine, near, axis=1), 0).astype(np.float64) ** SHARPNESS
         total = weight.sum(axis=1)
-        return np.where(total > 0, (weight * self.good[near]).sum(axis=1) / np.maximum(total, 1e-300), 1.0)
+        return np.round(np.where(total > 0, (weight * self.good[near]).sum(axis=1) / np.maximum(total, 1e-300), 1.0), DIGITS)
 
 
 def latent(x: np.ndarray, dim: int, seed: int = 3) -> np.ndarray:
@@ -121,8 +129,9 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, bound: int = LABELLED) -
     chosen = labels.where("doc_id IS NOT NULL AND quality IS NOT NULL").groupBy("doc_id").agg(F.max("quality").alias("good"))
     chosen = chosen.orderBy(F.xxhash64("doc_id"), "doc_id").limit(bound)  # bounded, whatever the corpus
     texts = docs.select("doc_id", "text").where("text IS NOT NULL AND text != ''")
-    rows = texts.join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "good").toPandas()
-    rows = rows.sort_values(["doc_id", "text"]).drop_duplicates("doc_id")
+    # One text of each id, so that no more than ``bound`` rows leave the executors however often a row is repeated.
+    rows = texts.join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.max("good").alias("good")).toPandas()
+    rows = rows.sort_values("doc_id")
     return rows["text"].tolist(), (rows["good"] > 0).astype(int).tolist()
 
 

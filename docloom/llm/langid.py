@@ -16,8 +16,11 @@ from . import textvec
 
 BUCKETS = 4096
 DIM = 16
-#: Bound of the training sample: documents of one language.
+#: Bounds of the training sample: documents of one language, and of all.
 PER_LANGUAGE = 600
+SAMPLE = 6000
+#: Languages that are learned, the most frequent ones; fewer documents than this of one say nothing.
+LANGUAGES = 200
 #: Neutral n-grams added to every average, so that little text gives little confidence.
 NEUTRAL = 20.0
 EPOCHS = 12
@@ -35,24 +38,29 @@ def _fold() -> np.ndarray:
 FOLD = _fold()
 
 
-def subwords(raw: np.ndarray, offsets: np.ndarray, buckets: int = BUCKETS) -> tuple[np.ndarray, np.ndarray]:
-    """(bucket, row) of the byte trigrams and tetragrams of the folded text: letters stay, all else is a blank; runs of blanks count none."""
-    n, rows = len(raw), len(offsets) - 1
+def subwords(raw: np.ndarray, offsets: np.ndarray, buckets: int = BUCKETS, start: int = 0, stop: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(bucket, row) of the byte trigrams and tetragrams of the folded text: letters stay, all else is a blank; runs of blanks count none.
+
+    ``raw`` may be a piece of the rows' bytes, from ``start``, of which n-grams that begin before ``stop`` count.
+    """
+    n = len(raw)
     if n < 3:
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
     c = FOLD[raw]
-    row = np.repeat(np.arange(rows), np.diff(offsets))
+    row = textvec.rows_of(offsets, start, n)
     two = (c[:-1] << 8) | c[1:]
     blank = two == 0x2020
     found = []
     for size in (3, 4):
-        m = n - size + 1
+        m = min(n - size + 1, n if stop is None else stop)
         if m < 1:
             continue
         code = two[:m] * np.uint32(65536) + (c[2:] if size == 3 else two[2:])[:m] * np.uint32(1 if size == 4 else 256) + np.uint32(size)
-        ok = (row[:m] == row[size - 1 :]) & ~blank[:m] & ~blank[size - 2 :][:m]
+        ok = (row[:m] == row[size - 1 :][:m]) & ~blank[:m] & ~blank[size - 2 :][:m]
         mixed = code[ok] * np.uint32(2654435761)
         found.append((((mixed ^ (mixed >> np.uint32(15))) * np.uint32(2246822519) >> np.uint32(16)) % np.uint32(buckets), row[:m][ok]))
+    if not found:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
     return np.concatenate([b for b, _ in found]).astype(np.int64), np.concatenate([r for _, r in found])
 
 
@@ -60,8 +68,11 @@ def features(column: pa.Array, buckets: int = BUCKETS) -> tuple[np.ndarray, np.n
     """(rows x buckets shares of the n-grams, neutral ones among them; numbers of n-grams)."""
     raw, offsets = textvec.buffers(column)
     rows = len(offsets) - 1
-    b, row = subwords(raw, offsets, buckets)
-    x = np.bincount(row * buckets + b, minlength=rows * buckets).reshape(rows, buckets).astype(np.float32)
+    x = np.zeros(rows * buckets, np.int64)
+    for start, piece in textvec.pieces(raw, 3):
+        b, row = subwords(piece, offsets, buckets, start, textvec.BLOCK_BYTES if start + len(piece) < len(raw) else None)
+        x += np.bincount(row * buckets + b, minlength=rows * buckets)
+    x = x.reshape(rows, buckets).astype(np.float32)
     n = x.sum(axis=1)
     return x / (n + NEUTRAL)[:, None], n.astype(np.int64)
 
@@ -145,13 +156,18 @@ def train(texts: list[str], langs: list[str], dim: int = DIM, epochs: int = EPOC
 
 
 def training_sample(docs: DataFrame, per_language: int = PER_LANGUAGE) -> tuple[list[str], list[str]]:
-    """At most ``per_language`` texts of each language, those with the smallest hashes of id and text; repeated rows count each."""
+    """At most ``per_language`` texts of each of the LANGUAGES most frequent languages, and about SAMPLE in all: those with the smallest hashes of id and text, rows equal in both once."""
     known = docs.where("lang IS NOT NULL AND length(text) > 0").select(F.col("lang").cast("string").alias("lang"), "text", F.xxhash64("doc_id", "text").alias("h"))
+    names = known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()  # bounded
+    if not names:
+        return [], []
+    each = max(1, min(per_language, SAMPLE // len(names)))
     # Only languages and hashes are shuffled and ranked; the texts are picked by them where they are read.
-    ranked = known.select("lang", "h").withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy("h")))
-    chosen = ranked.where(F.col("rank") <= per_language).select("lang", "h").distinct()
-    rows = known.join(F.broadcast(chosen), ["lang", "h"]).select("lang", "h", "text").toPandas()
-    rows = rows.sort_values(["lang", "h", "text"]).groupby("lang").head(per_language)
+    wanted = known.where(F.col("lang").isin([r["lang"] for r in names])).select("lang", "h").distinct()
+    ranked = wanted.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy("h")))
+    chosen = ranked.where(F.col("rank") <= each).select("lang", "h")
+    rows = known.join(F.broadcast(chosen), ["lang", "h"]).groupBy("lang", "h").agg(F.min("text").alias("text")).toPandas()  # at most SAMPLE rows
+    rows = rows.sort_values(["lang", "h"])
     return rows["text"].tolist(), rows["lang"].tolist()
 
 

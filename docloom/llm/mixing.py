@@ -25,9 +25,9 @@ def quality_weight(text: Column) -> Column:
     return F.greatest(F.lit(0.05), F.lit(1.0) - rest / F.greatest(F.length(text), F.lit(1)))
 
 
-def sampling_key(doc_id: Column, weight: Column, seed: int) -> Column:
-    """Efraimidis-Spirakis key, -ln(u)/w, with u in (0, 1) from a hash of the id: the smallest keys are the sample."""
-    digits = F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(doc_id.cast("string"), F.lit("null")))), 1, 13)
+def sampling_key(doc_id: Column, text: Column, weight: Column, seed: int) -> Column:
+    """Efraimidis-Spirakis key, -ln(u)/w, with u in (0, 1) from a hash of id and text: the smallest keys are the sample."""
+    digits = F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(doc_id.cast("string"), F.lit("null")), F.lit(":"), F.coalesce(text, F.lit("")))), 1, 13)
     u = (F.conv(digits, 16, 10).cast("double") + 0.5) / float(1 << 52)
     return -F.log(u) / weight
 
@@ -44,11 +44,14 @@ def mixing_plan(docs: DataFrame, targets: Mapping[str, float] = TARGETS, other:
     two levels: over the totals of (source, bucket), then over the documents of
     the one bucket in which the source's budget ends.
     """
+    shares = [*targets.values(), other]
+    if any(not 0 <= float(v) < float("inf") for v in shares) or not any(float(v) for v in shares):
+        raise ValueError("shares must be finite, at least 0, and not all 0")
     base = docs.select(
         source_key(F.col("source")).alias("src"),
         F.coalesce(F.col("doc_id"), F.lit(-(1 << 63))).alias("id"),
         n_words(F.col("text")).cast("bigint").alias("tokens"),
-        sampling_key(F.col("doc_id"), quality_weight(F.col("text")), seed).alias("key"),
+        sampling_key(F.col("doc_id"), F.col("text"), quality_weight(F.col("text")), seed).alias("key"),
     ).withColumn("bucket", F.floor(F.log("key") * FINENESS))
     base = reliable(base)
     per_bucket = base.groupBy("src", "bucket").agg(F.sum("tokens").alias("b_tokens"), F.count("*").alias("b_docs"))
@@ -58,7 +61,7 @@ def mixing_plan(docs: DataFrame, targets: Mapping[str, float] = TARGETS, other:
     sources = per_bucket.groupBy("src").agg(F.sum("b_tokens").alias("tokens"), F.sum("b_docs").alias("n_docs")).withColumn("share", share)
     whole = sources.agg(F.sum("tokens").alias("all_tokens"), F.sum("share").alias("all_share"))  # one row
     total = F.col("all_tokens") if total_tokens is None else F.lit(int(total_tokens))
-    sources = sources.crossJoin(F.broadcast(whole)).withColumn("budget", F.floor(total * F.col("share") / F.col("all_share")).cast("bigint"))
+    sources = sources.crossJoin(F.broadcast(whole)).withColumn("budget", F.floor(total * F.col("share") / F.when(F.col("all_share") > 0, F.col("all_share")).otherwise(1.0)).cast("bigint"))
     sources = sources.withColumn("epochs", F.when(F.col("tokens") > 0, F.floor(F.col("budget") / F.greatest("tokens", F.lit(1)))).otherwise(0).cast("bigint"))
     sources = sources.withColumn("rest", F.col("budget") - F.col("epochs") * F.col("tokens")).select("src", "n_docs", "tokens", "budget", "epochs", "rest")
     running = Window.partitionBy("src").orderBy("bucket")
@@ -98,16 +101,21 @@ def mix_sources(docs: DataFrame, targets: Mapping[str, float] = TARGETS, other:
     take a frequent source whole.
 
     Defined cases: a null source is a source of its own; a null doc_id ranks
-    before all others of its key; rows equal in doc_id and key are drawn or left
-    together; a null or empty text has no words, weight 1 - 0 = 1, and fits any
+    before all others of its key; rows equal in doc_id and text are drawn or left
+    together; a source whose share is 0 has a budget of 0, and so have all if no
+    source of the table has a share; shares that are negative, or all 0, raise
+    ValueError; a null or empty text has no words, weight 1 - 0 = 1, and fits any
     rest; a source without words is drawn once; an empty table gives no rows.
-    All columns of ``docs`` are kept; ``copies`` must not be one of them.
+    All columns of ``docs`` are kept; ``copies`` must not be one of them, else
+    ValueError.
     """
+    if copies.lower() in (c.lower() for c in docs.columns):
+        raise ValueError(f"there is a column {copies} already")
     plan = mixing_plan(docs, targets, other, total_tokens, seed)
     src, key, bucket = hidden(docs, "mix_src", "mix_key", "mix_bucket")
     p = {c: f"{src}_{c}" for c in ("src", "epochs", "bucket", "cut_key", "cut_id")}
     plan = if_small(reliable(plan.select(*(F.col(c).alias(n) for c, n in p.items()))))
-    rows = docs.withColumns({src: source_key(F.col("source")), key: sampling_key(F.col("doc_id"), quality_weight(F.col("text")), seed)})
+    rows = docs.withColumns({src: source_key(F.col("source")), key: sampling_key(F.col("doc_id"), F.col("text"), quality_weight(F.col("text")), seed)})
     rows = rows.withColumn(bucket, F.floor(F.log(key) * FINENESS))
     ident = F.coalesce(F.col("doc_id"), F.lit(-(1 << 63)))
     at_cut = (F.col(key) < F.col(p["cut_key"])) | ((F.col(key) == F.col(p["cut_key"])) & (ident <= F.col(p["cut_id"])))
@@ -132,7 +140,7 @@ def mixed_ids(docs: DataFrame, **how) -> DataFrame:
 
 
 KEYED_SQL = r"""
-  SELECT *, -ln((CAST(('0x' || substr(md5('17:' || coalesce(CAST(doc_id AS VARCHAR), 'null')), 1, 13)) AS BIGINT) + 0.5::DOUBLE) / 4503599627370496.0::DOUBLE)
+  SELECT *, -ln((CAST(('0x' || substr(md5('17:' || coalesce(CAST(doc_id AS VARCHAR), 'null') || ':' || coalesce(text, '')), 1, 13)) AS BIGINT) + 0.5::DOUBLE) / 4503599627370496.0::DOUBLE)
       / greatest(0.05::DOUBLE, 1.0::DOUBLE - length(regexp_replace(coalesce(text, ''), '[a-zß-öø-ÿ ]+', '', 'g'))::DOUBLE / greatest(length(coalesce(text, '')), 1)) AS mkey,
     coalesce('=' || source, 'null') AS src,
     CAST(len(regexp_extract_all(coalesce(text, ''), '[^ \t\n\r]+')) AS BIGINT) AS n_tokens,

@@ -15,8 +15,8 @@ from .common import n_words, reliable
 WINDOW = 2048
 BINS = 128
 DEPTH = 3
-#: Each length's pieces are ranked in so many parts, so that no task sorts all pieces of a frequent length.
-PARTS = 64
+#: Pieces of one length that a task sorts; those of a frequent length are ranked in parts of about so many.
+PER_PART = 200_000
 
 
 def combinations(bins: int, depth: int) -> np.ndarray:
@@ -111,13 +111,13 @@ def pieces_of(docs: DataFrame, window: int) -> DataFrame:
     return cut.select("doc_id", "start", F.least(F.lit(window), F.col("n") - F.col("start")).cast("bigint").alias("length"))
 
 
-def pack_documents(docs: DataFrame, window: int = WINDOW, bins: int = BINS, depth: int = DEPTH) -> DataFrame:
+def pack_documents(docs: DataFrame, window: int = WINDOW, bins: int = BINS, depth: int = DEPTH, per_part: int = PER_PART) -> DataFrame:
     """One row per pack: (pack_id, n_pieces, n_tokens, doc_ids, pieces).
 
     ``pieces`` are structs (doc_id, start, length) in words, in the order of the
     pack; ``doc_ids`` repeats their ids.  Lengths are rounded up to window/bins
-    words, their histogram goes to the driver (at most bins x PARTS counts,
-    whatever the input), which solves for the packs; pieces of one length are
+    words, their histogram goes to the driver (a count for each bin and for every
+    PER_PART pieces), which solves for the packs; pieces of one length are
     interchangeable, so the k-th of them, counted by prefix sums over the parts,
     takes the k-th slot for that length.  Only ids and lengths are shuffled.
 
@@ -131,8 +131,10 @@ def pack_documents(docs: DataFrame, window: int = WINDOW, bins: int = BINS, dept
     step = window // bins
     spark = docs.sparkSession
     pieces = pieces_of(docs, window).withColumn("bin", F.ceil(F.col("length") / step).cast("int"))
-    pieces = pieces.withColumn("part", F.pmod(F.xxhash64("doc_id", "start"), F.lit(PARTS)).cast("int"))
     pieces = reliable(pieces)
+    many = {r["bin"]: -(-r["count"] // per_part) for r in pieces.groupBy("bin").count().collect()}  # a row per bin
+    parts = F.element_at(F.lit([many.get(b, 1) for b in range(1, bins + 1)]), F.col("bin"))
+    pieces = pieces.withColumn("part", F.pmod(F.xxhash64("doc_id", "start"), parts).cast("int"))
     counts = sorted((r["bin"], r["part"], r["count"]) for r in pieces.groupBy("bin", "part").count().collect())
     histogram: dict[int, int] = {}
     offsets = []
@@ -150,7 +152,7 @@ def pack_documents(docs: DataFrame, window: int = WINDOW, bins: int = BINS, dept
         first += repeats
     slot_type = T.StructType([T.StructField(n, T.LongType()) for n in ("s_bin", "s_from", "s_to", "s_pack", "s_times", "s_at")])
     offset_type = T.StructType([T.StructField(n, T.LongType()) for n in ("o_bin", "o_part", "o_rank")])
-    # Both are bounded by bins and PARTS alone.
+    # Both have a row for each bin and a few more: for each combination used, and for every PER_PART pieces.
     slot_rows = F.broadcast(spark.createDataFrame(slots, slot_type))
     offset_rows = F.broadcast(spark.createDataFrame(offsets, offset_type))
     ranked = pieces.withColumn("local", F.row_number().over(Window.partitionBy("bin", "part").orderBy("doc_id", "start", "length")) - 1)

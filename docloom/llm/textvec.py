@@ -209,6 +209,18 @@ def shingles(raw: np.ndarray, offsets: np.ndarray, n: int) -> tuple[np.ndarray,
     return mix64(h[keep]), row[keep]
 
 
+def pieces(raw: np.ndarray, over: int) -> Iterator[tuple[int, np.ndarray]]:
+    """(start, bytes) of the pieces of a buffer, each with the first ``over`` bytes of the next, so that every run of over + 1 bytes lies in one."""
+    for start in range(0, max(1, len(raw) - over), BLOCK_BYTES):
+        yield start, raw[start : start + BLOCK_BYTES + over]
+
+
+def rows_of(offsets: np.ndarray, start: int, n: int) -> np.ndarray:
+    """The row of each of ``n`` bytes from ``start`` on."""
+    inner = np.clip(offsets - start, 0, n)
+    return np.repeat(np.arange(len(offsets) - 1), np.diff(inner))
+
+
 def distinct(h: np.ndarray, row: np.ndarray, rows: int) -> tuple[np.ndarray, np.ndarray]:
     """(hashes, offsets): each row's distinct hashes in ascending order."""
     order = np.lexsort((h, row))

@@ -2,6 +2,7 @@ from collections import Counter, defaultdict
 
 from cases import none, odd, odd_rows
 
+import pytest
 from pyspark.sql import functions as F
 
 from docloom.llm import mixing, rules
@@ -30,6 +31,21 @@ def test_better_documents_are_drawn_more_often(spark):
     assert got[1] > 1.5 * got[0]
 
 
+def test_documents_without_ids_are_drawn_one_by_one(spark):
+    df = spark.createDataFrame([(None, f"word number {i} of many", "en", "a", 0) for i in range(200)], "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    assert 95 <= mixing.mix_sources(df, total_tokens=500).count() <= 100
+
+
+def test_shares(spark):
+    df = spark.createDataFrame([(i, "some words here", "en", "b", 0) for i in range(9)], "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    assert mixing.mix_sources(df, {"a": 1.0}, 0.0).count() == 0
+    for targets, other in (({}, 0.0), ({"a": -1.0}, 1.0), ({"a": float("nan")}, 1.0)):
+        with pytest.raises(ValueError):
+            mixing.mix_sources(df, targets, other)
+    with pytest.raises(ValueError):
+        mixing.mix_sources(df, copies="Source")
+
+
 def test_mixing_cases(spark):
     got = mixing.mix_sources(odd(spark), copies="n_drawn")
     assert got.columns == [*odd(spark).columns, "n_drawn"]

@@ -15,7 +15,7 @@ QUERIES = {
     "op5_quality_rules": lambda spark, d: rules.kept_ids(table(spark, d, "documents")),
     "op6_ngram_jaccard_join": lambda spark, d: jaccard.near_duplicates(table(spark, d, "documents")),
     "op7_secret_scans": lambda spark, d: secrets.find_secrets(table(spark, d, "documents")),
-    "op8_document_fingerprints": lambda spark, d: fingerprints.fingerprint(table(spark, d, "documents")),
+    "op8_document_fingerprints": lambda spark, d: fingerprints.fingerprints_compared(table(spark, d, "documents"), table(spark, d, "benchmark")),
     "op9_quality_classifier": lambda spark, d: knn.kept_scores(table(spark, d, "documents"), table(spark, d, "labels")),
     "op10_language_id": lambda spark, d: langid.identify_languages(table(spark, d, "documents")),
     "pipeline": corpus_pipeline.run,

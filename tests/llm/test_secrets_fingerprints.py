@@ -180,3 +180,52 @@ def test_fingerprint_cases(spark):
     assert all(s == same[0] for s in same)
     assert fp.fingerprint(none(spark)).count() == 0 and fp.merge(fp.fingerprint(none(spark)), "doc_id").count() == 0
     assert fp.merge(fp.fingerprint(odd(spark)), "doc_id").where("doc_id = 1").first().sketch == []
+
+
+def test_query_is_brute_force(spark, data):
+    """Sketches, sources' unions and every document with every item, by plain Python sets of the shingles' hashes."""
+    d = spark.read.parquet(f"{data}/documents.parquet")
+    items = spark.read.parquet(f"{data}/benchmark.parquet")
+    hashes = lambda df, key: [(r[0], r[1], set(r[2])) for r in fp.fingerprint(df.select(F.struct(*key).alias("doc_id"), "text"), k=10**6).select("doc_id." + key[0], "doc_id." + key[-1], "sketch").collect()]
+    rows, queries = hashes(d, ["doc_id", "source"]), hashes(items, ["item_id"])
+    cut = lambda s: sorted(s)[: fp.K]
+    count = lambda s: len(s) if len(s) < fp.K else round((fp.K - 1) * fp.SPAN / s[-1])
+    sources = {}
+    for _, s, h in rows:
+        sources[s] = sources.get(s, set()) | h
+    want = {}
+    for i, s, h in rows:
+        best = (None, None, None)
+        for j, _, q in queries:
+            a, b = cut(q), cut(h)
+            u = cut(set(a) | set(b))
+            same = len(set(a) & set(b) & set(u)) / max(1, len(u))
+            inside = min(1.0, same * count(u) / max(1, count(a)))
+            if same and (best[0] is None or (-inside, -same, j) < (-best[2], -best[1], best[0])):
+                best = (j, same, inside)
+        want[i] = (cut(h), count(cut(h)), count(cut(sources[s])), *best)
+    from docloom.llm import queries as registered
+
+    got = registered.QUERIES["op8_document_fingerprints"](spark, data).collect()
+    assert len(got) == len(rows)
+    for r in got:
+        sketch, n, whole, item, same, inside = want[r.doc_id]
+        assert (r.sketch, r.n_shingles, r.item_id) == (sketch, n, item) and abs(r.source_shingles - whole) <= 1
+        assert r.item_resemblance == same and (inside is None or abs(r.item_containment - inside) < 1e-9)
+    assert any(r.item_id is not None for r in got)
+
+
+def test_items_in_blocks(spark):
+    d = fp.fingerprint(docs(spark, *(texts(i, 40, 10 * i) for i in range(6))))
+    items = fp.fingerprint(docs(spark, *(texts(90 + i, 5, 10 * i) for i in range(6))))
+    rows = lambda df: sorted(map(str, df.collect()))
+    assert rows(fp.nearest_items(d, items)) == rows(fp.nearest_items(d, items, block=2))
+    assert fp.nearest_items(d, items.limit(0)).where("item_id IS NOT NULL").isEmpty()
+
+
+def test_compared_cases(spark):
+    items = spark.createDataFrame([(1, PROSE), (2, None), (None, PROSE)], "item_id bigint, text string")
+    got = fp.fingerprints_compared(odd(spark), items).collect()
+    assert len(got) == odd(spark).count() and {r.item_id for r in got if r.doc_id in (4, 5, 7)} == {1}
+    assert all(r.item_id is None for r in got if r.doc_id in (0, 1, 2, 3))
+    assert fp.fingerprints_compared(none(spark), items).count() == 0

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import html
 import re
 import unicodedata
 from collections.abc import Callable
@@ -12,8 +11,25 @@ import xxhash
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-PIPE_TABLE = r"(\|.+\|[\r\n]+\|[\s\-:\|]+\|[\r\n]+(?:\|.+\|[\r\n]*)+)"
-HTML_TABLE = r"(?is)<table\b.*?</table>"
+#: A row of cells, a rule of hyphens, colons and pipes, and at least one row more.
+PIPE_ROW, LINE_END = r"\|.+\|", r"[\r\n]"
+PIPE_TABLE = f"({PIPE_ROW}{LINE_END}+\\|[:|\\s-]+\\|{LINE_END}+(?:{PIPE_ROW}{LINE_END}*)+)"
+TABLE_TAG = re.compile(r"(?i)<(/?)table\b[^>]*>")
+
+
+def html_tables(text: str) -> list[tuple[int, int]]:
+    """(start, end) of the outermost HTML tables, in order; one that isn't closed is none, what it holds is looked at by itself."""
+    found: list[tuple[int, int]] = []
+    opened: list[int] = []
+    for m in TABLE_TAG.finditer(text):
+        if not m.group(1):
+            opened.append(m.start())
+        elif opened:
+            a = opened.pop()
+            while found and found[-1][0] > a:  # tables inside
+                found.pop()
+            found.append((a, m.end()))
+    return found
 
 
 def word_count(text: Column) -> Column:
@@ -28,7 +44,7 @@ def token_estimate(text: Column, chars_per_token: float = 4.0) -> Column:
 
 def terms(text: Column) -> Column:
     """Runs of small ASCII letters and digits of the lowered text."""
-    return F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit("[a-z0-9]+"), 0)
+    return F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), "[^a-z0-9]+"), lambda t: t != "")
 
 
 def content_hash(text: Column) -> Column:
@@ -51,7 +67,7 @@ def xxh64_hex(text: str | Column) -> Column:
 
 def plain_text(text: str) -> str:
     """Compatibility-normalised text without tags, heading marks and emphasis, white space collapsed."""
-    text = re.sub(r"<[^>]+>", " ", unicodedata.normalize("NFKC", text))
+    text = re.sub(r"<[^>]+>", "", unicodedata.normalize("NFKC", text))
     text = re.sub(r"(?m)^\s{0,3}#{1,6}\s*", "", text)
     text = re.sub(r"(\*{1,3}|_{1,3})(\S(?:.*?\S)?)\1", r"\2", text)
     return re.sub(r"\s+", " ", text).strip()
@@ -66,10 +82,6 @@ def clean_page(text: Column) -> Column:
     return F.regexp_replace(text, "(?:&nbsp;\\s*)+", " ")
 
 
-def unescape(text: str) -> str:
-    return html.unescape(text)
-
-
 def has_pipe_table(text: Column) -> Column:
     return F.coalesce(text.rlike(PIPE_TABLE), F.lit(False))
 

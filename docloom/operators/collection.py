@@ -21,7 +21,8 @@ def keep_last(rows: DataFrame, key: str, order: Sequence[Column]) -> DataFrame:
 
 
 def upsert(existing: DataFrame, new: DataFrame, key: str = "unit_id") -> DataFrame:
-    """Rows of ``new`` take the place of those with equal keys; the rest stays.  ``new`` must have a key once."""
+    """Rows of ``new`` take the place of those with equal keys; the rest stays.  Of rows of ``new`` with one key, one stays."""
+    new = new.dropDuplicates([key])
     return existing.join(new.select(key), key, "left_anti").unionByName(new, allowMissingColumns=True)
 
 

@@ -18,8 +18,9 @@ from . import fulltext, split
 def keywords(docs: DataFrame, n: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, keywords): the n terms of highest tf * ln(N / df) in each text, ties by the term; texts without terms have none."""
     tf = fulltext.postings(docs, id_col, text_col)
+    total = tf.where(F.col("term") == fulltext.ANY).agg(F.count("*").alias("n_docs"))
+    tf = tf.where(F.col("term") != fulltext.ANY)
     df = tf.groupBy("term").agg(F.count("*").alias("df"))
-    total = docs.agg(F.count("*").alias("n_docs"))
     scored = tf.join(df, "term").crossJoin(F.broadcast(total)).withColumn("w", F.round(F.col("tf") * F.log(F.col("n_docs") / F.col("df")), 6))  # total is one row
     w = Window.partitionBy(id_col).orderBy(F.desc("w"), "term")
     top = scored.withColumn("rn", F.row_number().over(w)).where(F.col("rn") <= n)

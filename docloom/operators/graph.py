@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 
@@ -17,10 +18,16 @@ def merge_nodes(nodes: DataFrame, order: str = "batch") -> DataFrame:
 
 
 def create_edges(edges: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Edges of which both ends exist, each (ends, type) once."""
+    """Edges of which both ends exist, each (ends, type, properties) once."""
     n = nodes.select("label", "id").distinct()
     ok = edges.join(n.toDF("src_label", "src"), ["src_label", "src"], "left_semi").join(n.toDF("dst_label", "dst"), ["dst_label", "dst"], "left_semi")
-    return ok.dropDuplicates(["src_label", "src", "dst_label", "dst", "rel_type"]).select(*edges.columns)
+    same = ["src_label", "src", "dst_label", "dst", "rel_type"]
+    if "props" not in edges.columns:
+        return ok.dropDuplicates(same).select(*edges.columns)
+    kind = edges.schema["props"].dataType
+    # Maps can't be compared; their entries in order can.
+    what = F.array_sort(F.map_entries("props")).cast("string") if isinstance(kind, T.MapType) else F.col("props").cast("string")
+    return ok.withColumn("_props", what).dropDuplicates([*same, "_props"]).select(*edges.columns)
 
 
 def relationships(edges: DataFrame, direction: str = "out") -> DataFrame:
@@ -50,11 +57,12 @@ def node_count(nodes: DataFrame) -> DataFrame:
 
 
 def match_path(edges: DataFrame, *rel_types: str) -> DataFrame:
-    """(n0, n1, ...): paths along edges of the given types in turn."""
+    """(n0, n1, ...): ids along paths of edges of the given types in turn; a path goes on at a node of the same label and id."""
     path = None
     for k, rel in enumerate(rel_types):
-        step = edges.where(F.col("rel_type") == rel).select(F.col("src").alias(f"n{k}"), F.col("dst").alias(f"n{k + 1}"))
-        path = step if path is None else path.join(step, f"n{k}")
+        here, there = (f"n{k}", f"l{k}"), (f"n{k + 1}", f"l{k + 1}")
+        step = edges.where(F.col("rel_type") == rel).select(F.col("src").alias(here[0]), F.col("src_label").alias(here[1]), F.col("dst").alias(there[0]), F.col("dst_label").alias(there[1]))
+        path = step if path is None else path.join(step, list(here))
     return path.select(*(f"n{k}" for k in range(len(rel_types) + 1)))
 
 

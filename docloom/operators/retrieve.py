@@ -24,7 +24,7 @@ class VectorRetriever:
     def retrieve(self, queries: DataFrame, k: int = 10, condition=None) -> DataFrame:
         q = embed(queries.select("query_id", F.col("query").alias("content")), self.uri)
         hits = self.collection.search(q, k, condition, self.metric)
-        return hits.select("query_id", F.col("vec_id").alias("unit_id"), "score", "rank")
+        return hits.select("query_id", F.col(self.collection.key).alias("unit_id"), "score", "rank")
 
 
 class FullTextRetriever:

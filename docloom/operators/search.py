@@ -11,51 +11,79 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..errors import InvalidInput
+from ..folders import cut
 from ..functions import vectors
 from ..workers import map_arrow
 
 #: Vectors of a block; two blocks' products are 32 MB.
 BLOCK = 2048
+#: Bytes of packed queries up to which they are sent to all executors.
+BROADCAST_BYTES = 64 << 20
 
 
 def _blocks(df: DataFrame, id_col: str, vec_col: str, name: str) -> DataFrame:
-    """(name_ids, name_matrix): vectors packed into blocks of about BLOCK rows; rows without a vector are left out."""
+    """(name_ids, name_matrix): vectors packed into blocks of about BLOCK rows, ids as they are; rows without a vector or an id are left out."""
+    id_type = df.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for start in range(0, batch.num_rows, BLOCK):
                 part = batch.slice(start, BLOCK)
-                order = np.argsort(part.column(0).to_numpy(zero_copy_only=False), kind="stable")
-                lists = part.column(1).take(pa.array(order))
-                sizes = set(np.diff(lists.offsets.to_numpy())) if part.num_rows else {0}
+                lists, ids = part.column(1), part.column(0)
+                sizes = set(np.diff(lists.offsets.to_numpy()))
                 if len(sizes) > 1:
                     raise InvalidInput("vectors differ in length")
                 matrix = lists.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
-                ids = part.column(0).take(pa.array(order))
-                yield pa.RecordBatch.from_arrays([pa.array([ids.to_pylist()], pa.list_(pa.int64())), pa.array([matrix.tobytes()], pa.binary())], [f"{name}_ids", f"{name}_matrix"])
+                yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), ids), pa.array([matrix.tobytes()], pa.binary())], [f"{name}_ids", f"{name}_matrix"])
 
-    rows = df.where(F.col(vec_col).isNotNull() & F.col(id_col).isNotNull()).select(F.col(id_col).cast("bigint"), vec_col)
-    return map_arrow(rows, run, f"{name}_ids array<bigint>, {name}_matrix binary")
+    rows = df.where(F.col(vec_col).isNotNull() & F.col(id_col).isNotNull()).select(id_col, vec_col)
+    return map_arrow(rows, run, f"{name}_ids array<{id_type}>, {name}_matrix binary")
+
+
+def _best(row: np.ndarray, score: np.ndarray, place: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of each row's candidates the k best and what ties with the last."""
+    order = np.lexsort((-score, row))
+    row, score, place = row[order], score[order], place[order]
+    start = np.flatnonzero(np.concatenate([[True], row[1:] != row[:-1]])) if len(row) else np.zeros(0, np.int64)
+    size = np.diff(np.concatenate([start, [len(row)]]))
+    last = np.repeat(score[start + np.minimum(k, size) - 1], size) if len(row) else score
+    keep = score >= last
+    return row[keep], score[keep], place[keep]
 
 
 def knn(queries: DataFrame, base: DataFrame, k: int = 10, metric: str = "cosine", query_id: str = "query_id", base_id: str = "vec_id", query_vec: str = "embedding", base_vec: str = "embedding", digits: int = 6) -> DataFrame:
-    """(query_id, vec_id, score, rank): the k best of ``base`` for each row of ``queries``.
+    """(query_id, {base_id}, score, rank): the k best of ``base`` for each row of ``queries``, whose ids may be of any type.
 
-    Both sides are packed into blocks; every pair of blocks is one matrix
-    product, of which only the k best of each query leave the task (and what
-    ties with the last), so that what is shuffled is k rows a query and pair of
-    blocks.  Scores are rounded, ties go to the smaller id.  Nothing is
-    collected or broadcast by hand.
+    Both sides are packed into blocks, once; every pair of blocks is one matrix
+    product.  The packed queries are sent to all executors if their bytes, which
+    are counted, allow; then vectors stay where they are, and a task keeps only
+    the k best of each query, and what ties with the last, over all its blocks.
+    Scores are rounded, ties go to the smaller id.
     """
     if metric not in ("cosine", "l2_inverse"):
         raise InvalidInput(metric)
+    q_type, b_type = (d.schema[c].dataType.simpleString() for d, c in ((queries, query_id), (base, base_id)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        asked: dict[int, tuple[pa.Array, np.ndarray, tuple[np.ndarray, np.ndarray, np.ndarray]]] = {}
+        ids: list[pa.Array] = []
+        seen: dict[int, int] = {}
+        total = 0
         for batch in batches:
             for i in range(batch.num_rows):
-                qi, bi = (np.array(batch.column(c)[i].as_py(), np.int64) for c in (0, 2))
-                q = np.frombuffer(batch.column(1)[i].as_py()).reshape(len(qi), -1)
-                b = np.frombuffer(batch.column(3)[i].as_py()).reshape(len(bi), -1)
+                number, b_number = batch.column(0)[i].as_py(), batch.column(3)[i].as_py()
+                if number not in asked:
+                    q_ids = batch.column(1)[i].values
+                    asked[number] = (q_ids, np.frombuffer(batch.column(2)[i].as_py()).reshape(len(q_ids), -1), (np.zeros(0, np.int64), np.zeros(0), np.zeros(0, np.int64)))
+                b_ids = batch.column(4)[i].values
+                if b_number not in seen:
+                    seen[b_number] = total
+                    ids.append(b_ids)
+                    total += len(b_ids)
+                q_ids, q, (row, score, place) = asked[number]
+                b = np.frombuffer(batch.column(5)[i].as_py()).reshape(len(b_ids), -1)
+                if q.shape[1] != b.shape[1]:
+                    raise InvalidInput("vectors differ in length")
                 qn, bn = (q * q).sum(axis=1), (b * b).sum(axis=1)
                 s = q @ b.T
                 if metric == "cosine":
@@ -63,14 +91,21 @@ def knn(queries: DataFrame, base: DataFrame, k: int = 10, metric: str = "cosine"
                 else:
                     s = 1 / (1 + np.maximum(qn[:, None] + bn[None, :] - 2 * s, 0))
                 s = np.round(s, digits)
-                last = min(k, len(bi)) - 1
-                least = -np.partition(-s, last, axis=1)[:, last]
-                row, col = np.nonzero(s >= least[:, None])
-                yield pa.RecordBatch.from_arrays([pa.array(qi[row]), pa.array(bi[col]), pa.array(s[row, col])], ["query_id", "vec_id", "score"])
-
-    pairs = _blocks(queries, query_id, query_vec, "q").crossJoin(_blocks(base, base_id, base_vec, "b"))
-    found = map_arrow(pairs.select("q_ids", "q_matrix", "b_ids", "b_matrix"), run, "query_id bigint, vec_id bigint, score double")
-    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+                last = min(k, len(b_ids)) - 1
+                r, c = np.nonzero(s >= -np.partition(-s, last, axis=1)[:, last : last + 1])
+                asked[number] = (q_ids, q, _best(np.concatenate([row, r]), np.concatenate([score, s[r, c]]), np.concatenate([place, c + seen[b_number]]), k))
+        known = pa.concat_arrays(ids) if ids else None
+        for q_ids, _, (row, score, place) in asked.values():
+            yield pa.RecordBatch.from_arrays([q_ids.take(pa.array(row)), known.take(pa.array(place)), pa.array(score)], ["query_id", base_id, "score"])
+
+    number = F.monotonically_increasing_id()
+    q = _blocks(queries, query_id, query_vec, "q").withColumn("q_no", number)
+    q = cut(q)
+    light = (q.agg(F.sum(F.length("q_matrix") + 16 * F.size("q_ids"))).first()[0] or 0) <= BROADCAST_BYTES
+    b = _blocks(base, base_id, base_vec, "b").withColumn("b_no", number)
+    pairs = b.crossJoin(F.broadcast(q)) if light else cut(b).crossJoin(q)
+    found = map_arrow(pairs.select("q_no", "q_ids", "q_matrix", "b_no", "b_ids", "b_matrix"), run, f"query_id {q_type}, `{base_id}` {b_type}, score double")
+    best = Window.partitionBy("query_id").orderBy(F.desc("score"), base_id)
     return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
 
 

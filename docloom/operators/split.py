@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..errors import InvalidInput
-from ..functions.text import HTML_TABLE, PIPE_TABLE
+from ..functions.text import PIPE_TABLE, html_tables
 from ..workers import importable
 
 COLUMNS = ("doc_id", "seq", "content", "context_path")
@@ -59,7 +59,7 @@ def chunk_tokens(units: DataFrame, size: int = 512, overlap: int = 50) -> DataFr
     return renumber(each.select("doc_id", "seq", "sub", F.array_join(F.slice("w", F.col("sub") * (size - overlap) + 1, size), " ").alias("content"), "context_path"))
 
 
-HEADING = r"^(#+)[ \t](.*)$"
+HEADER = re.compile(r"(#+)[ \t](.*)$")
 
 
 def split_headers(units: DataFrame, sep: str = " > ", include_header: bool = True) -> DataFrame:
@@ -67,31 +67,52 @@ def split_headers(units: DataFrame, sep: str = " > ", include_header: bool = Tru
 
     Lines between fences of three backticks are no headings.  Text before the
     first heading has a null path; empty sections go, so a heading without text
-    stays only if headings are included.  The whole is one window over lines.
+    stays only if headings are included.  A document is worked through by
+    itself, line by line, in Arrow batches; nothing is shuffled but to number
+    the sections.
     """
-    lines = units.select("doc_id", "seq", F.posexplode(F.split("content", "\n")).alias("line_no", "line"))
-    upto = Window.partitionBy("doc_id", "seq").orderBy("line_no")
-    fence = F.ltrim("line").startswith("```")
-    lines = lines.withColumn("fences", F.sum(fence.cast("int")).over(upto))
-    head = ~fence & (F.col("fences") % 2 == 0) & F.col("line").rlike(HEADING)
-    lines = lines.withColumns({"head": head, "level": F.when(head, F.length(F.regexp_extract("line", HEADING, 1))), "title": F.when(head, F.trim(F.regexp_extract("line", HEADING, 2)))})
-    lines = lines.withColumn("sub", F.sum(F.col("head").cast("int")).over(upto))
-    body = F.when(F.col("head"), F.concat(F.repeat(F.lit("#"), F.col("level")), F.lit(" "), F.col("title")) if include_header else F.lit(None).cast("string")).otherwise(F.col("line"))
-    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_no", body.alias("b")))), lambda x: x["b"]), "\n")
-    sections = lines.groupBy("doc_id", "seq", "sub").agg(F.regexp_replace(text, r"^\s+|\s+$", "").alias("content"), F.max("level").alias("level"), F.max("title").alias("title"))
-    # The stack of open headings: one fold over a document's headings.
-    step = F.struct(F.col("sub"), F.col("level"), F.col("title"))
-    heads = sections.where("level IS NOT NULL").groupBy("doc_id", "seq").agg(F.array_sort(F.collect_list(step)).alias("h"))
-    empty = F.array().cast("array<struct<sub:bigint,level:int,title:string>>")
-    paths = heads.select("doc_id", "seq", F.explode("h").alias("one"), "h").select(
-        "doc_id",
-        "seq",
-        F.col("one.sub").alias("sub"),
-        F.array_join(
-            F.transform(F.aggregate(F.filter("h", lambda x: x["sub"] <= F.col("one.sub")), empty, lambda acc, x: F.concat(F.filter(acc, lambda e: e["level"] < x["level"]), F.array(x))), lambda e: e["title"]), sep
-        ).alias("context_path"),
-    )
-    return renumber(sections.where("content != ''").join(paths, ["doc_id", "seq", "sub"], "left").select("doc_id", "seq", "sub", "content", "context_path"))
+    importable(units.sparkSession)
+
+    @F.pandas_udf("array<struct<content:string,context_path:string>>")
+    def cut(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: [] if t is None else sections(t, sep, include_header))
+
+    each = units.select("doc_id", "seq", F.posexplode(cut("content")).alias("sub", "s"))
+    return renumber(each.select("doc_id", "seq", "sub", "s.content", "s.context_path"))
+
+
+BLANKS = " \t\n\x0b\f\r"
+
+
+def sections(text: str, sep: str = " > ", include_header: bool = True) -> list[tuple[str, str | None]]:
+    """(content, path) of each section of a Markdown text that isn't empty."""
+    out: list[tuple[str, str | None]] = []
+    stack: list[tuple[int, str]] = []
+    lines: list[str] = []
+    path: str | None = None
+    fenced = False
+
+    def close() -> None:
+        content = "\n".join(lines).strip(BLANKS)
+        if content:
+            out.append((content, path))
+        lines.clear()
+
+    for line in text.split("\n"):
+        fence = line.lstrip(" ").startswith("```")
+        fenced ^= fence
+        m = None if fence or fenced else HEADER.match(line)
+        if m is None:
+            lines.append(line)
+            continue
+        close()
+        level, title = len(m.group(1)), m.group(2).strip(" ")
+        stack = [h for h in stack if h[0] < level] + [(level, title)]
+        path = sep.join(t for _, t in stack)
+        if include_header:
+            lines.append(f"{'#' * level} {title}")
+    close()
+    return out
 
 
 def greedy(counts: Iterable[int], most: int) -> list[int]:
@@ -146,7 +167,7 @@ def pack_paragraphs(text: str, most: int, count: Counter) -> list[str]:
 
 def table_spans(text: str) -> list[tuple[int, int]]:
     """Places of pipe and HTML tables in order; one that overlaps an earlier one is part of it."""
-    found = sorted([m.span() for m in re.finditer(PIPE_TABLE, text)] + [m.span() for m in re.finditer(HTML_TABLE, text)])
+    found = sorted([m.span() for m in re.finditer(PIPE_TABLE, text)] + html_tables(text))
     out: list[tuple[int, int]] = []
     for a, b in found:
         if out and a < out[-1][1]:
@@ -169,13 +190,13 @@ def segments(text: str) -> list[tuple[bool, str]]:
 
 
 def split_text(text: str, most: int = 1200, count: Counter = words) -> list[str]:
-    """A text within the limit stays; else tables are kept whole and the text between them is packed by paragraphs."""
+    """A text within the limit stays; else each table is a unit of its own, whole, and the text between them is packed by paragraphs."""
     if not text.strip():
         return []
     if count(text) <= most:
         return [text]
     out: list[str] = []
-    run: list[str] = []  # what is packed next: paragraphs and tables in order
+    run: list[str] = []  # the paragraphs that are packed next
 
     def flush() -> None:
         out.extend(pack(run, most, count, "\n\n"))
@@ -183,7 +204,8 @@ def split_text(text: str, most: int = 1200, count: Counter = words) -> list[str]
 
     for table, part in segments(text):
         if table:
-            run.append(part.strip("\n"))
+            flush()
+            out.append(part.strip("\n"))
         else:
             for p in part.split("\n\n"):
                 if p.strip() and count(p) > most:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 import re
 from collections.abc import Sequence
 from html import escape
@@ -10,7 +11,7 @@ from html.parser import HTMLParser
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import HTML_TABLE, PIPE_TABLE, by_value
+from ..functions.text import PIPE_TABLE, by_value, html_tables
 
 TABLE = "struct<source_format: string, columns: array<string>, rows: array<array<string>>, is_complex: boolean, start: int, end: int>"
 
@@ -167,10 +168,10 @@ def parse_text(text: str) -> list[dict]:
         rows = [r for r in map(row, lines[2:]) if len(r) == len(head)]
         if len(lines) >= 3 and rows:
             out.append({"source_format": "markdown", "columns": head, "rows": rows, "is_complex": False, "start": m.start(), "end": m.end()})
-    for m in re.finditer(HTML_TABLE, text):
-        columns, rows, hard = parse_html(m.group())
+    for start, end in html_tables(text):
+        columns, rows, hard = parse_html(text[start:end])
         if rows:
-            out.append({"source_format": "html", "columns": columns, "rows": rows, "is_complex": hard, "start": m.start(), "end": m.end()})
+            out.append({"source_format": "html", "columns": columns, "rows": rows, "is_complex": hard, "start": start, "end": end})
     return out
 
 
@@ -213,24 +214,24 @@ def merge_pages(pages: list[str], decide=None) -> str:
 
     for page in pages:
         at = 0
-        for m in [*re.finditer(HTML_TABLE, page), None]:
-            before = page[at : m.start() if m else len(page)].strip()
+        for span in [*html_tables(page), None]:
+            before = page[at : span[0] if span else len(page)].strip()
             if before:
                 close()
                 out.append(before)
-            if m is None:
+            if span is None:
                 break
-            columns, rows, _ = parse_html(m.group())
+            columns, rows, _ = parse_html(page[slice(*span)])
             verdict = decide(open_[0], columns) if open_ else "stop"
             if open_ and verdict == "new_row":
                 open_[1].extend(rows if columns == open_[0] else [columns, *rows])
             elif open_ and verdict == "continue_cell" and open_[1]:
-                open_[1][-1] = [" ".join(filter(None, x)) for x in zip(open_[1][-1], columns, strict=False)]
+                open_[1][-1] = [" ".join(filter(None, x)) for x in itertools.zip_longest(open_[1][-1], columns)]
                 open_[1].extend(rows)
             else:
                 close()
                 open_ = (columns, rows)
-            at = m.end()
+            at = span[1]
     close()
     return "\n\n".join(out)
 

@@ -67,6 +67,14 @@ def vector_topk_filtered(spark: SparkSession, d: str) -> DataFrame:
     return collection.Collection.in_memory(e, "vec_id").search(_queries(spark, d), condition={"label": {"$gte": 2, "$nin": [4]}})
 
 
+@query("""WITH e AS (SELECT 'v' || vec_id AS unit_id, embedding FROM embeddings) SELECT query_id, unit_id, score, CAST(rank AS INTEGER) AS rank FROM (
+      SELECT query_id, unit_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, unit_id) AS rank FROM (
+        SELECT q.unit_id AS query_id, b.unit_id, round(list_cosine_similarity(b.embedding::DOUBLE[], q.embedding::DOUBLE[]), 6) AS score FROM e q, e b)) WHERE rank <= 10""")
+def vector_topk_string_ids(spark: SparkSession, d: str) -> DataFrame:
+    units = table(spark, d, "embeddings").select(F.concat(F.lit("v"), F.col("vec_id").cast("string")).alias("unit_id"), "embedding")
+    return collection.Collection.in_memory(units).search(units.withColumnRenamed("unit_id", "query_id"))
+
+
 # Collections
 
 
@@ -182,6 +190,17 @@ def fulltext_sorted(spark: SparkSession, d: str) -> DataFrame:
     return index.search(_items(spark, d), sort="n_chars:desc").select("query_id", "doc_id", "score", "rank")
 
 
+@query(f"""WITH documents AS (SELECT doc_id, CASE WHEN doc_id % 7 = 2 THEN upper(lang) || ' again' ELSE text END AS text FROM main.documents WHERE doc_id % 5 <> 1), {_bm25_ctes()} {_best_sql()}""")
+def fulltext_index_changes(spark: SparkSession, d: str) -> DataFrame:
+    """An index with documents added, replaced and deleted after a first search, searched again."""
+    docs = table(spark, d, "documents").select("doc_id", "text", "lang")
+    index = fulltext.FullTextIndex(docs.where("doc_id % 3 > 0"), "doc_id", "text")
+    index.search(_items(spark, d).limit(1)).count()
+    index = index.upsert(docs.where("doc_id % 3 = 0")).update(docs.where("doc_id % 7 = 2").withColumn("text", F.concat(F.upper("lang"), F.lit(" again"))))
+    index = index.delete(docs.where("doc_id % 5 = 1").select("doc_id"))
+    return index.search(_items(spark, d)).select("query_id", "doc_id", "score", "rank")
+
+
 @query(f"WITH {_bm25_ctes()} SELECT query_id, lang AS value, count(*) AS n FROM h JOIN documents USING (doc_id) GROUP BY query_id, lang")
 def fulltext_facets(spark: SparkSession, d: str) -> DataFrame:
     return fulltext.facets(_hits(spark, d), table(spark, d, "documents"), "lang")
@@ -205,10 +224,9 @@ LISTS_SQL = f"""{_bm25_ctes()}, c AS (SELECT query_id, doc_id, CAST(count(*) AS
 
 
 def _lists(spark: SparkSession, d: str) -> list[DataFrame]:
-    docs, wanted = table(spark, d, "documents"), fulltext.query_terms(_items(spark, d))
-    found = docs.select("doc_id", F.explode(F.array_distinct(tx.terms(F.col("text")))).alias("term")).join(wanted, "term")
-    coverage = found.groupBy("query_id", "doc_id").agg(F.count("*").cast("double").alias("score"))
-    return [fulltext.best(x, 20).withColumnRenamed("doc_id", "unit_id") for x in (_hits(spark, d), coverage)]
+    wanted = fulltext.query_terms(_items(spark, d))
+    index = fulltext.postings(table(spark, d, "documents"), vocabulary=wanted)
+    return [fulltext.best(x, 20).withColumnRenamed("doc_id", "unit_id") for x in (fulltext.scored(index, wanted), fulltext.coverage(index, wanted))]
 
 
 def _fused_sql(score: str, source: str = "l") -> str:

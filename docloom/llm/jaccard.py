@@ -441,23 +441,31 @@ def grouped(docs: DataFrame, t: float = THRESHOLD, n: int = SHINGLE, near: int =
     pairs = reliable(pairs)
     members = found.where("region IS NOT NULL").select("region", "a", F.col("lo").alias("size"), F.col("hi").alias("place"))
 
-    def joined(labels: DataFrame | None, edges: DataFrame | None, more: DataFrame) -> tuple[DataFrame, DataFrame]:
-        """Components after the near ones of further pairs are added."""
+    def joined(labels: DataFrame | None, more: DataFrame) -> DataFrame:
+        """(set_id, label) after the near ones of further pairs are added; what is one component already is one vertex."""
         new = reliable(similar(more, docs, known, n, t))
-        edges = new if edges is None else edges.union(new)
-        return components(edges), edges
+        if labels is None:
+            return components(new)
+        if new.isEmpty():
+            return labels
+        ends = new
+        for side in ("a", "b"):
+            ends = ends.join(labels.select(F.col("set_id").alias(side), F.col("label").alias(f"{side}_of")), side, "left")
+        whole = components(ends.select(F.coalesce("a_of", "a").alias("a"), F.coalesce("b_of", "b").alias("b")))
+        of = labels.union(new.select("a", "a")).union(new.select("b", "b")).groupBy("set_id").agg(F.min("label").alias("label"))
+        return settled(of.join(whole.select(F.col("set_id").alias("label"), F.col("label").alias("to")), "label", "left").select("set_id", F.coalesce("to", "label").alias("label")))
 
     # First each set with the one that it shares most with; then what of the rest isn't connected by that.
     good = reliable(promising(pairs.where("ok"), members, t))
-    labels, edges = joined(None, None, reliable(good.groupBy("b").agg(F.max_by("a", F.struct("common", "a")).alias("a")).select("a", "b")))
+    labels = joined(None, reliable(good.groupBy("b").agg(F.max_by("a", F.struct("common", "a")).alias("a")).select("a", "b")))
     # Places that only a common n-gram of a large region allows: both need such regions.
     late = promising(pairs.where("NOT ok").join(members.select("a").distinct(), "a", "left_semi").join(members.select(F.col("a").alias("b")).distinct(), "b", "left_semi"), members, t)
     more = reliable(unconnected(good.union(late), labels).select("a", "b"))
     if not more.isEmpty():
-        labels, edges = joined(labels, edges, more)
+        labels = joined(labels, more)
     more = reliable(remaining_pairs(members, labels, pairs, t))
     if not more.isEmpty():
-        labels, edges = joined(labels, edges, more)
+        labels = joined(labels, more)
     return known.join(labels, "set_id", "left").select("doc_id", "key", "set_id", F.coalesce("label", "set_id").alias("label"))
 
 

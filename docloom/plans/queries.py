@@ -356,7 +356,14 @@ def rerank_document_text(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").select("doc_id", post.rerank_text([F.col("lang"), F.col("source")], F.col("text")).alias("shown"))
 
 
-@query()
+SENTENCES = "string_split(regexp_replace({}, '([.!?。])\\s+', '\\1' || chr(31), 'g'), chr(31))"
+
+
+@query(f"""WITH {_bm25_ctes()}, top AS ({_best_sql(5)}),
+  x AS (SELECT query_id, d.doc_id, d.text, {TERMS.format("b.text")} AS q, contains(lower(d.text), '<table') OR len(list_filter(string_split(d.text, chr(10)), lambda y: length(y) - length(replace(y, '|', '')) >= 2 AND contains(y, '-'))) > 0 AS tab
+    FROM top JOIN documents d ON d.doc_id = top.doc_id JOIN benchmark b ON b.item_id = query_id),
+  k AS (SELECT query_id, doc_id, tab, text, list_filter({SENTENCES.format("text")}, lambda y: list_has_any({TERMS.format("y")}, q)) AS kept FROM x)
+  SELECT query_id, doc_id, CASE WHEN tab THEN text ELSE array_to_string(kept, chr(10) || chr(10)) END AS content FROM k WHERE tab OR len(kept) > 0""")
 def select_excerpts(spark: SparkSession, d: str) -> DataFrame:
     hits = fulltext.best(_hits(spark, d), 5).join(table(spark, d, "documents"), "doc_id").join(_items(spark, d), "query_id")
     return post.select_excerpts(hits.withColumnRenamed("text", "content"), tx.looks_tabular(F.col("content"))).select("query_id", "doc_id", "content")
@@ -412,28 +419,71 @@ def header_paths(spark: SparkSession, d: str) -> DataFrame:
     return units.groupBy("doc_id", tx.path_root(F.col("context_path")).alias("root")).agg(F.count("*").alias("n"))
 
 
-@query()
+def _packed_sql(name: str, source: str, most: int, whole: bool = False) -> str:
+    """CTEs up to ``name`` (doc_id, seq, content, context_path): texts of ``source`` packed by paragraphs, those over the limit by sentences; with ``whole`` a text within the limit stays as it is."""
+    count = lambda c: f"len(list_filter(string_split_regex({c}, '\\s+'), lambda y: y <> ''))"
+    keep = f"{count('content')} <= {most}" if whole else "false"
+    edge = "regexp_replace(p, '^\\n+|\\n+$', '', 'g')" if whole else "p"
+    deep = "regexp_replace(p, '^\\s+|\\s+$', '', 'g')" if whole else "p"
+    return f"""{name}_p AS (SELECT doc_id, seq, context_path, i, p, {count("p")} AS n, {count("p")} > {most} AND NOT all_ AS big FROM (
+    SELECT *, unnest(ps) AS p, generate_subscripts(ps, 1) AS i FROM (SELECT *, {keep} AS all_, CASE WHEN {keep} THEN [content] ELSE string_split(content, chr(10) || chr(10)) END AS ps FROM {source})) WHERE regexp_matches(p, '\\S')),
+  {name}_s AS (SELECT *, 2 * (sum(CASE WHEN big THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id, seq ORDER BY i) - CASE WHEN big THEN 1 ELSE 0 END) + CASE WHEN big THEN 1 ELSE 0 END AS seg FROM {name}_p),
+  {name}_e AS (SELECT doc_id, seq, context_path, seg, i, 0 AS j, {edge} AS c FROM {name}_s WHERE NOT big
+    UNION ALL SELECT doc_id, seq, context_path, seg, i, generate_subscripts(l, 1), unnest(l) FROM (SELECT *, {SENTENCES.format(deep)} AS l FROM {name}_s WHERE big)),
+  {name}_o AS (SELECT *, {count("c")} AS n, row_number() OVER (PARTITION BY doc_id, seq, seg ORDER BY i, j) AS rn FROM {name}_e WHERE regexp_matches(c, '\\S')),
+  {name}_g AS (SELECT doc_id, seq, seg, rn, n AS used, 0 AS grp FROM {name}_o WHERE rn = 1
+    UNION ALL SELECT o.doc_id, o.seq, o.seg, o.rn, CASE WHEN g.used + o.n > {most} THEN o.n ELSE g.used + o.n END, CASE WHEN g.used + o.n > {most} THEN g.grp + 1 ELSE g.grp END
+      FROM {name}_g g JOIN {name}_o o ON o.doc_id = g.doc_id AND o.seq = g.seq AND o.seg = g.seg AND o.rn = g.rn + 1),
+  {name}_m AS (SELECT doc_id, seq, seg, grp, min(context_path) AS context_path, CASE WHEN seg % 2 = 1 THEN string_agg(c, ' ' ORDER BY rn) ELSE string_agg(c, chr(10) || chr(10) ORDER BY rn) END AS content FROM {name}_o JOIN {name}_g USING (doc_id, seq, seg, rn) GROUP BY doc_id, seq, seg, grp),
+  {name} AS (SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY seq, seg, grp) - 1 AS INTEGER) AS seq, content, context_path FROM {name}_m)"""
+
+
+def _merged_sql(name: str, source: str, target: int) -> str:
+    """CTEs up to ``name``: neighbours of ``source`` merged while their words are at most ``target``."""
+    return f"""{name}_o AS (SELECT *, len(list_filter(string_split_regex(content, '\\s+'), lambda y: y <> '')) AS n FROM {source}),
+  {name}_g AS (SELECT doc_id, seq, n AS used, 0 AS grp FROM {name}_o WHERE seq = 0
+    UNION ALL SELECT o.doc_id, o.seq, CASE WHEN g.used + o.n > {target} THEN o.n ELSE g.used + o.n END, CASE WHEN g.used + o.n > {target} THEN g.grp + 1 ELSE g.grp END FROM {name}_g g JOIN {name}_o o ON o.doc_id = g.doc_id AND o.seq = g.seq + 1),
+  {name} AS (SELECT doc_id, CAST(grp AS INTEGER) AS seq, string_agg(content, chr(10) || chr(10) ORDER BY seq) AS content, arg_min(context_path, seq) AS context_path FROM {name}_o JOIN {name}_g USING (doc_id, seq) GROUP BY doc_id, grp)"""
+
+
+def _chained_sql(source: str, name: str = "") -> str:
+    uid = f"substr(sha256(concat_ws(chr(31), CAST(doc_id AS VARCHAR), '{name}', CAST(seq AS VARCHAR), content)), 1, 32)"
+    return f"""SELECT doc_id, seq, content, context_path, unit_id, lag(unit_id) OVER w AS prev_unit_id, lead(unit_id) OVER w AS next_unit_id FROM (SELECT *, {uid} AS unit_id FROM {source}) WINDOW w AS (PARTITION BY doc_id ORDER BY seq)"""
+
+
+UNITS_SQL = f"{CHATS_SQL}, units AS (SELECT doc_id, 0 AS seq, text AS content, CAST(NULL AS VARCHAR) AS context_path FROM chats)"
+
+
+@query(f"WITH RECURSIVE {UNITS_SQL}, {_packed_sql('t', 'units', 300, True)} {_chained_sql('t')}")
 def split_text(spark: SparkSession, d: str) -> DataFrame:
     return split.chain(split.as_units(chats_markdown(spark, d)).transform(split.text_splitter(300)))
 
 
-@query()
+@query(f"WITH RECURSIVE {UNITS_SQL}, {_packed_sql('t', 'units', 200)} SELECT * FROM t")
 def pack_paragraphs(spark: SparkSession, d: str) -> DataFrame:
     return split.as_units(chats_markdown(spark, d)).transform(split.paragraph_splitter(200))
 
 
-@query()
+SPLIT_TABLE_SQL = f"""WITH RECURSIVE pt AS (PARTS), l AS (SELECT doc_id, string_split(text, chr(10)) AS l FROM pt),
+  r AS (SELECT doc_id, l[1] || chr(10) || l[2] AS head, len(string_split(l[1], ' ')) + len(string_split(l[2], ' ')) AS base, unnest(l[3:]) AS r, generate_subscripts(l[3:], 1) AS i FROM l),
+  o AS (SELECT *, len(string_split(r, ' ')) AS n FROM r),
+  g AS (SELECT doc_id, i, base + n AS used, 0 AS grp FROM o WHERE i = 1
+    UNION ALL SELECT o.doc_id, o.i, CASE WHEN g.used + o.n > 200 THEN o.base + o.n ELSE g.used + o.n END, CASE WHEN g.used + o.n > 200 THEN g.grp + 1 ELSE g.grp END FROM g JOIN o ON o.doc_id = g.doc_id AND o.i = g.i + 1)
+  SELECT doc_id, CAST(grp AS INTEGER) AS seq, min(head) || chr(10) || string_agg(r, chr(10) ORDER BY i) AS content, CAST(NULL AS VARCHAR) AS context_path FROM o JOIN g USING (doc_id, i) GROUP BY doc_id, grp"""
+
+
+@query(SPLIT_TABLE_SQL.replace("PARTS", """SELECT p_brand AS doc_id, '| key | name | type |' || chr(10) || '| --- | --- | --- |' || chr(10) || string_agg('| ' || p_partkey || ' | ' || p_name || ' | ' || p_type || ' |', chr(10) ORDER BY p_partkey) AS text FROM part GROUP BY p_brand"""))
 def split_table(spark: SparkSession, d: str) -> DataFrame:
     parts = _part_tables(spark, d)
     return split.as_units(parts).transform(split.table_splitter(200))
 
 
-@query()
+@query(f"WITH RECURSIVE h AS ({HEADERS_SQL}), {_merged_sql('m', 'h', 300)} SELECT * FROM m")
 def merge_greedy(spark: SparkSession, d: str) -> DataFrame:
     return split.merge_small(split.split_headers(split.as_units(chats_markdown(spark, d))), 300)
 
 
-@query()
+@query(f"""WITH RECURSIVE h AS ({HEADERS_SQL}), {_packed_sql('t', 'h', 200, True)}, s AS (SELECT doc_id, seq, content, context_path FROM t), {_merged_sql('m', 's', 400)} {_chained_sql('m', 'pipeline')}""")
 def split_pipeline(spark: SparkSession, d: str) -> DataFrame:
     units = split.as_units(chats_markdown(spark, d)).transform(split.split_headers).transform(split.text_splitter(200)).transform(split.table_splitter(200))
     return split.chain(split.merge_small(units, 400), "pipeline")
@@ -672,7 +722,13 @@ def headings_from_layout(spark: SparkSession, d: str) -> DataFrame:
     return enrich.headings(p)
 
 
-@query()
+@query(f"""WITH {_bm25_ctes()}, top AS ({_best_sql(3)}),
+  c AS (SELECT b.item_id AS query_id, any_value({TERMS.format("b.text")}) AS q, list(d.doc_id ORDER BY rank) FILTER (WHERE d.doc_id IS NOT NULL) AS ids,
+    coalesce(string_agg('[' || d.doc_id || ']:' || chr(10) || d.text, chr(10) || chr(10) ORDER BY rank), '') AS context
+    FROM benchmark b LEFT JOIN top ON query_id = item_id LEFT JOIN documents d ON d.doc_id = top.doc_id GROUP BY b.item_id),
+  s AS (SELECT query_id, q, unnest({SENTENCES.format("context")}) AS t, generate_subscripts({SENTENCES.format("context")}, 1) AS i FROM c),
+  k AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY n DESC, i) AS rn FROM (SELECT query_id, t, i, len(list_intersect(list_distinct(q), {TERMS.format("t")})) AS n FROM s))
+  SELECT query_id, coalesce(ids, []) AS citations, CASE WHEN trim(context) = '' THEN 'There is nothing to answer from.' ELSE coalesce((SELECT string_agg(t, ' ' ORDER BY rn) FROM k WHERE k.query_id = c.query_id AND rn <= 3 AND n > 0), '') END AS answer FROM c""")
 def answer_extractive(spark: SparkSession, d: str) -> DataFrame:
     hits = fulltext.best(_hits(spark, d), 3).join(table(spark, d, "documents").select("doc_id", F.col("text").alias("content")), "doc_id")
     asked = enrich.prompts(_items(spark, d), hits.select("query_id", F.col("doc_id").alias("unit_id"), F.col("rank").alias("pos"), "content"))

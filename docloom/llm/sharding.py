@@ -11,7 +11,7 @@ from .common import reliable
 N_SHARDS = 64
 
 
-def shard_documents(docs: DataFrame, n_shards: int = N_SHARDS, size=None) -> DataFrame:
+def shard_documents(docs: DataFrame, n_shards: int = N_SHARDS) -> DataFrame:
     """(doc_id, n_bytes, start_byte, shard_id) of every row, shards contiguous in (doc_id, n_bytes).
 
     Sizes are summed per range partition; the prefix sums of these totals, one

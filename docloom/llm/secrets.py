@@ -6,9 +6,11 @@ import math
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import xxhash
 import zstandard
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..workers import map_arrow
@@ -57,13 +59,20 @@ ASSIGNED = re.compile(
 PEM = re.compile(r"-----BEGIN [A-Z ]{0,30}(PRIVATE KEY)-----\s*([A-Za-z0-9+/=\s]{%d,}?)\s*-----END" % LEAST_LENGTH)
 
 
-def sensitive(text: Column) -> Column:
-    """Does the text have any of the keywords."""
-    low = F.lower(F.coalesce(text, F.lit("")))
-    found = F.lit(False)
-    for k in KEYWORDS:
-        found = found | low.contains(k)
-    return found
+LETTER = np.zeros(256, bool)
+LETTER[[*range(65, 91), *range(97, 123), 95]] = True
+LONG = re.compile(r"\b[A-Za-z_]{%d,}\b" % LEAST_LENGTH)
+NAMES = re.compile(r"\b[A-Za-z_]{3,}\b")
+UNSURE = re.compile(f"{ASSIGNED.pattern[4:]}|{PEM.pattern}", re.I)
+
+
+def long_runs(raw: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """The rows that have a run of LEAST_LENGTH or more letters and underscores."""
+    inside = np.zeros(len(raw) + 2, bool)
+    inside[1:-1] = LETTER[raw]
+    edge = np.flatnonzero(inside[1:] != inside[:-1])
+    start, size = edge[::2], edge[1::2] - edge[::2]
+    return np.unique(np.searchsorted(offsets, start[size >= LEAST_LENGTH], side="right") - 1)
 
 
 def corpus_identifiers(docs: DataFrame, least: int = LEAST_DOCUMENTS, share: float = LEAST_SHARE) -> list[str]:
@@ -73,16 +82,31 @@ def corpus_identifiers(docs: DataFrame, least: int = LEAST_DOCUMENTS, share: flo
     found nowhere else can't be told from a secret that was pasted often.  Words
     with digits don't count, nor do shorter ones: with prose words primed, short
     secrets cost fewer bytes and are missed.  Documents with equal min-hashes
-    count once, by whichever min-hash leaves the fewest, so that copies of one
-    document don't make its secret an identifier.
+    count once, by the min-hash that leaves the fewest but one, as a single one may
+    be of a word that all have; so copies of one document don't make its secret
+    an identifier.
     """
-    text = F.coalesce("text", F.lit(""))
-    text = F.when(sensitive(text), F.regexp_replace(text, f"{ASSIGNED.pattern}|{PEM.pattern}", " ")).otherwise(text)
-    words = docs.select(F.array_distinct(F.regexp_extract_all(text, F.lit(r"\b[A-Za-z_]{3,}\b"), 0)).alias("words"))
-    words = words.select("words", F.filter("words", lambda w: F.length(w) >= LEAST_LENGTH).alias("long")).where(F.size("long") > 0)
-    keys = F.array(*(F.array_min(F.transform("words", lambda w, k=k: F.xxhash64(w, F.lit(k)))) for k in range(COPY_KEYS)))
-    each = words.select(keys.alias("keys"), F.explode("long").alias("w")).select("w", F.posexplode("keys").alias("k", "key"))
-    each = each.distinct().groupBy("w", "k").agg(F.count("*").alias("n")).groupBy("w").agg(F.min("n").alias("n"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in textvec.blocks(batch):
+                out: tuple[list[str], list[int], list[int]] = ([], [], [])
+                column = part.column(0)
+                for i in long_runs(*textvec.buffers(column)).tolist():
+                    text = column[i].as_py() or ""
+                    if any(k in text.lower() for k in KEYWORDS):
+                        text = UNSURE.sub(" ", text)
+                    found = set(LONG.findall(text))
+                    if found:
+                        words = set(NAMES.findall(text))
+                        for k in range(COPY_KEYS):
+                            key = min(xxhash.xxh64_intdigest(w, seed=k) for w in words) >> 1
+                            for w in found:
+                                out[0].append(w), out[1].append(k), out[2].append(key)
+                yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.string()), pa.array(out[1], pa.int32()), pa.array(out[2], pa.int64())], ["w", "k", "key"])
+
+    each = map_arrow(docs.select("text"), run, "w string, k int, key bigint")
+    each = each.distinct().groupBy("w", "k").agg(F.count("*").alias("n")).groupBy("w").agg(F.element_at(F.array_sort(F.collect_list("n")), 2).alias("n"))
     rows = each.where(F.col("n") >= max(least, math.ceil(share * docs.count()))).collect()  # bounded by ``share``
     return [r["w"] for r in sorted(rows, key=lambda r: (-r["n"], r["w"]))]
 

@@ -14,7 +14,7 @@ from ..providers import embed
 from ..sources import readers
 from ..streaming.ingest import stream_upsert
 from ..workers import importable
-from .synthetic import CHATS_SQL, chats_markdown, nation_tables, table, turns
+from .synthetic import CHATS_SQL, chats_markdown, table, turns
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -464,6 +464,8 @@ def pack_paragraphs(spark: SparkSession, d: str) -> DataFrame:
     return split.as_units(chats_markdown(spark, d)).transform(split.paragraph_splitter(200))
 
 
+PARTS_SQL = """SELECT p_brand AS doc_id, '| key | name | type |' || chr(10) || '| --- | --- | --- |' || chr(10) || string_agg('| ' || p_partkey || ' | ' || p_name || ' | ' || p_type || ' |', chr(10) ORDER BY p_partkey) AS text FROM part GROUP BY p_brand"""
+
 SPLIT_TABLE_SQL = f"""WITH RECURSIVE pt AS (PARTS), l AS (SELECT doc_id, string_split(text, chr(10)) AS l FROM pt),
   r AS (SELECT doc_id, l[1] || chr(10) || l[2] AS head, len(string_split(l[1], ' ')) + len(string_split(l[2], ' ')) AS base, unnest(l[3:]) AS r, generate_subscripts(l[3:], 1) AS i FROM l),
   o AS (SELECT *, len(string_split(r, ' ')) AS n FROM r),
@@ -472,7 +474,7 @@ SPLIT_TABLE_SQL = f"""WITH RECURSIVE pt AS (PARTS), l AS (SELECT doc_id, string_
   SELECT doc_id, CAST(grp AS INTEGER) AS seq, min(head) || chr(10) || string_agg(r, chr(10) ORDER BY i) AS content, CAST(NULL AS VARCHAR) AS context_path FROM o JOIN g USING (doc_id, i) GROUP BY doc_id, grp"""
 
 
-@query(SPLIT_TABLE_SQL.replace("PARTS", """SELECT p_brand AS doc_id, '| key | name | type |' || chr(10) || '| --- | --- | --- |' || chr(10) || string_agg('| ' || p_partkey || ' | ' || p_name || ' | ' || p_type || ' |', chr(10) ORDER BY p_partkey) AS text FROM part GROUP BY p_brand"""))
+@query(SPLIT_TABLE_SQL.replace("PARTS", PARTS_SQL))
 def split_table(spark: SparkSession, d: str) -> DataFrame:
     parts = _part_tables(spark, d)
     return split.as_units(parts).transform(split.table_splitter(200))
@@ -492,15 +494,24 @@ def split_pipeline(spark: SparkSession, d: str) -> DataFrame:
 # Tables
 
 
-def _part_tables(spark: SparkSession, d: str) -> DataFrame:
-    """(doc_id, text): for each brand a pipe table of its parts."""
-    p = table(spark, d, "part")
+PART_HEAD = ("key", "name", "type")
+
+
+def _part_rows(spark: SparkSession, d: str) -> DataFrame:
+    """(doc_id, columns, rows): for each brand a table of its parts."""
     row = F.array(F.col("p_partkey").cast("string"), F.col("p_name"), F.col("p_type"))
     rows = F.transform(F.array_sort(F.collect_list(F.struct("p_partkey", row.alias("r")))), lambda x: x["r"])
-    return p.groupBy(F.col("p_brand").alias("doc_id")).agg(tables.to_markdown(F.array(F.lit("key"), F.lit("name"), F.lit("type")), rows).alias("text"))
+    return table(spark, d, "part").groupBy(F.col("p_brand").alias("doc_id")).agg(F.array(*map(F.lit, PART_HEAD)).alias("columns"), rows.alias("rows"))
 
 
-PARTS_SQL = """SELECT p_brand AS doc_id, '| key | name | type |' || chr(10) || '| --- | --- | --- |' || chr(10) || string_agg('| ' || p_partkey || ' | ' || p_name || ' | ' || p_type || ' |', chr(10) ORDER BY p_partkey) AS text FROM part GROUP BY p_brand"""
+def _part_tables(spark: SparkSession, d: str) -> DataFrame:
+    """(doc_id, text): the same as pipe tables."""
+    return _part_rows(spark, d).select("doc_id", tables.to_markdown(F.col("columns"), F.col("rows")).alias("text"))
+
+
+def _part_texts(spark: SparkSession, d: str) -> DataFrame:
+    """(doc_id, text): the same between two sentences."""
+    return _part_tables(spark, d).select("doc_id", F.concat(F.lit("Parts follow.\n\n"), "text", F.lit("\n\nThat is all.")).alias("text"))
 
 
 @query(PARTS_SQL)
@@ -508,20 +519,23 @@ def table_to_markdown(spark: SparkSession, d: str) -> DataFrame:
     return _part_tables(spark, d)
 
 
-@query("""SELECT p_brand AS doc_id, '<table><thead><tr><th>key</th><th>name</th><th>type</th></tr></thead><tbody>' || string_agg('<tr><td>' || p_partkey || '</td><td>' || p_name || '</td><td>' || p_type || '</td></tr>', '' ORDER BY p_partkey) || '</tbody></table>' AS html FROM part GROUP BY p_brand""")
+PARTS_HTML_SQL = """SELECT p_brand AS doc_id, '<table><thead><tr><th>key</th><th>name</th><th>type</th></tr></thead><tbody>' || string_agg('<tr><td>' || p_partkey || '</td><td>' || p_name || '</td><td>' || p_type || '</td></tr>', '' ORDER BY p_partkey) || '</tbody></table>' AS html FROM part GROUP BY p_brand"""
+
+
+@query(PARTS_HTML_SQL)
 def table_md_to_html(spark: SparkSession, d: str) -> DataFrame:
     return _part_tables(spark, d).select("doc_id", tables.pipe_to_html(F.col("text")).alias("html"))
 
 
-@query("SELECT n_regionkey AS doc_id, CAST(row_number() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey) - 1 AS INTEGER) AS row_no, CAST(n_nationkey AS VARCHAR) AS key, n_name AS name FROM nation")
+@query("SELECT p_brand AS doc_id, CAST(row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) - 1 AS INTEGER) AS row_no, CAST(p_partkey AS VARCHAR) AS key, p_name AS name FROM part")
 def table_parse_md(spark: SparkSession, d: str) -> DataFrame:
-    t = nation_tables(spark, d).select("doc_id", F.explode(tables.pipe_tables(F.col("text"))).alias("t")).select("doc_id", tables.parse_pipe(F.col("t")).alias("p"))
+    t = _part_texts(spark, d).select("doc_id", F.explode(tables.pipe_tables(F.col("text"))).alias("t")).select("doc_id", tables.parse_pipe(F.col("t")).alias("p"))
     return t.select("doc_id", F.posexplode("p.rows").alias("row_no", "r")).select("doc_id", "row_no", F.col("r")[0].alias("key"), F.col("r")[1].alias("name"))
 
 
-@query("SELECT n_regionkey AS doc_id, 'markdown' AS source_format, count(*) AS n_rows FROM nation GROUP BY n_regionkey")
+@query("SELECT p_brand AS doc_id, 'markdown' AS source_format, count(*) AS n_rows FROM part GROUP BY p_brand")
 def table_units(spark: SparkSession, d: str) -> DataFrame:
-    t = tables.table_units(split.as_units(nation_tables(spark, d)))
+    t = tables.table_units(split.as_units(_part_texts(spark, d)))
     return t.select("doc_id", F.col("table.source_format").alias("source_format"), F.size("table.rows").cast("bigint").alias("n_rows"))
 
 
@@ -540,18 +554,21 @@ def table_complexity(spark: SparkSession, d: str) -> DataFrame:
     return c.groupBy(F.col("c_nationkey").alias("doc_id")).agg(text.alias("t")).select("doc_id", tables.is_complex(F.col("t")).alias("hard"))
 
 
-@query("""SELECT n_regionkey AS doc_id, string_agg('key: ' || n_nationkey || ', name: ' || n_name, '; ' ORDER BY n_nationkey) AS summary, 'Table with columns: key, name' AS caption, true AS critical FROM nation GROUP BY n_regionkey""")
+@query("""SELECT p_brand AS doc_id, string_agg('key: ' || p_partkey || ', name: ' || p_name || ', type: ' || p_type, '; ' ORDER BY p_partkey) AS summary, 'Table with columns: key, name, type' AS caption, true AS critical FROM part GROUP BY p_brand""")
 def table_enrichment(spark: SparkSession, d: str) -> DataFrame:
-    t = nation_tables(spark, d).select("doc_id", tables.parse_pipe(F.get(tables.pipe_tables(F.col("text")), F.lit(0))).alias("p")).select("doc_id", "p.*")
+    t = _part_texts(spark, d).select("doc_id", F.explode(tables.pipe_tables(F.col("text"))).alias("t")).select("doc_id", tables.parse_pipe(F.col("t")).alias("p")).select("doc_id", "p.*")
     c, r = F.col("columns"), F.col("rows")
     return t.select("doc_id", enrich.summarise_table(c, r).alias("summary"), enrich.caption_table(c).alias("caption"), enrich.is_data_critical(c, r).alias("critical"))
 
 
-@query()
+@query(PARTS_HTML_SQL)
 def table_page_merge(spark: SparkSession, d: str) -> DataFrame:
-    merged = tx.by_value(lambda p: tables.merge_pages(list(p)))
-    html = nation_tables(spark, d).select("doc_id", tables.pipe_to_html(F.get(tables.pipe_tables(F.col("text")), F.lit(0))).alias("html"))
-    return html.select("doc_id", merged(F.array("html", "html")).alias("html"))
+    """Each table cut into two pages, the head on both, and put together again."""
+    merged = tx.by_value(lambda p: tables.merge_pages([x for x in p if x]))
+    half = F.ceil(F.size("rows") / 2).cast("int")
+    page = lambda rows: tables.pipe_to_html(tables.to_markdown(F.col("columns"), rows))
+    two = F.array(page(F.slice("rows", F.lit(1), half)), F.when(F.size("rows") > 1, page(F.slice("rows", half + 1, F.size("rows") - half))).otherwise(""))
+    return _part_rows(spark, d).select("doc_id", merged(two).alias("html"))
 
 
 # Documents and pages

@@ -25,12 +25,3 @@ def chats_markdown(spark: SparkSession, d: str) -> DataFrame:
 
 
 CHATS_SQL = """chats AS (SELECT conv_id AS doc_id, string_agg(CASE role WHEN 'system' THEN '#' WHEN 'user' THEN '##' ELSE '###' END || ' ' || role || chr(10) || text, chr(10) || chr(10) ORDER BY turn) AS text FROM conversations GROUP BY conv_id)"""
-
-
-def nation_tables(spark: SparkSession, d: str) -> DataFrame:
-    """(doc_id, text): for each region a pipe table of its nations, between two sentences."""
-    n = table(spark, d, "nation")
-    row = F.concat(F.lit("| "), F.col("n_nationkey").cast("string"), F.lit(" | "), F.col("n_name"), F.lit(" |"))
-    each = F.array_sort(F.collect_list(F.struct("n_nationkey", row.alias("r"))))
-    rows = F.array_join(F.transform(each, lambda x: x["r"]), "\n")
-    return n.groupBy(F.col("n_regionkey").alias("doc_id")).agg(F.concat(F.lit("Nations follow.\n\n| key | name |\n| --- | --- |\n"), rows, F.lit("\n\nThat is all.")).alias("text"))

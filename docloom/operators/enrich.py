@@ -176,3 +176,44 @@ def correct_headings(page: str, wanted: Sequence[tuple[str, int]]) -> str:
         if hits:
             page = page[: hits[0].start()] + mark + page[hits[0].end() :]
     return page
+
+
+def correct_pages(pages: DataFrame, headings: DataFrame) -> DataFrame:
+    """(doc_id, page_number, content): pages whose headings have the marks of their level.
+
+    ``headings`` are (doc_id, page_number, ord, text, level), from top to bottom;
+    pages without any stay as they are.
+    """
+    importable(pages.sparkSession)
+    each = F.array_sort(F.collect_list(F.struct("ord", "text", "level")))
+    wanted = headings.groupBy("doc_id", "page_number").agg(F.transform(each, lambda h: F.struct(h["text"].alias("text"), h["level"].cast("int").alias("level"))).alias("wanted"))
+
+    @F.pandas_udf("string")
+    def correct(content: pd.Series, wanted: pd.Series) -> pd.Series:
+        return pd.Series([c if c is None or w is None else correct_headings(c, [(h["text"], h["level"]) for h in w]) for c, w in zip(content, wanted, strict=True)], dtype=object)
+
+    out = pages.join(wanted, ["doc_id", "page_number"], "left")
+    return out.select("doc_id", "page_number", correct("content", "wanted").alias("content"))
+
+
+def overlapping_chunks(text: str, size: int, overlap: int = 1) -> list[str]:
+    """Paragraphs packed to ``size`` words; each chunk begins with the last ``overlap`` paragraphs of the one before, if they fit."""
+    paragraphs = [p for p in text.split("\n\n") if p.strip()]
+    out: list[list[str]] = []
+    run: list[str] = []
+    for p in paragraphs:
+        pieces = [p] if split.words(p) <= size else split.pack_sentences(p, size, split.words)
+        for piece in pieces:
+            if run and sum(map(split.words, run)) + split.words(piece) > size:
+                out.append(run)
+                kept = run[-overlap:] if overlap else []
+                run = kept if sum(map(split.words, kept)) + split.words(piece) <= size else []
+            run = [*run, piece]
+    return ["\n\n".join(r) for r in [*out, run] if r]
+
+
+def filled(template: str, query: Column, context: Column) -> Column:
+    """A prompt from a template with {query} and {context}; doubled braces stand for braces."""
+    parts = re.split(r"(\{query\}|\{context\})", template)
+    plain = lambda x: F.lit(x.replace("{{", "{").replace("}}", "}"))
+    return F.concat(*(query if x == "{query}" else context if x == "{context}" else plain(x) for x in parts))

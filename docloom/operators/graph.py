@@ -37,6 +37,24 @@ def relationships(edges: DataFrame, direction: str = "out") -> DataFrame:
     return {"out": lambda: out, "in": lambda: into, "both": lambda: out.unionByName(into)}[direction]()
 
 
+def get_node(nodes: DataFrame, label: str, id: str) -> DataFrame:
+    return nodes.where((F.col("label") == label) & (F.col("id") == id))
+
+
+def with_ids(nodes: DataFrame) -> DataFrame:
+    """Nodes without an id get one of eight hexadecimal digits, from their label and properties, so that a repeated run gives the same."""
+    made = F.substring(F.sha2(F.concat_ws("\x1f", F.col("label"), F.array_sort(F.map_entries("props")).cast("string")), 256), 1, 8)
+    return nodes.withColumn("id", F.coalesce("id", made))
+
+
+def related(edges: DataFrame, label: str, id: str, direction: str = "out", rel_type: str | None = None, target: str | None = None) -> DataFrame:
+    """One node's relationships, of a type and to a target if these are given."""
+    out = relationships(edges, direction).where((F.col("label") == label) & (F.col("id") == id))
+    if rel_type is not None:
+        out = out.where(F.col("rel_type") == rel_type)
+    return out if target is None else out.where(F.col("other") == target)
+
+
 def detach_delete(nodes: DataFrame, edges: DataFrame, gone: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Nodes and edges without the nodes ``gone`` (label, id) and all edges at them."""
     g = gone.select("label", "id")

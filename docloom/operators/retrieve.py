@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..errors import InvalidInput
-from ..providers import embed
+from ..providers import embed, reranker
 from . import fulltext, fusion, post
 from .collection import Collection
 
@@ -68,8 +68,8 @@ class RewriteRetriever:
 class Reranker:
     """Scores hits anew; ``score`` takes the query and the text shown, offline the share of the query's terms that the text has."""
 
-    def __init__(self, score: Callable[[Column, Column], Column] = post.lexical_score, head: Sequence[str] = (), most: int = 2000):
-        self.score, self.head, self.most = score, head, most
+    def __init__(self, score: Callable[[Column, Column], Column] | str = post.lexical_score, head: Sequence[str] = (), most: int = 2000):
+        self.score, self.head, self.most = reranker(score) if isinstance(score, str) else score, head, most
 
     def rerank(self, hits: DataFrame, queries: DataFrame, units: DataFrame, k: int, key: str = "unit_id", text: str = "content") -> DataFrame:
         shown = post.rerank_text([F.col(c).cast("string") for c in self.head], F.col(text), self.most)

@@ -241,3 +241,43 @@ def merge_units(group: Column | str, units: DataFrame, order: str = "seq") -> Da
     joined = lambda c, sep: F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(order, c))), lambda x: x[c]), sep)
     pages = F.array_sort(F.array_distinct(F.flatten(F.collect_list("page_numbers"))))
     return units.groupBy(group).agg(joined("content", "\n\n").alias("content"), joined("caption", "; ").alias("caption"), F.when(F.size(pages) > 0, pages).alias("page_numbers"), F.min_by("context_path", order).alias("context_path"))
+
+
+def pipe_blocks(text: Column) -> Column:
+    """Maximal runs of lines that start with a pipe, in order."""
+    return F.regexp_extract_all(text, F.lit(r"(?m)((?:^\|[^\n]*(?:\n|$))+)"), 1)
+
+
+def even_rows(rows: Column) -> Column:
+    """Rows filled up with empty cells to the length of the longest."""
+    width = F.array_max(F.transform(rows, lambda r: F.size(r)))
+    return F.transform(rows, lambda r: repair_row(r, width))
+
+
+def first_row_as_head(rows: Column) -> Column:
+    """struct(columns, rows): the first row is the head; no rows give null."""
+    return F.when(F.size(rows) > 0, F.struct(F.get(rows, F.lit(0)).alias("columns"), F.slice(rows, F.lit(2), F.greatest(F.size(rows) - 1, F.lit(0))).alias("rows")))
+
+
+def dangling(page: str) -> tuple[str, str]:
+    """(fragment, rest) of a page that begins inside a table: up to the matching end tag, "" if it doesn't begin so."""
+    if not re.match(r"(?i)\s*<(tr|td|th|tbody|thead)\b", page):
+        return "", page
+    depth = 1
+    for m in re.finditer(r"(?i)<(/?)table\b[^>]*>", page):
+        depth += -1 if m.group(1) else 1
+        if depth == 0:
+            return page[: m.start()], page[m.end() :]
+    return page, ""
+
+
+def some_rows(table: str, first: int = 0, last: int = 0) -> list[str]:
+    """The first and last rows of an HTML table as they are written, none twice."""
+    rows = re.findall(r"(?is)<tr\b.*?</tr\s*>", table)
+    return rows if first + last >= len(rows) else rows[:first] + (rows[-last:] if last else [])
+
+
+def heading_before(text: str, at: int) -> str | None:
+    """The last Markdown heading before a place."""
+    found = re.findall(r"(?m)^#{1,6}[ \t]+(.+?)[ \t]*$", text[:at])
+    return found[-1] if found else None

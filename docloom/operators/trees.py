@@ -15,9 +15,6 @@ from pyspark.sql.window import Window
 from ..functions.text import terms
 from ..workers import importable
 
-HEADING = r"^(#{1,6})[ \t]+(.+)$"
-
-
 def tree_nodes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, node_id, parent_id, ord, level, title, text, line_start, line_end).
 
@@ -25,27 +22,47 @@ def tree_nodes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> D
     three backticks; its text reaches to the next heading, its own line
     included.  What stands before the first heading belongs to no node.  The
     parent is the last heading before of a smaller level.
+    Documents are worked through by themselves, in Arrow batches; nothing is shuffled.
     """
-    lines = docs.select(F.col(doc_id).alias("doc_id"), F.posexplode(F.split(text, "\n")).alias("line_no", "line"))
-    upto = Window.partitionBy("doc_id").orderBy("line_no")
-    bare = F.trim("line")
-    fence = bare.startswith("```")
-    lines = lines.withColumn("fences", F.sum(fence.cast("int")).over(upto))
-    head = ~fence & (F.col("fences") % 2 == 0) & bare.rlike(HEADING)
-    lines = lines.withColumns({"level": F.when(head, F.length(F.regexp_extract(bare, HEADING, 1))), "title": F.when(head, F.trim(F.regexp_extract(bare, HEADING, 2)))})
-    lines = lines.withColumn("ord", F.count("level").over(upto).cast("int"))
-    text_of = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_no", "line"))), lambda x: x["line"]), "\n")
-    nodes = (
-        lines.where("ord > 0")
-        .groupBy("doc_id", "ord")
-        .agg(F.max("level").alias("level"), F.max("title").alias("title"), F.regexp_replace(text_of, r"^\s+|\s+$", "").alias("text"), (F.min("line_no") + 1).cast("int").alias("line_start"), (F.max("line_no") + 1).cast("int").alias("line_end"))
-    )
-    # One column per level: the last heading of that level so far; the parent is the latest of the smaller levels.
-    before = Window.partitionBy("doc_id").orderBy("ord").rowsBetween(Window.unboundedPreceding, -1)
-    last = {k: F.max(F.when(F.col("level") == k, F.col("ord"))).over(before) for k in range(1, 6)}
-    parent = F.greatest(F.lit(None).cast("int"), *(F.when(F.col("level") > k, c) for k, c in last.items()))
-    name = lambda c: F.lpad(c.cast("string"), 4, "0")
-    return nodes.withColumn("p", parent).select("doc_id", name(F.col("ord")).alias("node_id"), name(F.col("p")).alias("parent_id"), "ord", "level", "title", "text", "line_start", "line_end")
+    importable(docs.sparkSession)
+
+    @F.pandas_udf("array<struct<node_id:string,parent_id:string,ord:int,level:int,title:string,text:string,line_start:int,line_end:int>>")
+    def parse(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: [] if t is None else sections(t))
+
+    return docs.select(F.col(doc_id).alias("doc_id"), F.explode(parse(F.col(text))).alias("n")).select("doc_id", "n.*")
+
+
+BLANKS = " \t\n\x0b\f\r"
+HEAD = re.compile(r"(#{1,6})[ \t]+(.+)$")
+
+
+def sections(text: str) -> list[dict]:
+    """The nodes of one Markdown text, in order."""
+    out: list[dict] = []
+    lines: list[str] = []
+    open_: list[tuple[int, str]] = []
+    fenced = False
+    for k, line in enumerate(text.split("\n"), 1):
+        bare = line.strip(" ")
+        fence = bare.startswith("```")
+        fenced ^= fence
+        m = None if fence or fenced else HEAD.match(bare)
+        if m:
+            if out:
+                out[-1]["text"] = "\n".join(lines).strip(BLANKS)
+            lines = [line]
+            level = len(m.group(1))
+            open_ = [h for h in open_ if h[0] < level]
+            name = str(len(out) + 1).zfill(4)[:4]
+            out.append({"node_id": name, "parent_id": open_[-1][1] if open_ else None, "ord": len(out) + 1, "level": level, "title": m.group(2).strip(" "), "text": "", "line_start": k, "line_end": k})
+            open_.append((level, name))
+        elif out:
+            lines.append(line)
+            out[-1]["line_end"] = k
+    if out:
+        out[-1]["text"] = "\n".join(lines).strip(BLANKS)
+    return out
 
 
 def outline(nodes: DataFrame, summary: Column | None = None) -> DataFrame:
@@ -104,7 +121,8 @@ class _Node:
     total: float = 0.0
 
 
-PRESETS = {"fast": 10, "balanced": 30, "accurate": 50}
+#: (rounds, exploration, nodes returned) of each preset.
+PRESETS = {"fast": (10, 1.4, 3), "balanced": (30, 1.2, 5), "accurate": (50, 1.0, 8), "explore": (50, 2.0, 10)}
 
 
 def mcts(rows: list[tuple[str, str | None, float]], iterations: int, top_k: int, c: float = math.sqrt(2)) -> list[tuple[str, float, int]]:
@@ -146,7 +164,7 @@ def mcts(rows: list[tuple[str, str | None, float]], iterations: int, top_k: int,
     return sorted(seen, key=lambda x: (-x[1], x[0]))[:top_k]
 
 
-def search_tree(nodes: DataFrame, relevance: Column, iterations: int = PRESETS["balanced"], top_k: int = 3, keys: tuple[str, ...] = ("query_id", "doc_id")) -> DataFrame:
+def search_tree(nodes: DataFrame, relevance: Column, iterations: int = 30, top_k: int = 3, keys: tuple[str, ...] = ("query_id", "doc_id"), c: float = math.sqrt(2)) -> DataFrame:
     """(keys, node_id, value, visits): Monte-Carlo search of each key's tree; trees are searched in parallel, one task's at a time."""
     importable(nodes.sparkSession)
     kinds = ", ".join(f"{k} {nodes.schema[k].dataType.simpleString()}" for k in keys)
@@ -154,7 +172,7 @@ def search_tree(nodes: DataFrame, relevance: Column, iterations: int = PRESETS["
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("ord")
         rows = [(n, None if pd.isna(p) else p, float(v)) for n, p, v in zip(pdf["node_id"], pdf["parent_id"], pdf["rel"], strict=True)]
-        found = mcts(rows, iterations, top_k)
+        found = mcts(rows, iterations, top_k, c)
         out = pd.DataFrame(found, columns=["node_id", "value", "visits"])
         for i, k in enumerate(keys):
             out.insert(i, k, pdf[k].iloc[0])
@@ -194,5 +212,69 @@ def from_nested(forest: list[dict], doc_id: object = None) -> list[dict]:
     return out
 
 
-def is_node_id(text: str) -> bool:
-    return re.fullmatch(r"\d{4}", text) is not None
+def trees_of(units: DataFrame, level: str = "high") -> DataFrame:
+    """Nodes of units (unit_id, views) from the view at ``level``, Markdown or text; units without that view have none."""
+    views = units.select(F.col("unit_id").alias("doc_id"), F.get(F.filter("views", lambda v: v["level"] == level), F.lit(0))["content"].alias("text"))
+    return tree_nodes(views.where("text IS NOT NULL"))
+
+
+class TreeRetriever:
+    """Answers (query_id, query) from trees of nodes with (query_id, doc_id, node_id, title, text, ...); ``judge`` is a column of query and text, offline the share of the query's terms."""
+
+    def __init__(self, judge=None):
+        self.judge = judge or lexical_relevance
+
+    def search(self, nodes: DataFrame, queries: DataFrame) -> DataFrame:
+        raise NotImplementedError
+
+    def retrieve(self, queries: DataFrame, units: DataFrame) -> DataFrame:
+        """From the views of the units that each query (query_id, query, unit_id) names."""
+        nodes = trees_of(units.join(queries.select("unit_id").distinct(), "unit_id", "left_semi"))
+        asked = queries.select("query_id", "query", F.col("unit_id").alias("doc_id"))
+        return self.search(nodes, asked)
+
+    def asked(self, nodes: DataFrame, queries: DataFrame) -> DataFrame:
+        """Each query with the nodes of its document; queries without doc_id ask all trees, and are few."""
+        pairs = nodes.join(queries, "doc_id") if "doc_id" in queries.columns else nodes.crossJoin(queries.select("query_id", "query"))
+        return pairs.withColumn("relevance", self.judge(F.col("query"), F.coalesce("text", F.lit(""))).cast("double"))
+
+
+class SimpleTree(TreeRetriever):
+    """Descends from the roots through nodes whose relevance is at least ``least``, ``depth`` levels."""
+
+    def __init__(self, depth: int = 5, least: float = 0.01, judge=None):
+        super().__init__(judge)
+        self.depth, self.least = depth, least
+
+    def search(self, nodes: DataFrame, queries: DataFrame) -> DataFrame:
+        return descend(self.asked(nodes, queries), F.col("relevance") >= self.least, self.depth, ("query_id", "doc_id"))
+
+
+class SkeletonTree(TreeRetriever):
+    """The k most relevant nodes of each tree, in order of relevance, then of the outline; with ``answers`` (query_id, doc_id, answer) the known ids that a judge names, in its order."""
+
+    def __init__(self, k: int = 8, judge=None):
+        super().__init__(judge)
+        self.k = k
+
+    def search(self, nodes: DataFrame, queries: DataFrame, answers: DataFrame | None = None) -> DataFrame:
+        asked = self.asked(nodes, queries)
+        if answers is None:
+            w = Window.partitionBy("query_id", "doc_id").orderBy(F.desc("relevance"), "ord")
+            return asked.where("relevance > 0").withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= self.k)
+        named = answers.select("query_id", "doc_id", F.posexplode(node_ids(F.col("answer"))).alias("place", "node_id"))
+        w = Window.partitionBy("query_id", "doc_id").orderBy("place")
+        return asked.join(named, ["query_id", "doc_id", "node_id"]).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= self.k).drop("place")
+
+
+class MctsTree(TreeRetriever):
+    """Monte-Carlo search with a preset's rounds, exploration and number of nodes."""
+
+    def __init__(self, preset: str = "balanced", judge=None):
+        super().__init__(judge)
+        self.iterations, self.c, self.k = PRESETS[preset]
+
+    def search(self, nodes: DataFrame, queries: DataFrame) -> DataFrame:
+        asked = self.asked(nodes, queries)
+        found = search_tree(asked, F.col("relevance"), self.iterations, self.k, ("query_id", "doc_id"), self.c)
+        return found.join(asked, ["query_id", "doc_id", "node_id"])

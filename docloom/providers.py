@@ -147,3 +147,41 @@ def retried(times: int = 3, delay: float = 1.0, factor: float = 1.5, most: float
         return call
 
     return around
+
+
+def dimension(uri: str) -> int:
+    """Length of a provider's vectors: what it says, or that of one text embedded."""
+    model = provider(uri)
+    return getattr(model, "dimension", None) or len(model.embed(["probe"])[0])
+
+
+def embed_by_type(units: DataFrame, uris: dict[str, str], default: str | None = None, text: str = "content") -> DataFrame:
+    """Embeds each unit by the provider of its ``unit_type``; others by ``default``, and without one they have no vector."""
+    known = list(uris)
+    parts = [embed(units.where(F.col("unit_type") == k), u, text) for k, u in uris.items()]
+    rest = units.where(F.col("unit_type").isNull() | ~F.col("unit_type").isin(known)) if known else units
+    parts.append(embed(rest, default, text) if default else rest.withColumn("embedding", F.lit(None).cast("array<float>")))
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
+RERANKERS: dict[str, Callable[[Address], Callable]] = {}
+
+
+def register_reranker(name: str, make: Callable[[Address], Callable]) -> None:
+    """Adds a provider: from an address to a function of the columns query and text."""
+    RERANKERS[name.lower()] = make
+
+
+def reranker(uri: str) -> Callable:
+    """The scoring function of an address of the same forms as an embedder's; "offline/terms" is the share of the query's terms."""
+    from .operators.post import lexical_score
+
+    a = parse_address(uri)
+    if a.provider == "offline":
+        return lexical_score
+    if a.provider not in RERANKERS:
+        raise ConfigError(f"unknown provider {a.provider!r}; there are {sorted([*RERANKERS, 'offline'])}")
+    return RERANKERS[a.provider](a)

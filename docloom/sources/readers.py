@@ -14,6 +14,7 @@ from ..errors import MissingResource
 from ..functions.text import by_value
 from ..operators import trees
 from ..workers import importable
+from . import office
 
 KINDS = {
     "pdf": "pdf", "docx": "word", "doc": "word", "pptx": "powerpoint", "ppt": "powerpoint", "xlsx": "excel", "xls": "excel", "csv": "csv", "json": "json", "jsonl": "json",
@@ -35,6 +36,17 @@ def file_type(path: Column) -> Column:
     return F.coalesce(F.try_element_at(known, extension(path)), F.lit("unknown"))
 
 
+MIME = {
+    "pdf": "application/pdf", "docx": "application/vnd.openxmlformats-officedocument.wordprocessingml.document", "pptx": "application/vnd.openxmlformats-officedocument.presentationml.presentation", "xlsx": "application/vnd.openxmlformats-officedocument.spreadsheetml.sheet",
+    "csv": "text/csv", "json": "application/json", "xml": "application/xml", "html": "text/html", "htm": "text/html", "md": "text/markdown", "txt": "text/plain", "png": "image/png", "jpg": "image/jpeg", "jpeg": "image/jpeg",
+}
+
+
+def mime_type(path: Column) -> Column:
+    """Media type by the ending; null for others."""
+    return F.try_element_at(F.create_map(*(F.lit(x) for kv in MIME.items() for x in kv)), extension(path))
+
+
 class _Text(HTMLParser):
     BLOCKS = frozenset("p div section article header footer ul ol li table tr h1 h2 h3 h4 h5 h6 br hr blockquote pre".split())
     SILENT = frozenset("script style noscript template head".split())
@@ -99,7 +111,7 @@ def _documents(files: DataFrame, text: Column, name: str) -> DataFrame:
     ext = extension(F.col("path"))
     info = F.struct(
         F.col("path").alias("source"), F.lit("local").alias("source_type"), file_type(F.col("path")).alias("file_type"), F.regexp_extract("path", r"([^/]+)$", 1).alias("file_name"), F.col("length").alias("file_size"),
-        ext.alias("file_extension"), F.col("doc_id").alias("md5"), F.length("text").cast("bigint").alias("content_length"), F.lit(None).cast("string").alias("mime_type"), F.col("modificationTime").alias("created_at"), F.lit(name).alias("reader_name"),
+        ext.alias("file_extension"), F.col("doc_id").alias("md5"), F.length("text").cast("bigint").alias("content_length"), mime_type(F.col("path")).alias("mime_type"), F.col("modificationTime").alias("created_at"), F.lit(name).alias("reader_name"),
     )
     page = F.struct(F.lit(1).alias("page_number"), F.col("text").alias("content"), F.struct(F.lit(0).alias("start"), F.length("text").alias("end")).alias("span"))
     rows = files.withColumn("doc_id", file_hash("content")).withColumn("text", text)
@@ -114,6 +126,14 @@ def read_html(spark: SparkSession, path: str) -> DataFrame:
     return _documents(_binary(spark, path), html_text(F.decode("content", "UTF-8")), "html")
 
 
+def _office(kind: str) -> Reader:
+    def read_office(spark: SparkSession, path: str) -> DataFrame:
+        convert = getattr(office, kind)
+        return _documents(_binary(spark, path), by_value(lambda b: convert(bytes(b)))("content"), kind)
+
+    return read_office
+
+
 def read_markdown_tree(spark: SparkSession, path: str) -> DataFrame:
     """Section nodes of Markdown files."""
     return trees.tree_nodes(read_text(spark, path), "doc_id", "content")
@@ -130,6 +150,9 @@ READERS: dict[str, Reader] = {
     "text": read_text,
     "markdown": read_text,
     "html": read_html,
+    "docx": _office("docx"),
+    "pptx": _office("pptx"),
+    "xlsx": _office("xlsx"),
     "markdown_tree": read_markdown_tree,
     "pages": read_pages,
     "csv": lambda s, p: s.read.option("header", True).csv(p),

@@ -11,9 +11,15 @@ from pyspark.sql import DataFrame, SparkSession
 ROOT = str(Path(__file__).resolve().parent.parent)
 
 
+#: Arrays of some size go back to the system when they are done, so that workers that are used again stay small.
+MEMORY = {"MALLOC_ARENA_MAX": "2", "MALLOC_MMAP_THRESHOLD_": str(4 << 20), "MALLOC_TRIM_THRESHOLD_": str(32 << 20)}
+
+
 def importable(spark: SparkSession) -> None:
     """Puts this package's folder on the path of workers started from now on; it is the same on all nodes, or installed there."""
     env = spark.sparkContext.environment
+    for name, value in MEMORY.items():
+        env.setdefault(name, value)
     paths = [p for p in env.get("PYTHONPATH", "").split(os.pathsep) if p]
     if ROOT not in paths:
         env["PYTHONPATH"] = os.pathsep.join([ROOT, *paths])

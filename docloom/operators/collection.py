@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..errors import InvalidInput
+from ..errors import InvalidInput, StepFailed
 from . import search
 from .filters import compile_filter, where
 
@@ -69,9 +69,13 @@ class Collection:
     """A named set of units.  In memory it is a DataFrame; on disk, version folders and a table of which one counts.
 
     A new version is written whole before the pointer names it, so a reader sees
-    the old or the new one and a failed write changes nothing.
+    the old or the new one and a failed write changes nothing.  Of two writers
+    that started from one version the second fails.  The last ``KEEP`` versions
+    stay, for readers that are still at work; older ones are removed.
     """
 
+    KEEP = 3
+
     def __init__(self, spark: SparkSession, rows: DataFrame | None, path: str | None = None, key: str = "unit_id"):
         self.spark, self.path, self.key, self._rows = spark, path, key, rows
 
@@ -120,14 +124,21 @@ class Collection:
         rows.write.parquet(f"{self.path}/data/{name}")
         paths = self.spark._jvm.org.apache.hadoop.fs.Path
         fs = paths(self.path).getFileSystem(self.spark._jsc.hadoopConfiguration())
+        fs.mkdirs(paths(f"{self.path}/claims"))
+        if not fs.createNewFile(paths(f"{self.path}/claims/{number:012d}")):
+            fs.delete(paths(f"{self.path}/data/{name}"), True)
+            raise StepFailed(f"version {number} of {self.path} was written by another")
         fs.mkdirs(paths(f"{self._pointer()}/{name}"))  # one step: the version counts from here on
+        for old in sorted(f.getPath().getName() for f in fs.listStatus(paths(self._pointer())))[: -self.KEEP]:
+            fs.delete(paths(f"{self._pointer()}/{old}"), True)
+            fs.delete(paths(f"{self.path}/data/{old}"), True)
 
     def _empty(self) -> bool:
         return self._rows is None if self.path is None else self._version() is None
 
     def add(self, units: DataFrame) -> None:
         """Inserts or replaces by key."""
-        self._put(units if self._empty() else upsert(self.rows, units, self.key))
+        self._put(units.dropDuplicates([self.key]) if self._empty() else upsert(self.rows, units, self.key))
 
     upsert = add
 

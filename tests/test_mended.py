@@ -1,7 +1,9 @@
 """What was once wrong."""
 
+import pytest
 from pyspark.sql import functions as F
 
+from docloom.errors import StepFailed
 from docloom.functions import text as tx
 from docloom.operators import collection, fulltext, graph, retrieve, split, tables
 from docloom.providers import embed
@@ -58,6 +60,20 @@ def test_repeated_keys_of_an_upsert(spark):
     assert collection.upsert(one, spark.createDataFrame([(2, "b"), (2, "c")], one.schema)).count() == 2
 
 
+def test_versions_of_a_collection(spark, tmp_path):
+    schema = "unit_id long, content string"
+    c = collection.Collection.local(spark, str(tmp_path / "c"))
+    c.add(spark.createDataFrame([(1, "a"), (1, "b")], schema))
+    assert c.count() == 1
+    for k in range(5):
+        c.add(spark.createDataFrame([(k, "x")], schema))
+    assert c.count() == 5 and len(list((tmp_path / "c" / "data").iterdir())) == collection.Collection.KEEP
+    (tmp_path / "c" / "claims" / f"{7:012d}").touch()  # another writer was faster
+    with pytest.raises(StepFailed):
+        c.add(spark.createDataFrame([(9, "x")], schema))
+    assert c.count() == 5 and len(list((tmp_path / "c" / "data").iterdir())) == collection.Collection.KEEP
+
+
 def test_an_index_lives_on(spark):
     rows = spark.createDataFrame([(1, "red pears", 5), (2, "blue sea", 5), (3, "red sea", 6)], "unit_id long, content string, doc_id long")
     ask = spark.createDataFrame([(0, "red")], "query_id long, query string")

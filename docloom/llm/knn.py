@@ -26,6 +26,8 @@ NEIGHBOURS = 15
 LEAST = 0.4
 #: Similarities are raised to this power before they weigh a vote.
 SHARPNESS = 8
+#: Documents whose terms and cosines are held at once.
+ROWS = 512
 #: Decimals of cosines and scores.
 DIGITS = 5
 
@@ -97,7 +99,7 @@ class Model:
         k = min(self.neighbours, cosine.shape[1])
         last = -np.partition(-cosine, k - 1, axis=1)[:, k - 1 : k]
         above, level = cosine > last, cosine == last
-        chosen = above | (level & (np.cumsum(level, axis=1) <= k - above.sum(axis=1, keepdims=True)))  # of a tie the first
+        chosen = above | (level & (np.cumsum(level, axis=1, dtype=np.int32) <= k - above.sum(axis=1, keepdims=True)))  # of a tie the first
         near = np.nonzero(chosen)[1].reshape(len(cosine), k)
         weight = np.maximum(np.take_along_axis(cosine, near, axis=1), 0).astype(np.float64) ** SHARPNESS
         total = weight.sum(axis=1)
@@ -145,7 +147,7 @@ def score(docs: DataFrame, model: Model | None, name: str = "quality_score") ->
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
         for batch in batches:
-            for part in textvec.blocks(batch, batch.schema.names[at]):
+            for part in textvec.blocks(batch, batch.schema.names[at], rows=ROWS):
                 s = m.scores(part.column(at)) if m is not None and len(m.good) else np.ones(part.num_rows)
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(s, pa.float64())], [*part.schema.names, name])
 

@@ -24,7 +24,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..workers import map_arrow
@@ -44,6 +44,8 @@ REGION_BYTES = 16 << 20
 FLUSH_BYTES = 16 << 20
 #: Partitions to which one shuffle sends; more are reached in two.
 WIDE = 4096
+#: Pairs up to which all are verified in one round.
+ONE_ROUND = 2000
 
 _U = np.uint64
 
@@ -364,11 +366,17 @@ def _components(edges: DataFrame) -> DataFrame:
 
 
 def unconnected(pairs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The pairs (a, b, ...) that lie in different components; ids without a label are their own."""
-    out = pairs
+    """The pairs (a, b, common) that lie in different components, with these, label_a and label_b; ids without a label are their own."""
+    out = pairs.select("a", "b", "common")
     for side in ("a", "b"):
-        out = out.join(labels.select(F.col("set_id").alias(side), F.col("label").alias(f"label_{side}")), side, "left").withColumn(f"label_{side}", F.coalesce(f"label_{side}", side))
-    return out.where("label_a != label_b").drop("label_a", "label_b")
+        out = out.join(if_small(labels.select(F.col("set_id").alias(side), F.col("label").alias(f"label_{side}"))), side, "left").withColumn(f"label_{side}", F.coalesce(f"label_{side}", side))
+    return out.where("label_a != label_b")
+
+
+def first_ones(pairs: DataFrame, most: int) -> DataFrame:
+    """Of ``unconnected`` pairs, for each two components the ``most`` that share most."""
+    order = Window.partitionBy(F.least("label_a", "label_b"), F.greatest("label_a", "label_b")).orderBy(F.desc("common"), "a", "b")
+    return pairs.withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= most).select("a", "b")
 
 
 #: Members of a region that a task holds; those of one with more are spread over several.
@@ -427,8 +435,12 @@ def matched(mine: list[np.ndarray], theirs: list[np.ndarray], t: float) -> pa.Re
     return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b).view(np.int64)), pa.array(np.maximum(a, b).view(np.int64))], ["a", "b"])
 
 
-def grouped(docs: DataFrame, t: float = THRESHOLD, n: int = SHINGLE, near: int = NEAR) -> DataFrame:
-    """(doc_id, key, set_id, label) of every document that has words; key is xxhash64(text), documents with one label form a group."""
+def grouped(docs: DataFrame, t: float = THRESHOLD, n: int = SHINGLE, near: int = NEAR, one_round: int = ONE_ROUND) -> DataFrame:
+    """(doc_id, key, set_id, label) of every document that has words; key is xxhash64(text), documents with one label form a group.
+
+    More than ``one_round`` pairs are verified in rounds: what a few of them
+    connect needn't be looked at again, and in a large family that is most.
+    """
     docs = docs.select("doc_id", "text")
     surveyed = reliable(survey(docs, n))
     classes = frequency_classes(surveyed)
@@ -440,6 +452,7 @@ def grouped(docs: DataFrame, t: float = THRESHOLD, n: int = SHINGLE, near: int =
     pairs = found.where("region IS NULL").groupBy("a", "b").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.sum("common").alias("common"), F.max("ok").alias("ok"))
     pairs = reliable(pairs)
     members = found.where("region IS NOT NULL").select("region", "a", F.col("lo").alias("size"), F.col("hi").alias("place"))
+    in_large = reliable(members.select("a").distinct())
 
     def joined(labels: DataFrame | None, more: DataFrame) -> DataFrame:
         """(set_id, label) after the near ones of further pairs are added; what is one component already is one vertex."""
@@ -455,17 +468,31 @@ def grouped(docs: DataFrame, t: float = THRESHOLD, n: int = SHINGLE, near: int =
         of = labels.union(new.select("a", "a")).union(new.select("b", "b")).groupBy("set_id").agg(F.min("label").alias("label"))
         return settled(of.join(whole.select(F.col("set_id").alias("label"), F.col("label").alias("to")), "label", "left").select("set_id", F.coalesce("to", "label").alias("label")))
 
+    def all_joined(labels: DataFrame, pairs: DataFrame) -> DataFrame:
+        """The same for any number of pairs (a, b, common): first one, then a few for each two components, then what these haven't connected."""
+        for most in (1, 8, None):
+            pairs = settled(unconnected(pairs, labels))
+            now = pairs.select("a", "b")
+            if most and pairs.count() > one_round:
+                now = settled(first_ones(pairs, most))
+            else:
+                most = None
+            if not pairs.isEmpty():
+                labels = joined(labels, now)
+            if most is None:
+                break
+            pairs = pairs.join(now, ["a", "b"], "left_anti")
+        return labels
+
     # First each set with the one that it shares most with; then what of the rest isn't connected by that.
     good = reliable(promising(pairs.where("ok"), members, t))
     labels = joined(None, reliable(good.groupBy("b").agg(F.max_by("a", F.struct("common", "a")).alias("a")).select("a", "b")))
     # Places that only a common n-gram of a large region allows: both need such regions.
-    late = promising(pairs.where("NOT ok").join(members.select("a").distinct(), "a", "left_semi").join(members.select(F.col("a").alias("b")).distinct(), "b", "left_semi"), members, t)
-    more = reliable(unconnected(good.union(late), labels).select("a", "b"))
-    if not more.isEmpty():
-        labels = joined(labels, more)
-    more = reliable(remaining_pairs(members, labels, pairs, t))
-    if not more.isEmpty():
-        labels = joined(labels, more)
+    late = pairs.where("NOT ok")
+    for side in ("a", "b"):
+        late = late.join(if_small(in_large.select(F.col("a").alias(side))), side, "left_semi")
+    labels = all_joined(labels, good.union(promising(late, members, t)))
+    labels = all_joined(labels, remaining_pairs(members, labels, pairs, t).withColumn("common", F.lit(0)))
     return known.join(labels, "set_id", "left").select("doc_id", "key", "set_id", F.coalesce("label", "set_id").alias("label"))
 
 
@@ -504,7 +531,8 @@ def near_duplicates(docs: DataFrame, t: float = THRESHOLD, n: int = SHINGLE) ->
     next NEAR; sizes, places in the order and the number of common first n-grams
     rule out most pairs, exact similarities decide on the rest: first of each
     set with the one with which it shares most, then of pairs that aren't
-    connected by that.  Pairs found join into components; regions with more
+    connected by that, a few for each two components before the others.  Pairs
+    found join into components; regions with more
     members that don't lie in one component yet are joined again.  The links
     inside each component are counted by ``voronoi.links``.  Nowhere is a pair
     sent for a group's every two members, so groups of thousands of copies cost

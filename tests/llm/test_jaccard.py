@@ -64,6 +64,35 @@ def test_regions_are_joined_again(spark):
     assert sorted(map(sorted, (v for v in got.values() if len(v) > 1))) == sorted(map(sorted, expected(rows)))
 
 
+def test_connected_pairs_are_not_verified(spark, monkeypatch):
+    """In large families fewer pairs are verified in rounds than at once, and the groups stay the same."""
+    rng, rows = random.Random(5), []
+    for _ in range(3):
+        base = words(rng, 80)
+        for _ in range(60):
+            w = list(base)
+            for _ in range(rng.randint(3, 9)):
+                w[rng.randrange(len(w))] = rng.choice(words(rng, 3))
+            rows.append((len(rows), " ".join(w)))
+    sent, similar = [], jaccard.similar
+
+    def counted(pairs, *rest):
+        sent.append(pairs.count())
+        return similar(pairs, *rest)
+
+    monkeypatch.setattr(jaccard, "similar", counted)
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    got = []
+    for how in ({"one_round": 0}, {"one_round": 1 << 40}):
+        groups = defaultdict(set)
+        for r in jaccard.grouped(df, **how).collect():
+            groups[r.label].add(r.doc_id)
+        got.append((sum(sent), sorted(map(sorted, (v for v in groups.values() if len(v) > 1)))))
+        sent.clear()
+    assert got[0][1] == got[1][1] == sorted(map(sorted, expected(rows)))
+    assert got[0][0] < 0.7 * got[1][0]
+
+
 def test_whole_table(spark, data):
     rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{data}/documents.parquet").collect()]
     check(spark, rows)

@@ -5,9 +5,9 @@ from __future__ import annotations
 import itertools
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from .common import n_words, reliable
@@ -104,6 +104,10 @@ def pack_plan(histogram: dict[int, int], bins: int, depth: int = DEPTH) -> list[
     return plan
 
 
+def longs(rows: list[tuple[int, ...]], *names: str) -> pa.Table:
+    return pa.table({n: pa.array([r[k] for r in rows], pa.int64()) for k, n in enumerate(names)})
+
+
 def pieces_of(docs: DataFrame, window: int) -> DataFrame:
     """(doc_id, start, length): every document cut into full windows and a rest, in words."""
     sized = docs.select("doc_id", n_words(F.col("text")).cast("bigint").alias("n")).where("n > 0")
@@ -150,11 +154,10 @@ def pack_documents(docs: DataFrame, window: int = WINDOW, bins: int = BINS, dept
             used[length] += repeats * times
             at += times
         first += repeats
-    slot_type = T.StructType([T.StructField(n, T.LongType()) for n in ("s_bin", "s_from", "s_to", "s_pack", "s_times", "s_at")])
-    offset_type = T.StructType([T.StructField(n, T.LongType()) for n in ("o_bin", "o_part", "o_rank")])
+    # As Arrow tables, which need no Python worker: those of lists would be further ones beside those of map_arrow.
     # Both have a row for each bin and a few more: for each combination used, and for every PER_PART pieces.
-    slot_rows = F.broadcast(spark.createDataFrame(slots, slot_type))
-    offset_rows = F.broadcast(spark.createDataFrame(offsets, offset_type))
+    slot_rows = F.broadcast(spark.createDataFrame(longs(slots, "s_bin", "s_from", "s_to", "s_pack", "s_times", "s_at")))
+    offset_rows = F.broadcast(spark.createDataFrame(longs(offsets, "o_bin", "o_part", "o_rank")))
     ranked = pieces.withColumn("local", F.row_number().over(Window.partitionBy("bin", "part").orderBy("doc_id", "start", "length")) - 1)
     ranked = ranked.join(offset_rows, (F.col("bin") == F.col("o_bin")) & (F.col("part") == F.col("o_part"))).withColumn("rank", F.col("o_rank") + F.col("local"))
     placed = ranked.join(slot_rows, (F.col("bin") == F.col("s_bin")) & (F.col("rank") >= F.col("s_from")) & (F.col("rank") < F.col("s_to")))

@@ -50,7 +50,7 @@ _INVERSES = np.ones(1, dtype=_U64)
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     global _POWERS, _INVERSES
     if len(_POWERS) < n:
-        size = max(n, 2 * BLOCK_BYTES)
+        size = max(n, BLOCK_BYTES)
         pair = []
         for base in (_BASE, _INV):
             p = np.full(size, base, dtype=_U64)

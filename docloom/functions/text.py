@@ -11,9 +11,9 @@ import xxhash
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: A row of cells, a rule of hyphens, colons and pipes, and at least one row more.
+#: A row of cells, a rule of hyphens, colons and pipes, and at least one row more.  Rows are taken possessively: nothing comes after them, and Java would nest a call for each row that it may have to give back.
 PIPE_ROW, LINE_END = r"\|.+\|", r"[\r\n]"
-PIPE_TABLE = f"({PIPE_ROW}{LINE_END}+\\|[:|\\s-]+\\|{LINE_END}+(?:{PIPE_ROW}{LINE_END}*)+)"
+PIPE_TABLE = f"({PIPE_ROW}{LINE_END}+\\|[:|\\s-]+\\|{LINE_END}+(?:{PIPE_ROW}{LINE_END}*)++)"
 TABLE_TAG = re.compile(r"(?i)<(/?)table\b[^>]*>")
 
 
@@ -32,6 +32,11 @@ def html_tables(text: str) -> list[tuple[int, int]]:
     return found
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is worked out once, where a lambda that names it would do so for each element."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def word_count(text: Column) -> Column:
     """Number of words separated by white space; blank text and null have 0."""
     t = F.trim(F.regexp_replace(F.coalesce(text, F.lit("")), r"\s+", " "))

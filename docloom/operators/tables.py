@@ -11,7 +11,7 @@ from html.parser import HTMLParser
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import PIPE_TABLE, by_value, html_tables
+from ..functions.text import PIPE_TABLE, by_value, html_tables, let
 
 TABLE = "struct<source_format: string, columns: array<string>, rows: array<array<string>>, is_complex: boolean, start: int, end: int>"
 
@@ -30,9 +30,12 @@ def pipe_tables(text: Column) -> Column:
 def parse_pipe(table: Column) -> Column:
     """struct(columns, rows): rows with another number of cells than the head are left out; fewer than three lines give null."""
     lines = F.filter(F.split(table, r"[\r\n]+"), lambda x: F.trim(x) != "")
-    head = cells(F.element_at(lines, 1))
-    rows = F.filter(F.transform(F.slice(lines, F.lit(3), F.greatest(F.size(lines) - 2, F.lit(0))), cells), lambda r: F.size(r) == F.size(head))
-    return F.when(F.size(lines) >= 3, F.struct(head.alias("columns"), rows.alias("rows")))
+
+    def parsed(lines: Column, head: Column) -> Column:
+        rows = F.filter(F.transform(F.slice(lines, F.lit(3), F.greatest(F.size(lines) - 2, F.lit(0))), cells), lambda r: F.size(r) == F.size(head))
+        return F.struct(head.alias("columns"), rows.alias("rows"))
+
+    return let(lines, lambda x: F.when(F.size(x) >= 3, let(cells(F.element_at(x, 1)), lambda head: parsed(x, head))))
 
 
 def to_markdown(columns: Column, rows: Column) -> Column:
@@ -245,13 +248,12 @@ def merge_units(group: Column | str, units: DataFrame, order: str = "seq") -> Da
 
 def pipe_blocks(text: Column) -> Column:
     """Maximal runs of lines that start with a pipe, in order."""
-    return F.regexp_extract_all(text, F.lit(r"(?m)((?:^\|[^\n]*(?:\n|$))+)"), 1)
+    return F.regexp_extract_all(text, F.lit(r"(?m)((?:^\|[^\n]*(?:\n|$))++)"), 1)
 
 
 def even_rows(rows: Column) -> Column:
     """Rows filled up with empty cells to the length of the longest."""
-    width = F.array_max(F.transform(rows, lambda r: F.size(r)))
-    return F.transform(rows, lambda r: repair_row(r, width))
+    return let(F.array_max(F.transform(rows, lambda r: F.size(r))), lambda width: F.transform(rows, lambda r: repair_row(r, width)))
 
 
 def first_row_as_head(rows: Column) -> Column:

@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from docloom.operators import enrich, tables
+from docloom.plans import queries
 
 
 def _long_table(spark, n):
@@ -36,3 +37,10 @@ def test_long_blocks_and_uneven_rows(spark):
 def test_short_tables_are_parsed_as_before(spark):
     df = spark.createDataFrame([("",), ("| a |",), ("| a |\n| - |",), (None,)], "t string")
     assert [r["p"] for r in df.select(tables.parse_pipe(F.col("t")).alias("p")).collect()] == [None] * 4
+
+
+def test_a_brand_of_many_parts(spark, tmp_path):
+    n = 30_000
+    spark.range(n).select(F.col("id").alias("p_partkey"), F.lit("Brand#11").alias("p_brand"), F.concat(F.lit("name "), "id").alias("p_name"), F.lit("type").alias("p_type")).write.parquet(str(tmp_path / "part.parquet"))
+    r = queries.QUERIES["table_parse_md"](spark, str(tmp_path))
+    assert r.where("row_no = key AND name = 'name ' || key").count() == r.count() == n

@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .errors import ConfigError
 
@@ -25,3 +26,13 @@ def cut(df: DataFrame) -> DataFrame:
     """The rows checkpointed in that folder, so that loops don't grow plans and lost executors don't matter."""
     scratch(df.sparkSession, "")
     return df.checkpoint(eager=True)
+
+
+#: Rows of hits up to which they are sent to all executors.
+FEW = 100_000
+
+
+def few(df: DataFrame) -> DataFrame:
+    """Narrow rows such as hits, cut and counted, and to be sent to the larger side of a join if they are few."""
+    kept = cut(df)
+    return F.broadcast(kept) if kept.count() <= FEW else kept

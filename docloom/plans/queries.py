@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..folders import scratch
+from ..folders import few, scratch
 from ..functions import text as tx
 from ..operators import collection, documents, enrich, filters, fulltext, fusion, graph, pages, post, retrieve, search, split, tables, trees
 from ..providers import embed
@@ -175,8 +175,8 @@ def _items(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
 
 
-def _hits(spark: SparkSession, d: str) -> DataFrame:
-    return fulltext.matches(table(spark, d, "documents"), fulltext.query_terms(_items(spark, d)))
+def _best(spark: SparkSession, d: str, k: int) -> DataFrame:
+    return few(fulltext.bm25(table(spark, d, "documents"), _items(spark, d), k))
 
 
 @query(f"WITH {_bm25_ctes()} {_best_sql()}")
@@ -203,7 +203,10 @@ def fulltext_index_changes(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"WITH {_bm25_ctes()} SELECT query_id, lang AS value, count(*) AS n FROM h JOIN documents USING (doc_id) GROUP BY query_id, lang")
 def fulltext_facets(spark: SparkSession, d: str) -> DataFrame:
-    return fulltext.facets(_hits(spark, d), table(spark, d, "documents"), "lang")
+    wanted = fulltext.query_terms(_items(spark, d))
+    some = fulltext.asked(wanted, "query_id")
+    index = fulltext.postings(table(spark, d, "documents"), vocabulary=fulltext.vocabulary_of(some), keep=("lang",))
+    return fulltext.facets(index, wanted, "lang", some=some)
 
 
 @query(f"""WITH q AS (SELECT DISTINCT unnest({TERMS.format("text")}) AS term FROM benchmark),
@@ -225,8 +228,9 @@ LISTS_SQL = f"""{_bm25_ctes()}, c AS (SELECT query_id, doc_id, CAST(count(*) AS
 
 def _lists(spark: SparkSession, d: str) -> list[DataFrame]:
     wanted = fulltext.query_terms(_items(spark, d))
-    index = fulltext.postings(table(spark, d, "documents"), vocabulary=wanted)
-    return [fulltext.best(x, 20).withColumnRenamed("doc_id", "unit_id") for x in (fulltext.scored(index, wanted), fulltext.coverage(index, wanted))]
+    some = fulltext.asked(wanted, "query_id", 20)
+    index = fulltext.postings(table(spark, d, "documents"), vocabulary=fulltext.vocabulary_of(some))
+    return [fulltext.top(index, wanted, 20, bm25=x, some=some).withColumnRenamed("doc_id", "unit_id") for x in (True, False)]
 
 
 def _fused_sql(score: str, source: str = "l") -> str:
@@ -346,7 +350,7 @@ def table_context(spark: SparkSession, d: str) -> DataFrame:
   SELECT query_id, unit_id, score, CAST(rank AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, unit_id) AS rank FROM s) WHERE rank <= 5""")
 def rerank_lexical(spark: SparkSession, d: str) -> DataFrame:
     docs = table(spark, d, "documents").select(F.col("doc_id").alias("unit_id"), "text")
-    hits = fulltext.best(_hits(spark, d), 20).select("query_id", F.col("doc_id").alias("unit_id"))
+    hits = _best(spark, d, 20).select("query_id", F.col("doc_id").alias("unit_id"))
     hits = hits.join(docs, "unit_id").join(_items(spark, d), "query_id")
     return post.rerank(hits, post.lexical_score(F.col("query"), F.col("text")), 5).select("query_id", "unit_id", "score", "rank")
 
@@ -365,7 +369,7 @@ SENTENCES = "string_split(regexp_replace({}, '([.!?。])\\s+', '\\1' || chr(31),
   k AS (SELECT query_id, doc_id, tab, text, list_filter({SENTENCES.format("text")}, lambda y: list_has_any({TERMS.format("y")}, q)) AS kept FROM x)
   SELECT query_id, doc_id, CASE WHEN tab THEN text ELSE array_to_string(kept, chr(10) || chr(10)) END AS content FROM k WHERE tab OR len(kept) > 0""")
 def select_excerpts(spark: SparkSession, d: str) -> DataFrame:
-    hits = fulltext.best(_hits(spark, d), 5).join(table(spark, d, "documents"), "doc_id").join(_items(spark, d), "query_id")
+    hits = _best(spark, d, 5).join(table(spark, d, "documents"), "doc_id").join(_items(spark, d), "query_id")
     return post.select_excerpts(hits.withColumnRenamed("text", "content"), tx.looks_tabular(F.col("content"))).select("query_id", "doc_id", "content")
 
 
@@ -747,7 +751,7 @@ def headings_from_layout(spark: SparkSession, d: str) -> DataFrame:
   k AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY n DESC, i) AS rn FROM (SELECT query_id, t, i, len(list_intersect(list_distinct(q), {TERMS.format("t")})) AS n FROM s))
   SELECT query_id, coalesce(ids, []) AS citations, CASE WHEN trim(context) = '' THEN 'There is nothing to answer from.' ELSE coalesce((SELECT string_agg(t, ' ' ORDER BY rn) FROM k WHERE k.query_id = c.query_id AND rn <= 3 AND n > 0), '') END AS answer FROM c""")
 def answer_extractive(spark: SparkSession, d: str) -> DataFrame:
-    hits = fulltext.best(_hits(spark, d), 3).join(table(spark, d, "documents").select("doc_id", F.col("text").alias("content")), "doc_id")
+    hits = _best(spark, d, 3).join(table(spark, d, "documents").select("doc_id", F.col("text").alias("content")), "doc_id")
     asked = enrich.prompts(_items(spark, d), hits.select("query_id", F.col("doc_id").alias("unit_id"), F.col("rank").alias("pos"), "content"))
     return asked.select("query_id", "citations", enrich.extractive_answer(F.col("query"), F.col("context")).alias("answer"))
 

@@ -1,8 +1,13 @@
 """Steps whose cost or state once grew faster than their input."""
 
+import math
+import random
+
+import pytest
 from pyspark.sql import functions as F
 
-from docloom.operators import enrich, tables
+from docloom import folders
+from docloom.operators import enrich, fulltext, tables
 from docloom.plans import queries
 
 
@@ -44,3 +49,52 @@ def test_a_brand_of_many_parts(spark, tmp_path):
     spark.range(n).select(F.col("id").alias("p_partkey"), F.lit("Brand#11").alias("p_brand"), F.concat(F.lit("name "), "id").alias("p_name"), F.lit("type").alias("p_type")).write.parquet(str(tmp_path / "part.parquet"))
     r = queries.QUERIES["table_parse_md"](spark, str(tmp_path))
     assert r.where("row_no = key AND name = 'name ' || key").count() == r.count() == n
+
+
+def _corpus(spark, n=300):
+    rng = random.Random(1)
+    words = [f"w{int(rng.paretovariate(0.7)) % 40}" for _ in range(n * 8)]
+    docs = [(f"d{i}", " ".join(words[i * 8 : i * 8 + rng.randrange(9)])) for i in range(n)] + [("empty", ""), ("none", None), ("marks", "Ärger... W1,w2")]
+    asked = [(f"q{i}", " ".join(f"w{rng.randrange(40)}" for _ in range(rng.randrange(4)))) for i in range(600)] + [("null", None)]
+    return docs, asked, spark.createDataFrame(docs, "doc_id string, text string").repartition(3), spark.createDataFrame(asked, "query_id string, query string")
+
+
+def _brute(docs, asked, bm25):
+    split = lambda t: [w for w in "".join(c if c.isascii() and c.isalnum() else " " for c in (t or "").lower()).split()]
+    texts = {d: split(t) for d, t in docs}
+    mean, n = sum(map(len, texts.values())) / len(texts), len(texts)
+    df = {w: sum(w in t for t in texts.values()) for t in texts.values() for w in t}
+    weight = lambda w, t: math.log(1 + (n - df[w] + 0.5) / (df[w] + 0.5)) * t.count(w) * 2.2 / (t.count(w) + 1.2 * (0.25 + 0.75 * len(t) / mean)) if bm25 else 1.0
+    return {q: {d: sum(weight(w, t) for w in set(split(x)) & set(t)) for d, t in texts.items() if set(split(x)) & set(t)} for q, x in asked}
+
+
+@pytest.mark.parametrize("turns", [1, 5])
+@pytest.mark.parametrize("bm25", [True, False])
+def test_search_by_blocks_is_brute_force(spark, monkeypatch, turns, bm25):
+    docs, asked, d, q = _corpus(spark)
+    wanted = fulltext.query_terms(q)
+    if turns > 1:
+        monkeypatch.setattr(fulltext, "ASKED_BYTES", 12_000)
+    some = fulltext.asked(wanted, "query_id", 3)
+    assert len(some) >= turns and (turns > 1 or len(some) == 1)
+    index, want = fulltext.postings(d), _brute(docs, asked, bm25)
+    got = {(r.query_id, r.doc_id): r.score for r in fulltext.scored(index, wanted, bm25=bm25).collect()}
+    assert got == pytest.approx({(x, y): s for x, hits in want.items() for y, s in hits.items()}, abs=2e-6)
+    best = {(r.query_id, r["rank"]): r.doc_id for r in fulltext.top(index, wanted, 3, bm25=bm25, some=some).collect()}
+    assert best == {(x, i + 1): y for x, hits in want.items() for i, y in enumerate(sorted(hits, key=lambda y: (-round(hits[y], 6), y))[:3])}
+
+
+def test_a_search_for_nothing(spark):
+    _, _, d, q = _corpus(spark, 5)
+    index = fulltext.FullTextIndex(d, "doc_id", "text")
+    assert index.search(q.limit(0)).isEmpty() and index.search(q.where("query IS NULL")).isEmpty()
+    assert fulltext.FullTextIndex(d.limit(0), "doc_id", "text").search(q).isEmpty()
+
+
+@pytest.mark.parametrize("name", ["fusion_simple"])
+def test_what_a_search_keeps_is_a_row_for_each_document(spark, data, monkeypatch, name):
+    kept = []
+    monkeypatch.setattr(fulltext, "cut", lambda df: kept.append(folders.cut(df)) or kept[-1])
+    queries.QUERIES[name](spark, data).count()
+    n = spark.read.parquet(f"{data}/documents.parquet").count()
+    assert kept and all(df.count() <= n for df in kept)

@@ -91,7 +91,7 @@ def test_a_search_for_nothing(spark):
     assert fulltext.FullTextIndex(d.limit(0), "doc_id", "text").search(q).isEmpty()
 
 
-@pytest.mark.parametrize("name", ["fusion_simple", "fusion_relative", "fusion_rrf", "fulltext_sorted", "fulltext_index_changes", "answer_extractive", "rerank_lexical", "fulltext_bm25", "select_excerpts", "fulltext_facets"])
+@pytest.mark.parametrize("name", ["fusion_simple", "fusion_relative", "fusion_rrf", "fulltext_sorted", "fulltext_index_changes", "answer_extractive", "rerank_lexical", "fulltext_bm25", "select_excerpts", "fulltext_facets", "query_rewrite"])
 def test_what_a_search_keeps_is_a_row_for_each_document(spark, data, monkeypatch, name):
     kept = []
     monkeypatch.setattr(fulltext, "cut", lambda df: kept.append(folders.cut(df)) or kept[-1])

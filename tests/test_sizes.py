@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from docloom import folders
 from docloom.operators import enrich, fulltext, tables
 from docloom.plans import queries
+from docloom.workers import map_arrow
 
 
 def _long_table(spark, n):
@@ -98,3 +99,22 @@ def test_what_a_search_keeps_is_a_row_for_each_document(spark, data, monkeypatch
     queries.QUERIES[name](spark, data).count()
     n = spark.read.parquet(f"{data}/documents.parquet").count()
     assert kept and all(df.count() <= n for df in kept)
+
+
+def test_only_terms_that_may_be_keywords_are_passed_on(spark, monkeypatch):
+    rng = random.Random(2)
+    docs = [(i, " ".join(f"w{int(rng.paretovariate(0.5)) % 500}" for _ in range(rng.randrange(60)))) for i in range(400)]
+    df = {}
+    for _, t in docs:
+        for w in set(t.split()):
+            df[w] = df.get(w, 0) + 1
+    weight = lambda w, t: -round(t.split().count(w) * math.log(len(docs) / df[w]), 6)
+    want = {i: sorted(set(t.split()), key=lambda w: (weight(w, t), w))[:5] for i, t in docs if t}
+    rows = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
+    for common in (0, 1, 50, 1000):
+        monkeypatch.setattr(enrich, "COMMON", common)
+        assert {r.doc_id: r.keywords for r in enrich.keywords(rows).collect()} == want
+    made = []
+    monkeypatch.setattr(enrich, "map_arrow", lambda *a: made.append(map_arrow(*a)) or made[-1])
+    enrich.keywords(rows)
+    assert made[0].count() < sum(df.values()) / 2

@@ -3,11 +3,12 @@
 import math
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from docloom import folders
-from docloom.operators import enrich, fulltext, tables
+from docloom.operators import enrich, fulltext, search, tables
 from docloom.plans import queries
 from docloom.workers import map_arrow
 
@@ -118,3 +119,25 @@ def test_only_terms_that_may_be_keywords_are_passed_on(spark, monkeypatch):
     monkeypatch.setattr(enrich, "map_arrow", lambda *a: made.append(map_arrow(*a)) or made[-1])
     enrich.keywords(rows)
     assert made[0].count() < sum(df.values()) / 2
+
+
+@pytest.mark.parametrize("metric", ["l2_inverse"])
+@pytest.mark.parametrize("most", [1 << 26, 20_000])
+def test_tied_vectors_are_not_kept(spark, monkeypatch, metric, most):
+    rng = np.random.default_rng(3)
+    x = rng.integers(-1, 2, size=(2600, 3)).astype(float)  # 27 vectors, each about 96 times
+    x = x[np.abs(x).sum(axis=1) > 0]
+    df = spark.createDataFrame([(f"v{i}", [float(v) for v in row]) for i, row in enumerate(x)], "vec_id string, embedding array<float>").repartition(2)
+    monkeypatch.setattr(search, "BROADCAST_BYTES", most)
+    made = []
+    monkeypatch.setattr(search, "map_arrow", lambda *a: made.append(map_arrow(*a)) or made[-1])
+    asked = df.where("vec_id < 'v15'").withColumnRenamed("vec_id", "query_id")
+    got = search.knn(asked, df, 4, metric)
+    d = ((x[:, None] - x[None]) ** 2).sum(axis=2)
+    n = np.sqrt((x * x).sum(axis=1))
+    s = np.round(x @ x.T / (n[:, None] * n[None]) if metric == "cosine" else 1 / (1 + d), 6)
+    names = [f"v{i}" for i in range(len(x))]
+    want = {(q, names[v], r + 1) for i, q in enumerate(names) if q < "v15" for r, v in enumerate(sorted(range(len(x)), key=lambda j: (-s[i, j], names[j]))[:4])}
+    assert {(r.query_id, r.vec_id, r["rank"]) for r in got.collect()} == want
+    pieces = spark.sparkContext.defaultParallelism
+    assert made[-1].count() <= 4 * asked.count() * pieces

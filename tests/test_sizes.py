@@ -121,7 +121,7 @@ def test_only_terms_that_may_be_keywords_are_passed_on(spark, monkeypatch):
     assert made[0].count() < sum(df.values()) / 2
 
 
-@pytest.mark.parametrize("metric", ["l2_inverse"])
+@pytest.mark.parametrize("metric", ["l2_inverse", "cosine"])
 @pytest.mark.parametrize("most", [1 << 26, 20_000])
 def test_tied_vectors_are_not_kept(spark, monkeypatch, metric, most):
     rng = np.random.default_rng(3)

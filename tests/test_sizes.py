@@ -141,3 +141,17 @@ def test_tied_vectors_are_not_kept(spark, monkeypatch, metric, most):
     assert {(r.query_id, r.vec_id, r["rank"]) for r in got.collect()} == want
     pieces = spark.sparkContext.defaultParallelism
     assert made[-1].count() <= 4 * asked.count() * pieces
+
+
+def test_order_of_ids():
+    import pyarrow as pa
+
+    from docloom.operators.ranks import codes, leading
+
+    assert codes(pa.array(["v10", "v9", None, "ä"])).argsort().tolist() == [2, 0, 1, 3]
+    assert codes(pa.array([1.0, float("nan"), None, -2.0])).argsort().tolist() == [2, 3, 0, 1]
+    assert codes(pa.array([True, False])).argsort().tolist() == [1, 0]
+    assert codes(pa.array([{"a": 1}, {"a": 2}])).tolist() == [0, 0]
+    row, key = np.array([0, 0, 0, 1]), np.array([1.0, 1.0, 2.0, 0.0])
+    assert sorted(leading(row, key, np.array([2, 1, 3, 0]), 2)) == [1, 2, 3]
+    assert sorted(leading(row, key, np.zeros(4), 2)) == [0, 1, 2, 3]  # ties that stay open are kept

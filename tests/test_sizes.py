@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from docloom import folders
-from docloom.operators import enrich, fulltext, search, tables
+from docloom.operators import collection, enrich, fulltext, search, tables
 from docloom.plans import queries
 from docloom.workers import map_arrow
 
@@ -155,3 +155,9 @@ def test_order_of_ids():
     row, key = np.array([0, 0, 0, 1]), np.array([1.0, 1.0, 2.0, 0.0])
     assert sorted(leading(row, key, np.array([2, 1, 3, 0]), 2)) == [1, 2, 3]
     assert sorted(leading(row, key, np.zeros(4), 2)) == [0, 1, 2, 3]  # ties that stay open are kept
+
+
+def test_tied_vectors_within_a_filter(spark):
+    df = spark.createDataFrame([(i, [1.0, float(i % 2)], i % 5) for i in range(300)], "vec_id long, embedding array<float>, label int").repartition(3)
+    got = collection.Collection.in_memory(df, "vec_id").search(df.where("vec_id < 2").withColumnRenamed("vec_id", "query_id"), 3, {"label": {"$gte": 2, "$nin": [4]}}).collect()
+    assert {(r.query_id, r["rank"]): r.vec_id for r in got} == {(0, 1): 2, (0, 2): 8, (0, 3): 12, (1, 1): 3, (1, 2): 7, (1, 3): 13}

@@ -2,19 +2,43 @@
 
 from __future__ import annotations
 
-import difflib
+from collections.abc import Iterator
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import plain_text
-from ..workers import importable
+from ..workers import map_arrow
 
 SIGNATURE = 50
 LEAST = 10
 
 
+def alike(a: str, b: str) -> float:
+    """``difflib.SequenceMatcher(None, a, b, autojunk=False).ratio()``: lengths of runs along all diagonals are worked out once, not for each part."""
+    n, m = len(a), len(b)
+    if not n or not m:
+        return 1.0 if n == m else 0.0
+    x, y = (np.frombuffer(t.encode("utf-32-le", "surrogatepass"), np.uint32) for t in (a, b))
+    slant = np.zeros((n, n + m), bool)  # row i moved by n - i, by which diagonals are columns
+    np.lib.stride_tricks.as_strided(slant[:, n:], (n, m), (slant.strides[0] - 1, 1))[:] = x[:, None] == y[None]
+    down = np.arange(n, dtype=np.int32)[:, None]
+    runs = down - np.maximum.accumulate(np.where(slant, np.int32(-1), down), axis=0)
+    run = np.lib.stride_tricks.as_strided(runs[:, n:], (n, m), (runs.strides[0] - 4, 4))
+    total, todo = 0, [(0, n, 0, m)]
+    while todo:
+        i, j, u, v = todo.pop()
+        part = np.minimum(np.minimum(run[i:j, u:v], np.arange(1, j - i + 1, dtype=np.int32)[:, None]), np.arange(1, v - u + 1, dtype=np.int32))
+        at = divmod(int(part.argmax()), v - u)
+        if k := int(part[at]):
+            total += k
+            p, q = at[0] + i - k + 1, at[1] + u - k + 1
+            todo += [z for z in ((i, p, u, q), (p + k, j, q + k, v)) if z[0] < z[1] and z[2] < z[3]]
+    return 2.0 * total / (n + m)
+
+
 def fuzzy_find(needle: str, text: str, start: int = 0, length: int = 300, least: float = 0.7) -> int | None:
     """Where a text's beginning occurs from ``start`` on, or None: exactly by its first characters, else by the window most like it.
 
@@ -25,7 +49,9 @@ def fuzzy_find(needle: str, text: str, start: int = 0, length: int = 300, least:
     if len(head) < LEAST:
         return None
     at = text.find(head[:SIGNATURE], start)
-    if at >= 0 and difflib.SequenceMatcher(None, head, text[at : at + len(head)], autojunk=False).ratio() >= least:
+    if at >= 0 and text.startswith(head, at):
+        return at
+    if at >= 0 and alike(head, text[at : at + len(head)]) >= least:
         return at
     plain, step = plain_text(head), max(200, len(head) // 2)
     best, where = 0.0, None
@@ -33,8 +59,10 @@ def fuzzy_find(needle: str, text: str, start: int = 0, length: int = 300, least:
         window = text[a : a + len(head) + step]
         at = window.find(head[:SIGNATURE])
         piece = window[at : at + len(head)] if at >= 0 else window[: len(head)]
-        match = difflib.SequenceMatcher(None, plain, plain_text(piece), autojunk=False)
-        if match.real_quick_ratio() >= least and match.quick_ratio() >= least and (r := match.ratio()) > best:
+        other = plain_text(piece)
+        if other == plain:  # none is more alike, and later ones are no better
+            return a + max(at, 0)
+        if 2 * min(len(plain), len(other)) >= least * (len(plain) + len(other)) and (r := alike(plain, other)) > best:
             best, where = r, a + max(at, 0)
     return where if best >= least else None
 
@@ -61,19 +89,22 @@ def infer(contents: list[str | None], spans: list[tuple[int, int] | None], text:
 
 
 def infer_page_numbers(units: DataFrame, documents: DataFrame) -> DataFrame:
-    """(doc_id, seq, page_numbers) of units (doc_id, seq, content, start, end) by documents (doc_id, content, pages with spans); one group a document."""
-    importable(units.sparkSession)
+    """(doc_id, seq, page_numbers) of units (doc_id, seq, content, start, end) by documents (doc_id, content, pages with spans); a document with its units is a row."""
     kind = units.schema["doc_id"].dataType.simpleString()
 
-    def run(u: pd.DataFrame, d: pd.DataFrame) -> pd.DataFrame:
-        empty = pd.DataFrame({"doc_id": [], "seq": [], "page_numbers": []})
-        if u.empty or d.empty:
-            return empty
-        u = u.sort_values("seq")
-        spans = [None if pd.isna(a) or pd.isna(b) else (int(a), int(b)) for a, b in zip(u["start"], u["end"], strict=True)]
-        pages = [(p["page_number"], p["span"]["start"], p["span"]["end"]) for p in d["pages"].iloc[0]]
-        found = infer(u["content"].tolist(), spans, d["content"].iloc[0] or "", pages)
-        return pd.DataFrame({"doc_id": u["doc_id"], "seq": u["seq"], "page_numbers": pd.Series(found, index=u.index, dtype=object)})
-
-    left = units.select("doc_id", "seq", "content", F.col("start").cast("double"), F.col("end").cast("double"))
-    return left.groupBy("doc_id").cogroup(documents.select("doc_id", "content", "pages").groupBy("doc_id")).applyInPandas(run, f"doc_id {kind}, seq int, page_numbers array<int>")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                row = {c: batch.column(c)[i].as_py() for c in ("u", "content", "pages")}
+                u = row["u"]
+                spans = [None if x["start"] is None or x["end"] is None else (int(x["start"]), int(x["end"])) for x in u]
+                found = infer([x["content"] for x in u], spans, row["content"] or "", [(p["number"], p["start"], p["end"]) for p in row["pages"] or []])
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array([i] * len(u))), pa.array([x["seq"] for x in u], pa.int32()), pa.array(found, pa.list_(pa.int32()))], ["doc_id", "seq", "page_numbers"])
+
+    known = lambda c: F.nanvl(F.col(c).cast("double"), F.lit(None)).alias(c)
+    each = units.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("seq", "content", known("start"), known("end")))).alias("u"))
+    pages = F.transform("pages", lambda p: F.struct(p["page_number"].alias("number"), p["span"]["start"].alias("start"), p["span"]["end"].alias("end")))
+    docs = documents.select(F.col("doc_id").alias("_doc"), "content", pages.alias("pages")).dropDuplicates(["_doc"])
+    rows = each.join(docs, F.col("doc_id").eqNullSafe(F.col("_doc"))).drop("_doc")
+    tasks = int(units.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # by bytes, of which there are few, all would be for a few tasks
+    return map_arrow(rows.repartition(tasks, "doc_id"), run, f"doc_id {kind}, seq int, page_numbers array<int>")

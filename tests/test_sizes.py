@@ -1,5 +1,6 @@
 """Steps whose cost or state once grew faster than their input."""
 
+import difflib
 import math
 import random
 
@@ -8,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from docloom import folders
-from docloom.operators import collection, enrich, fulltext, search, tables
+from docloom.operators import collection, enrich, fulltext, pages, search, tables
 from docloom.plans import queries
 from docloom.workers import map_arrow
 
@@ -161,3 +162,28 @@ def test_tied_vectors_within_a_filter(spark):
     df = spark.createDataFrame([(i, [1.0, float(i % 2)], i % 5) for i in range(300)], "vec_id long, embedding array<float>, label int").repartition(3)
     got = collection.Collection.in_memory(df, "vec_id").search(df.where("vec_id < 2").withColumnRenamed("vec_id", "query_id"), 3, {"label": {"$gte": 2, "$nin": [4]}}).collect()
     assert {(r.query_id, r["rank"]): r.vec_id for r in got} == {(0, 1): 2, (0, 2): 8, (0, 3): 12, (1, 1): 3, (1, 2): 7, (1, 3): 13}
+
+
+def test_exact_text_is_not_compared_letter_by_letter(monkeypatch):
+    texts = [f"Page {i} begins here. " + f"word{i} " * 60 for i in range(4)]
+    text = "\n\n".join(texts)
+    monkeypatch.setattr(pages, "alike", None)
+    assert [pages.fuzzy_find(t, text) for t in texts] == [text.index(t) for t in texts]
+    assert pages.fuzzy_find("## Page 0", "## Page 0") is None  # too short
+    assert pages.fuzzy_find("#" * 60 + " a", "x" * 10 + "#" * 60 + " a") == 10
+
+
+def test_page_numbers_of_odd_documents(spark):
+    kind = "array<struct<page_number: int, span: struct<start: int, end: int>>>"
+    docs = spark.createDataFrame([(1, "first page\n\nsecond page", [(1, (0, 10)), (2, (12, 23))]), (2, None, None), (None, "lost and found", [(7, (0, 14))])], f"doc_id long, content string, pages {kind}")
+    units = spark.createDataFrame([(1, 1, "second page", None, None), (1, 0, None, 0, 10), (2, 0, "nothing of this", None, None), (3, 0, "no such document", None, None), (None, 0, "lost and found", None, None)], "doc_id long, seq int, content string, start int, end int")
+    got = {(r.doc_id, r.seq): r.page_numbers for r in pages.infer_page_numbers(units, docs).collect()}
+    assert got == {(1, 0): [1], (1, 1): [2], (2, 0): None, (None, 0): [7]}
+
+
+def test_alike_is_the_ratio_of_difflib():
+    rng = random.Random(4)
+    for _ in range(300):
+        a = "".join(rng.choice("abc ä") for _ in range(rng.randrange(60)))
+        b = "".join(c for c in a if rng.random() < 0.8) + a[: rng.randrange(9)] if rng.random() < 0.7 else a[::-1]
+        assert pages.alike(a, b) == difflib.SequenceMatcher(None, a, b, autojunk=False).ratio()

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..errors import InvalidInput
+from ..folders import few
 from ..providers import embed, reranker
 from . import fulltext, fusion, post
 from .collection import Collection
@@ -74,5 +75,5 @@ class Reranker:
     def rerank(self, hits: DataFrame, queries: DataFrame, units: DataFrame, k: int, key: str = "unit_id", text: str = "content") -> DataFrame:
         shown = post.rerank_text([F.col(c).cast("string") for c in self.head], F.col(text), self.most)
         u = units.select(F.col(key).alias("unit_id"), shown.alias("_shown"))
-        joined = hits.select("query_id", "unit_id").join(u, "unit_id").join(queries.select("query_id", "query"), "query_id")
+        joined = few(hits.select("query_id", "unit_id")).join(u, "unit_id").join(queries.select("query_id", "query"), "query_id")
         return post.rerank(joined, self.score(F.col("query"), F.col("_shown")), k).select(*HITS)

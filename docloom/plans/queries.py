@@ -272,9 +272,9 @@ def lod_exclusion(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def retrieve_fused(spark: SparkSession, d: str) -> DataFrame:
-    units = embed(table(spark, d, "documents").select(F.col("doc_id").alias("unit_id"), F.col("text").alias("content"), "lang"))
+    units = table(spark, d, "documents").select(F.col("doc_id").alias("unit_id"), F.col("text").alias("content"), "lang")
     text = retrieve.FullTextRetriever(fulltext.FullTextIndex(units))
-    vector = retrieve.VectorRetriever(collection.Collection.in_memory(units))
+    vector = retrieve.VectorRetriever(collection.Collection.in_memory(embed(units)))
     queries = _items(spark, d)
     hits = retrieve.FusionRetriever([vector, text], "reciprocal_rank").retrieve(queries, 10)
     return retrieve.Reranker(head=["lang"]).rerank(hits, queries, units, 5)

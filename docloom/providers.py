@@ -53,6 +53,23 @@ def parse_address(uri: str) -> Address:
     return Address(provider.lower(), model, None if base == "~" else base, dict(parse_qsl(query)))
 
 
+class _Codes(dict):
+    """Places of words in sums of added and of subtracted ones, worked out when a word is first asked for; of limited size."""
+
+    MOST = 1 << 18
+
+    def __init__(self, dimension: int):
+        super().__init__()
+        self.dimension = dimension
+
+    def __missing__(self, word: str) -> int:
+        if len(self) >= self.MOST:
+            self.clear()
+        h = int.from_bytes(hashlib.blake2b(word.encode(), digest_size=8).digest(), "big")
+        self[word] = code = h % self.dimension + (0 if h >> 63 else self.dimension)
+        return code
+
+
 class HashedWords:
     """The offline embedder: words hashed with signs into a vector of length 1; equal texts have equal vectors.
 
@@ -60,16 +77,19 @@ class HashedWords:
     """
 
     most_tokens: int | None = None
+    codes: _Codes | None = None
 
     def __init__(self, address: Address):
         self.dimension = int(address.params.get("dim", 64))
 
     def embed(self, texts: list[str]) -> np.ndarray:
         out = np.zeros((len(texts), self.dimension))
+        codes = _Codes(self.dimension) if self.codes is None else self.codes
+        self.codes = codes
         for i, t in enumerate(texts):
-            for w in re.findall(r"\w+", t.lower()):
-                h = int.from_bytes(hashlib.blake2b(w.encode(), digest_size=8).digest(), "big")
-                out[i, h % self.dimension] += 1 if h >> 63 else -1
+            words = re.findall(r"\w+", t.lower())
+            n = np.bincount(np.fromiter(map(codes.__getitem__, words), np.int64, len(words)), minlength=2 * self.dimension)
+            out[i] = n[: self.dimension] - n[self.dimension :]
         return (out / np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1e-12)).astype(np.float32)
 
 

@@ -16,8 +16,8 @@ SIGNATURE = 50
 LEAST = 10
 
 
-def alike(a: str, b: str) -> float:
-    """``difflib.SequenceMatcher(None, a, b, autojunk=False).ratio()``: lengths of runs along all diagonals are worked out once, not for each part."""
+def alike(a: str, b: str, least: float = 0.0) -> float:
+    """``difflib.SequenceMatcher(None, a, b, autojunk=False).ratio()``: lengths of runs along all diagonals are worked out once, not for each part.  0 once it can't be ``least`` any more."""
     n, m = len(a), len(b)
     if not n or not m:
         return 1.0 if n == m else 0.0
@@ -27,15 +27,20 @@ def alike(a: str, b: str) -> float:
     down = np.arange(n, dtype=np.int32)[:, None]
     runs = down - np.maximum.accumulate(np.where(slant, np.int32(-1), down), axis=0)
     run = np.lib.stride_tricks.as_strided(runs[:, n:], (n, m), (runs.strides[0] - 4, 4))
-    total, todo = 0, [(0, n, 0, m)]
+    total, todo, open_ = 0, [(0, n, 0, m)], min(n, m)
     while todo:
-        i, j, u, v = todo.pop()
+        if 2.0 * (total + open_) / (n + m) < least:
+            return 0.0
+        i, j, u, v = todo.pop(max(range(len(todo)), key=lambda z: todo[z][1] - todo[z][0]))
+        open_ -= min(j - i, v - u)
         part = np.minimum(np.minimum(run[i:j, u:v], np.arange(1, j - i + 1, dtype=np.int32)[:, None]), np.arange(1, v - u + 1, dtype=np.int32))
         at = divmod(int(part.argmax()), v - u)
         if k := int(part[at]):
             total += k
             p, q = at[0] + i - k + 1, at[1] + u - k + 1
-            todo += [z for z in ((i, p, u, q), (p + k, j, q + k, v)) if z[0] < z[1] and z[2] < z[3]]
+            new = [z for z in ((i, p, u, q), (p + k, j, q + k, v)) if z[0] < z[1] and z[2] < z[3]]
+            todo += new
+            open_ += sum(min(z[1] - z[0], z[3] - z[2]) for z in new)
     return 2.0 * total / (n + m)
 
 
@@ -51,7 +56,7 @@ def fuzzy_find(needle: str, text: str, start: int = 0, length: int = 300, least:
     at = text.find(head[:SIGNATURE], start)
     if at >= 0 and text.startswith(head, at):
         return at
-    if at >= 0 and alike(head, text[at : at + len(head)]) >= least:
+    if at >= 0 and alike(head, text[at : at + len(head)], least) >= least:
         return at
     plain, step = plain_text(head), max(200, len(head) // 2)
     best, where = 0.0, None
@@ -62,7 +67,7 @@ def fuzzy_find(needle: str, text: str, start: int = 0, length: int = 300, least:
         other = plain_text(piece)
         if other == plain:  # none is more alike, and later ones are no better
             return a + max(at, 0)
-        if 2 * min(len(plain), len(other)) >= least * (len(plain) + len(other)) and (r := alike(plain, other)) > best:
+        if 2 * min(len(plain), len(other)) >= least * (len(plain) + len(other)) and (r := alike(plain, other, least)) > best:
             best, where = r, a + max(at, 0)
     return where if best >= least else None
 

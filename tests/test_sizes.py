@@ -188,3 +188,10 @@ def test_alike_is_the_ratio_of_difflib():
         b = "".join(c for c in a if rng.random() < 0.8) + a[: rng.randrange(9)] if rng.random() < 0.7 else a[::-1]
         ratio = difflib.SequenceMatcher(None, a, b, autojunk=False).ratio()
         assert pages.alike(a, b) == ratio and pages.alike(a, b, 0.7) in ((ratio,) if ratio >= 0.7 else (ratio, 0.0))
+
+
+def test_documents_are_not_embedded_for_the_text_index(spark, data, monkeypatch):
+    made = []
+    monkeypatch.setattr(fulltext, "map_arrow", lambda df, *a: made.append(df) or map_arrow(df, *a))
+    queries.QUERIES["retrieve_fused"](spark, data)
+    assert made and not any("Join" in df._jdf.queryExecution().optimizedPlan().toString() for df in made)  # with the vectors
